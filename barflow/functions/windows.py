@@ -20,9 +20,9 @@ EMA_BLOCK = 256
 EMA_CARRY_BLOCKS = 8
 
 
-def series(key: str | Sequence[str] = "ticker", order: str | Sequence[str] = "ts") -> WindowSpec:
+def series(key: str | Sequence[str] = "ticker", order: str | Column | Sequence[str | Column] = "ts") -> WindowSpec:
     keys = [key] if isinstance(key, str) else list(key)
-    orders = [order] if isinstance(order, str) else list(order)
+    orders = [order] if isinstance(order, (str, Column)) else list(order)
     return W.partitionBy(*keys).orderBy(*orders)
 
 

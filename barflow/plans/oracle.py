@@ -28,7 +28,7 @@ def sql(select: str, *needs: str) -> str:
 
 define(
     "line_px",
-    """SELECT r_name, s_name, l_orderkey * 8 + l_linenumber AS k, l_quantity, CAST(l_shipdate AS DATE) AS ts,
+    """SELECT r_name, s_name, n_nationkey, l_orderkey * 8 + l_linenumber AS k, l_quantity, CAST(l_shipdate AS DATE) AS ts,
     CAST(round(1000 * (1 + l_discount - l_tax)) AS BIGINT) + CAST(l_quantity AS BIGINT)
       + 2 * abs(((date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 240) + 240) % 240 - 120) AS px
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -125,3 +125,37 @@ define(
     """SELECT * EXCLUDE (mv) FROM (SELECT *, abs(close / lag(close) OVER (PARTITION BY ticker ORDER BY ts) - 1) AS mv FROM bars) WHERE mv < 0.26""",
     "bars",
 )
+
+SERIES_NAMES = "sp500 nasdaq dow us_vix india_vix crude gold copper dxy usdinr us_10y us_2y nifty banknifty jpmorgan hsbc".split()
+SERIES_DIVISORS = [1, 1, 1, 70, 65, 12.5, 1, 1, 10, 12.5, 250, 260, 1, 1, 1, 1]
+define(
+    "series",
+    f"""SELECT {SERIES_NAMES}[n_nationkey + 1] AS name, ts, CAST(last(px ORDER BY k, px) AS DOUBLE) / {SERIES_DIVISORS}[n_nationkey + 1]::DOUBLE AS close FROM line_px WHERE n_nationkey < 16 GROUP BY n_nationkey, ts""",
+    "line_px",
+)
+define(
+    "holding",
+    """SELECT r_name AS ticker, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, """
+    + ", ".join(
+        f"round(CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (c_mktsegment = '{s}'), 0) AS DOUBLE) / sum(CAST(round(o_totalprice * 100) AS BIGINT)) * 100, 4) AS {c}"
+        for c, s in (("promoter_pct", "BUILDING"), ("fii_pct", "AUTOMOBILE"), ("dii_pct", "MACHINERY"), ("public_pct", "HOUSEHOLD"), ("pledge_pct", "FURNITURE"))
+    )
+    + """ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
+)
+define(
+    "fund0",
+    """SELECT r_name AS ticker, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS fetched_at, CAST(sum(round(l_tax * 100)) AS DOUBLE) / count(*) - 4 AS tax, CAST(sum(round(l_discount * 100)) AS DOUBLE) / count(*) - 5 AS disc,
+    sum(l_quantity) / count(*) - 25.5 AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
+)
+define(
+    "fund",
+    """SELECT ticker, fetched_at, round(3.5 + tax * 4, 4) AS nim, round(1.8 + disc * 4, 4) AS npa_gross, round(44 + qty * 4, 4) AS casa_ratio, round(14 + tax * 40, 4) AS loan_growth, round(15 + disc * 20, 4) AS roe,
+    round(3 + qty, 4) AS pb_ratio, round(20 + disc * 10, 4) AS eps, row_number() OVER (PARTITION BY ticker ORDER BY fetched_at) AS q FROM fund0""",
+    "fund0",
+)
+define("earn", "SELECT * FROM (SELECT ticker, fetched_at + 14 AS result_date, eps AS actual_eps, lag(eps) OVER (PARTITION BY ticker ORDER BY fetched_at) AS estimated_eps FROM fund) WHERE estimated_eps IS NOT NULL", "fund")
+define(
+    "rates",
+    """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS effective_date, 6.0::DOUBLE + count(*) FILTER (o_orderpriority = '1-URGENT') % 5 * 0.25::DOUBLE AS rbi_rate, round(count(*) % 12 + 5.0::DOUBLE, 2) AS credit_growth FROM orders GROUP BY 1""",
+)
+define("meet", "SELECT CAST(max(o_orderdate) AS DATE) AS event_date FROM orders WHERE month(o_orderdate) % 2 = 0 GROUP BY date_trunc('month', o_orderdate)")

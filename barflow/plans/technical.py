@@ -65,7 +65,7 @@ define(
 )
 define(
     "ta4",
-    f"""SELECT *, coalesce(macd_hist / lag(macd_hist, 3) {W}) - 1, 0) AS macd_hist_roc, coalesce(ema_spread / nullif(lag(ema_spread, 5) {W}), 0) - 1, 0) AS ema_spread_roc,
+    f"""SELECT *, coalesce(macd_hist / nullif(lag(macd_hist, 3) {W}), 0) - 1, 0) AS macd_hist_roc, coalesce(ema_spread / nullif(lag(ema_spread, 5) {W}), 0) - 1, 0) AS ema_spread_roc,
     CASE WHEN i = 0 THEN 1.0 WHEN close > lag(st_up) {W}) THEN 1.0 WHEN close < lag(st_lo) {W}) THEN -1.0 END AS st_event FROM ta3""",
     "ta3",
 )
@@ -288,15 +288,15 @@ register(
 @query(
     "feature_sequence",
     sql(
-        f"""SELECT ticker, ts, list_aggregate(list_transform(seq, r -> r[1]), 'sum') AS s1, seq[1][2] AS first_ret, len(seq) AS n FROM (
-    SELECT ticker, ts, list([round(returns_5d, 6), round(returns_1d, 6)]) {last_n(20)} AS seq FROM tech_price) WHERE len(seq) = 20""".replace("list_aggregate(list_transform(seq, r -> r[1]), 'sum') AS s1", "round(list_sum(list_transform(seq, r -> r[1])), 4) AS sum_5d"),
+        f"""SELECT ticker, ts, round(list_sum(list_transform(seq, lambda r: r[1])), 6) AS sum_5d, seq[1][2] AS first_ret, len(seq) AS n FROM (
+    SELECT ticker, ts, list([round(returns_5d, 6), round(returns_1d, 6)]) {last_n(20)} AS seq FROM tech_price) WHERE len(seq) = 20""",
         "tech_price",
     ),
 )
 def feature_sequence(spark, d):
     df = ta.feature_sequence(ta.price_action(bars(spark, d)), ["returns_5d", "returns_1d"], 20)
     total = F.aggregate("sequence", F.lit(0.0), lambda acc, r: acc + r[0])
-    return df.select("ticker", "ts", F.round(total, 4).alias("sum_5d"), F.col("sequence")[0][1].alias("first_ret"), F.size("sequence").cast("long").alias("n"))
+    return df.select("ticker", "ts", F.round(total, 6).alias("sum_5d"), F.col("sequence")[0][1].alias("first_ret"), F.size("sequence").cast("long").alias("n"))
 
 
 _LATEST = ["rsi_14", "stoch_rsi", "adx", "bb_pct_b", "atr_ratio", "hv_ratio", "volume_ratio", "obv_roc", "returns_1d", "returns_5d", "returns_20d", "gap_pct", "ema_spread", "ema_spread_roc", "macd_hist_roc"]

@@ -23,6 +23,7 @@ def local(cpus: int | str = "*", shuffle: int = 8, name: str = "barflow", memory
         b.config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Market series carried by the first nations, with the divisor that brings the price to its usual level.
+SERIES = {
+    "sp500": 1.0, "nasdaq": 1.0, "dow": 1.0, "us_vix": 70.0, "india_vix": 65.0, "crude": 12.5, "gold": 1.0, "copper": 1.0,
+    "dxy": 10.0, "usdinr": 12.5, "us_10y": 250.0, "us_2y": 260.0, "nifty": 1.0, "banknifty": 1.0, "jpmorgan": 1.0, "hsbc": 1.0,
+}
+
+
 def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """suppkey → region name, used as ticker."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -27,7 +34,7 @@ def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "s_name", F.col("r_name").alias("ticker"))
+        .select("s_suppkey", "s_name", F.col("r_name").alias("ticker"), F.get(F.array(*[F.lit(n) for n in SERIES]), "n_nationkey").alias("series"))
     )
 
 
@@ -45,7 +52,7 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "ticker") -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", F.col("l_shipdate").cast("date").alias("ts"), lineitem_price().alias("px")
     )
-    names = supplier_region(spark, sf_dir).select("s_suppkey", F.col(by).alias("ticker"))
+    names = supplier_region(spark, sf_dir).select("s_suppkey", F.col(by).alias("ticker")).where(F.col("ticker").isNotNull())
     return (
         lines.join(names, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("ticker", "ts")
@@ -245,3 +252,106 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(flat_w / total, 6).alias("prob_flat"),
         F.round(short_w / total, 6).alias("prob_short"),
     )
+
+
+def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, ts, close): one close per market series and day, scaled to its usual level."""
+    from ..functions.scalars import lookup
+
+    x = bars(spark, sf_dir, by="series")
+    return x.select(F.col("ticker").alias("name"), "ts", (F.col("close") / lookup("ticker", SERIES, 1.0)).alias("close"))
+
+
+def bulk_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as market-wide deals: urgent/high are buys, the rest sells."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("trade_date"), F.col("o_custkey").alias("client"), F.col("o_orderkey").alias("quantity"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "BUY").otherwise("SELL").alias("trade_type"), cents("o_totalprice").alias("value_cents"),
+    )
+
+
+def block_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as per-name deals: flag A buys, R sells; value in millions of cents."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice", F.col("l_shipdate").cast("date").alias("trade_date"))
+    names = supplier_region(spark, sf_dir).select("s_suppkey", "ticker")
+    return (
+        lines.where(F.col("l_returnflag").isin("A", "R"))
+        .join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select("ticker", "trade_date", F.when(F.col("l_returnflag") == "A", "BUY").otherwise("SELL").alias("buy_sell"), cents("l_extendedprice").alias("value_cents"))
+    )
+
+
+HOLDERS = {"promoter_pct": "BUILDING", "fii_pct": "AUTOMOBILE", "dii_pct": "MACHINERY", "public_pct": "HOUSEHOLD", "pledge_pct": "FURNITURE"}
+
+
+def shareholding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly value share of each customer segment per region, in percent."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quarter"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "region")
+    agg = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .groupBy(F.col("r_name").alias("ticker"), "quarter")
+        .agg(F.sum(cents("o_totalprice")).alias("_all"), *[F.coalesce(F.sum(F.when(F.col("c_mktsegment") == s, cents("o_totalprice"))), F.lit(0)).alias(c) for c, s in HOLDERS.items()])
+    )
+    return agg.select("ticker", "quarter", *[F.round(F.col(c) / F.col("_all") * 100, 4).alias(c) for c in HOLDERS])
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly ratios per region from order-line averages, spread around banking levels."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("fetched_at"))
+    names = supplier_region(spark, sf_dir).select("s_suppkey", "ticker")
+    agg = (
+        lines.join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("ticker", "fetched_at")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("tax"),
+            F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"), F.sum(F.col("l_quantity").cast("long")).alias("qty"),
+        )
+    )
+    tax, disc, qty = F.col("tax") / F.col("n") - 4, F.col("disc") / F.col("n") - 5, F.col("qty") / F.col("n") - 25.5
+    rounded = lambda c, name: F.round(c, 4).alias(name)
+    return agg.select(
+        "ticker", "fetched_at", rounded(3.5 + tax * 4, "nim"), rounded(1.8 + disc * 4, "npa_gross"), rounded(44 + qty * 4, "casa_ratio"), rounded(14 + tax * 40, "loan_growth"),
+        rounded(15 + disc * 20, "roe"), rounded(3 + qty, "pb_ratio"), rounded(20 + disc * 10, "eps"),
+    )
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as social posts: one conversation per hour, one turn per minute."""
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("source"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("timestamp_ntz").alias("created_at")
+    )
+
+
+def scored_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a score in tenths (-10..10) taken from the text's length."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("ticker"), "doc_id", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).cast("timestamp_ntz").alias("created_at"),
+        (F.pmod(F.col("n_chars"), F.lit(21)) - 10).alias("tenths"),
+    )
+
+
+def policy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly policy rate in quarter-point steps, and a credit growth figure, from order counts."""
+    o = table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("effective_date"), "o_orderpriority")
+    agg = o.groupBy("effective_date").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"), F.count(F.lit(1)).alias("n"))
+    return agg.select("effective_date", (F.lit(6.0) + F.pmod(F.col("u"), F.lit(5)) * 0.25).alias("rbi_rate"), F.round(F.pmod(F.col("n"), F.lit(12)) + 5.0, 2).alias("credit_growth"))
+
+
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy meeting dates: the last order date of every even month."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).where(F.month("d") % 2 == 0)
+    return o.groupBy(F.trunc("d", "month").alias("m")).agg(F.max("d").alias("event_date")).select("event_date")
+
+
+def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly results per region: EPS against the previous quarter's as the estimate."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("ticker").orderBy("fetched_at")
+    x = fundamentals(spark, sf_dir).select("ticker", F.date_add("fetched_at", 14).alias("result_date"), "fetched_at", F.col("eps").alias("actual_eps"), F.lag("eps").over(w).alias("estimated_eps"))
+    return x.where(F.col("estimated_eps").isNotNull()).drop("fetched_at")

@@ -60,9 +60,12 @@ def compare(spark, con, sf_dir: str, fn, oracle: str | None) -> tuple[str, dict]
         return f"COUNT spark={len(a)} duck={len(b)}", took
     if not a:
         return "EMPTY", took
-    diff = [(x, y) for x, y in zip(a, b) if x != y]
-    if diff:
-        return f"VALUES {len(diff)} of {len(a)} differ; cols={cols}\n   spark {diff[0][0]}\n   duck  {diff[0][1]}", took
+    if a != b:
+        from collections import Counter
+
+        ca, cb = Counter(a), Counter(b)
+        only_a, only_b = sorted((ca - cb).elements(), key=key), sorted((cb - ca).elements(), key=key)
+        return f"VALUES {len(only_a)} of {len(a)} differ; cols={cols}\n   spark {only_a[:2]}\n   duck  {only_b[:2]}", took
     st = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     warn = f" TYPES {bad_types}" if bad_types else ""
     ints = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR", "date": "DATE"}
