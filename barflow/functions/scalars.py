@@ -23,12 +23,12 @@ def clamp(c: Column | str, lo: float, hi: float) -> Column:
     return F.least(F.greatest(col(c), F.lit(float(lo))), F.lit(float(hi)))
 
 
-def clip(c: Column | str, lo: float = -1.0, hi: float = 1.0, digits: int = 4) -> Column:
+def clip(c: Column | str, lo: float = -1.0, hi: float = 1.0, digits: int = 6) -> Column:
     """Finite, clamped, rounded; anything else is 0."""
     return F.round(clamp(finite_or(c), lo, hi), digits)
 
 
-def scale_linear(c: Column | str, lo: float, hi: float, invert: bool = False, digits: int = 4) -> Column:
+def scale_linear(c: Column | str, lo: float, hi: float, invert: bool = False, digits: int = 6) -> Column:
     """Map [lo, hi] onto [-1, 1] (reversed ranges allowed), clamp, optionally flip."""
     if lo == hi:
         return F.lit(0.0)

@@ -101,9 +101,9 @@ def streak_length(df: DataFrame, state: Column, name: str, key: str | Sequence[s
     w = series(key, order)
     keys = [key] if isinstance(key, str) else list(key)
     out = df.withColumn("_state", state)
-    out = out.withColumn("_run", F.sum(F.when(F.col("_state").eqNullSafe(F.lag("_state").over(w)), 0).otherwise(1)).over(running(w)))
-    out = out.withColumn(name, F.row_number().over(series([*keys, "_run"], order)))
-    return out.drop("_state", "_run")
+    out = out.withColumn("_grp", F.sum(F.when(F.col("_state").eqNullSafe(F.lag("_state").over(w)), 0).otherwise(1)).over(running(w)))
+    out = out.withColumn(name, F.row_number().over(series([*keys, "_grp"], order)))
+    return out.drop("_state", "_grp")
 
 
 def index_rows(df: DataFrame, key: str, order: Sequence[str], bucket: Column, name: str = "i") -> DataFrame:
@@ -141,3 +141,35 @@ def blocked(df: DataFrame, index: str = "i", lookback: int = 1, rows: int = 4096
 
 def unblock(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_warm")).drop("_blk", "_warm")
+
+
+def prefix(df: DataFrame, key: str, cols: dict[str, tuple[str, Column | str]], index: str = "i", rows: int = 65536) -> DataFrame:
+    """Running ``sum`` / ``max`` / ``last`` (non-NULL) of an indexed series in two levels.
+
+    Each block of ``rows`` is folded on its own; only the block totals are ordered per key, and
+    their running value is joined back.  A hot key is spread over all its blocks.
+    """
+    out = df.withColumn("_pb", F.floor(F.col(index) / rows))
+    inside = running(W.partitionBy(key, "_pb").orderBy(index))
+    before = W.partitionBy(key).orderBy("_pb").rowsBetween(W.unboundedPreceding, -1)
+    ends, carry, local, full = [], [], {}, {}
+    for name, (kind, value) in cols.items():
+        v = col(value)
+        if kind == "sum":
+            ends.append(F.sum(v).alias(f"_e_{name}"))
+            carry.append(F.sum(f"_e_{name}").over(before).alias(f"_c_{name}"))
+            local[f"_l_{name}"] = F.sum(v).over(inside)
+            full[name] = F.coalesce(F.col(f"_l_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
+        elif kind == "max":
+            ends.append(F.max(v).alias(f"_e_{name}"))
+            carry.append(F.max(f"_e_{name}").over(before).alias(f"_c_{name}"))
+            local[f"_l_{name}"] = F.max(v).over(inside)
+            full[name] = F.greatest(f"_l_{name}", f"_c_{name}")
+        else:
+            ends.append(F.max_by(v, F.when(v.isNotNull(), F.col(index))).alias(f"_e_{name}"))
+            carry.append(F.last(f"_e_{name}", ignorenulls=True).over(before).alias(f"_c_{name}"))
+            local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(inside)
+            full[name] = F.coalesce(f"_l_{name}", f"_c_{name}")
+    carried = out.groupBy(key, "_pb").agg(*ends).select(key, "_pb", *carry)
+    out = out.withColumns(local).join(carried, [key, "_pb"], "left").withColumns(full)
+    return out.drop("_pb", *local, *[f"_c_{n}" for n in cols])

@@ -25,7 +25,7 @@ def rolling(flows: DataFrame) -> DataFrame:
     sd = F.stddev_pop("fii_net_cr").over(base)
     z = F.when((n >= 5) & (sd > 0), clamp((F.col("fii_net_cr") - F.avg("fii_net_cr").over(base)) / sd, -3, 3)).otherwise(0.0)
     cols |= {"fii_trend": _trend("fii_net_cr", w), "dii_trend": _trend("dii_net_cr", w), "fii_flow_surprise": z}
-    df = df.withColumns({k: F.round(c, 4) if k.endswith(("_cr", "surprise")) else c for k, c in cols.items()})
+    df = df.withColumns({k: F.round(c, 6) if k.endswith(("_cr", "surprise")) else c for k, c in cols.items()})
     f5, d3 = F.col("fii_net_5d_cr"), F.col("dii_net_3d_cr")
     return df.withColumns(
         {
@@ -49,9 +49,9 @@ def norm(c, full: float = 5000.0):
 
 def bulk_summary(deals: DataFrame) -> DataFrame:
     """Buy and sell value per date, net, direction."""
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("trade_type") == s, F.col("value_cents"))), F.lit(0)) / 1e9
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("trade_type") == s, F.col("value_cents"))), F.lit(0)) / 1e6
     x = deals.groupBy("trade_date").agg(side("BUY").alias("buy_cr"), side("SELL").alias("sell_cr"), F.count(F.lit(1)).alias("n_deals"))
-    return x.withColumns({"bulk_net_cr": F.round(F.col("buy_cr") - F.col("sell_cr"), 4), "bulk_is_buying": F.col("buy_cr") > F.col("sell_cr"), "bulk_deal_detected": F.col("n_deals") > 0})
+    return x.withColumns({"bulk_net_cr": F.round(F.col("buy_cr") - F.col("sell_cr"), 6), "bulk_is_buying": F.col("buy_cr") > F.col("sell_cr"), "bulk_deal_detected": F.col("n_deals") > 0})
 
 
 def block_features(deals: DataFrame, days: int = 5) -> DataFrame:
@@ -66,13 +66,13 @@ def promoter_trend(holding: DataFrame) -> DataFrame:
     w = fw.series("ticker", "quarter")
     p, p1, p2 = F.col("promoter_pct"), F.lag("promoter_pct").over(w), F.lag("promoter_pct", 2).over(w)
     label = F.when((p > p1) & (p1 > p2), "INCREASING").when((p < p1) & (p1 < p2), "DECREASING").otherwise("STABLE")
-    return holding.withColumns({"promoter_qoq": F.round(F.coalesce(p - p1, F.lit(0.0)), 3), "promoter_trend": label})
+    return holding.withColumns({"promoter_qoq": F.round(F.coalesce(p - p1, F.lit(0.0)), 4), "promoter_trend": label})
 
 
 def holding_breakdown(holding: DataFrame) -> DataFrame:
     w = fw.series("ticker", "quarter")
     return holding.withColumns(
-        {"dii_qoq": F.round(F.coalesce(F.col("dii_pct") - F.lag("dii_pct").over(w), F.lit(0.0)), 3), "total_institutional": F.round(F.col("fii_pct") + F.col("dii_pct"), 3)}
+        {"dii_qoq": F.round(F.coalesce(F.col("dii_pct") - F.lag("dii_pct").over(w), F.lit(0.0)), 4), "total_institutional": F.round(F.col("fii_pct") + F.col("dii_pct"), 4)}
     )
 
 
@@ -92,17 +92,18 @@ def insider_score(df: DataFrame, block_5d: str = "block_5d_net_cr") -> DataFrame
 
 def features(df: DataFrame) -> DataFrame:
     """14 model columns from flow, ownership and order-flow inputs on one row."""
+    c10 = lambda c: clip(c, digits=10)
     either = lambda c, plus, minus: F.when(F.col(c) == plus, 1.0).when(F.col(c) == minus, -1.0).otherwise(0.0)
     out = {
-        "fii_5d_norm": clip(F.col("fii_net_5d_cr") / 5000),
-        "fii_signal": F.round("fii_signal", 4),
-        "fii_flow_surprise": clip(F.col("fii_flow_surprise") / 3.0),
-        "dii_3d_norm": clip(F.col("dii_net_3d_cr") / 2000),
-        "bulk_deal_norm": clip(F.col("bulk_net_cr") / 200),
+        "fii_5d_norm": c10(F.col("fii_net_5d_cr") / 5000),
+        "fii_signal": F.round("fii_signal", 10),
+        "fii_flow_surprise": c10(F.col("fii_flow_surprise") / 3.0),
+        "dii_3d_norm": c10(F.col("dii_net_3d_cr") / 2000),
+        "bulk_deal_norm": c10(F.col("bulk_net_cr") / 200),
         "flow_confluence_score": either("flow_confluence", "BOTH_BUYING", "BOTH_SELLING"),
         "insider_score": clip("insider_score"),
         "promoter_change": clip(F.col("promoter_qoq") * 20),
-        "block_5d_norm": clip(F.col("block_5d_net_cr") / 500),
+        "block_5d_norm": c10(F.col("block_5d_net_cr") / 500),
         "block_is_buying": F.coalesce(F.col("block_is_buying").cast("double"), F.lit(0.0)),
         "order_flow_score": clip("order_flow_score"),
         "delta_divergence": F.coalesce(F.col("delta_divergence_flag").cast("double"), F.lit(0.0)),

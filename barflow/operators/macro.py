@@ -108,8 +108,8 @@ def relative_strength(bars: DataFrame, market: DataFrame) -> DataFrame:
     x = x.join(market.select("ts", "banknifty_5d_pct"), "ts", "left")
     x = x.withColumns(
         {
-            "rs_vs_banknifty_5d": F.round(F.col("p5") - F.coalesce("banknifty_5d_pct", F.lit(0.0)), 4),
-            "rs_vs_peers_5d": F.round(F.col("p5") - F.col("_peers"), 4),
+            "rs_vs_banknifty_5d": F.round(F.col("p5") - F.coalesce("banknifty_5d_pct", F.lit(0.0)), 6),
+            "rs_vs_peers_5d": F.round(F.col("p5") - F.col("_peers"), 6),
         }
     )
     return x.withColumns({"outperforming_sector": flag(F.col("rs_vs_banknifty_5d") > 0.5), "outperforming_peers": flag(F.col("rs_vs_peers_5d") > 0.5)}).drop("_peers", "banknifty_5d_pct")

@@ -23,9 +23,9 @@ _B = _T.format(19, "1 PRECEDING")
 define(
     "fl1",
     "SELECT trade_date, "
-    + ", ".join(f"round(sum({s}_net_cr) {_T.format(n - 1, 'CURRENT ROW')}, 4) AS {s}_net_{n}d_cr" for s, n in (("fii", 1), ("fii", 3), ("fii", 5), ("fii", 10), ("dii", 1), ("dii", 3)))
+    + ", ".join(f"round(sum({s}_net_cr) {_T.format(n - 1, 'CURRENT ROW')}, 6) AS {s}_net_{n}d_cr" for s, n in (("fii", 1), ("fii", 3), ("fii", 5), ("fii", 10), ("dii", 1), ("dii", 3)))
     + f""", {_t('fii_net_cr')} AS fii_trend, {_t('dii_net_cr')} AS dii_trend,
-    round(CASE WHEN count(*) {_B} >= 5 AND stddev_pop(fii_net_cr) {_B} > 0 THEN greatest(-3, least(3, (fii_net_cr - avg(fii_net_cr) {_B}) / stddev_pop(fii_net_cr) {_B})) ELSE 0 END, 4) AS fii_flow_surprise FROM flows""",
+    round(CASE WHEN count(*) {_B} >= 5 AND stddev_pop(fii_net_cr) {_B} > 0 THEN greatest(-3, least(3, (fii_net_cr - avg(fii_net_cr) {_B}) / stddev_pop(fii_net_cr) {_B})) ELSE 0 END, 6) AS fii_flow_surprise FROM flows""",
     "flows",
 )
 define(
@@ -37,9 +37,9 @@ define(
 )
 define(
     "bulk",
-    """SELECT *, round(buy_cr - sell_cr, 4) AS bulk_net_cr, buy_cr > sell_cr AS bulk_is_buying, n_deals > 0 AS bulk_deal_detected FROM (SELECT CAST(o_orderdate AS DATE) AS trade_date,
-    CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')), 0) AS DOUBLE) / 1e9 AS buy_cr,
-    CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')), 0) AS DOUBLE) / 1e9 AS sell_cr, count(*) AS n_deals FROM orders GROUP BY 1)""",
+    """SELECT *, round(buy_cr - sell_cr, 6) AS bulk_net_cr, buy_cr > sell_cr AS bulk_is_buying, n_deals > 0 AS bulk_deal_detected FROM (SELECT CAST(o_orderdate AS DATE) AS trade_date,
+    CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')), 0) AS DOUBLE) / 1e6 AS buy_cr,
+    CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')), 0) AS DOUBLE) / 1e6 AS sell_cr, count(*) AS n_deals FROM orders GROUP BY 1)""",
 )
 define(
     "blk0",
@@ -50,9 +50,9 @@ define("blk", "SELECT ticker, trade_date, n_deals, net / 1e6 AS block_net_cr, CA
 _Q = "OVER (PARTITION BY ticker ORDER BY quarter)"
 define(
     "hold2",
-    f"""SELECT *, round(coalesce(promoter_pct - lag(promoter_pct) {_Q}, 0), 3) AS promoter_qoq, CASE WHEN promoter_pct > lag(promoter_pct) {_Q} AND lag(promoter_pct) {_Q} > lag(promoter_pct, 2) {_Q} THEN 'INCREASING'
+    f"""SELECT *, round(coalesce(promoter_pct - lag(promoter_pct) {_Q}, 0), 4) AS promoter_qoq, CASE WHEN promoter_pct > lag(promoter_pct) {_Q} AND lag(promoter_pct) {_Q} > lag(promoter_pct, 2) {_Q} THEN 'INCREASING'
     WHEN promoter_pct < lag(promoter_pct) {_Q} AND lag(promoter_pct) {_Q} < lag(promoter_pct, 2) {_Q} THEN 'DECREASING' ELSE 'STABLE' END AS promoter_trend,
-    round(coalesce(dii_pct - lag(dii_pct) {_Q}, 0), 3) AS dii_qoq, round(fii_pct + dii_pct, 3) AS total_institutional FROM holding""",
+    round(coalesce(dii_pct - lag(dii_pct) {_Q}, 0), 4) AS dii_qoq, round(fii_pct + dii_pct, 4) AS total_institutional FROM holding""",
     "holding",
 )
 define(
@@ -67,7 +67,7 @@ define(
     "ins0",
 )
 
-R4 = lambda *c: [F.round(x, 4).alias(x) for x in c]
+R6 = lambda *c: [F.round(x, 6).alias(x) for x in c]
 
 
 def rolled(spark, d):
@@ -80,22 +80,22 @@ def insider(spark, d):
 
 
 _SUMS = ["fii_net_1d_cr", "fii_net_3d_cr", "fii_net_5d_cr", "fii_net_10d_cr", "dii_net_1d_cr", "dii_net_3d_cr"]
-register("flow_daily", lambda spark, d: src.flows(spark, d).select("trade_date", *R4("fii_buy_cr", "fii_sell_cr", "fii_net_cr", "dii_buy_cr", "dii_sell_cr", "dii_net_cr")),
-         sql("SELECT trade_date, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("fii_buy_cr", "fii_sell_cr", "fii_net_cr", "dii_buy_cr", "dii_sell_cr", "dii_net_cr")) + " FROM flows", "flows"))
+register("flow_daily", lambda spark, d: src.flows(spark, d).select("trade_date", *R6("fii_buy_cr", "fii_sell_cr", "fii_net_cr", "dii_buy_cr", "dii_sell_cr", "dii_net_cr")),
+         sql("SELECT trade_date, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("fii_buy_cr", "fii_sell_cr", "fii_net_cr", "dii_buy_cr", "dii_sell_cr", "dii_net_cr")) + " FROM flows", "flows"))
 register("flow_rolling", lambda spark, d: rolled(spark, d).select("trade_date", *_SUMS), sql(f"SELECT trade_date, {', '.join(_SUMS)} FROM fl1", "fl1"))
 register("flow_trend", lambda spark, d: rolled(spark, d).select("trade_date", "fii_trend", "dii_trend"), sql("SELECT trade_date, fii_trend, dii_trend FROM fl1", "fl1"))
 register("flow_confluence", lambda spark, d: rolled(spark, d).select("trade_date", "flow_confluence", "fii_signal_text"), sql("SELECT trade_date, flow_confluence, fii_signal_text FROM fl2", "fl2"))
 register("flow_surprise", lambda spark, d: rolled(spark, d).select("trade_date", "fii_flow_surprise"), sql("SELECT trade_date, fii_flow_surprise FROM fl1", "fl1"))
-register("flow_norm", lambda spark, d: rolled(spark, d).select("trade_date", *R4("fii_signal", "dii_signal")), sql("SELECT trade_date, round(fii_signal, 4) AS fii_signal, round(dii_signal, 4) AS dii_signal FROM fl2", "fl2"))
+register("flow_norm", lambda spark, d: rolled(spark, d).select("trade_date", *R6("fii_signal", "dii_signal")), sql("SELECT trade_date, round(fii_signal, 6) AS fii_signal, round(dii_signal, 6) AS dii_signal FROM fl2", "fl2"))
 register(
     "bulk_deal_summary",
-    lambda spark, d: fl.bulk_summary(src.bulk_deals(spark, d)).select("trade_date", *R4("buy_cr", "sell_cr"), "bulk_net_cr", "bulk_is_buying", "bulk_deal_detected", "n_deals"),
-    sql("SELECT trade_date, round(buy_cr, 4) AS buy_cr, round(sell_cr, 4) AS sell_cr, bulk_net_cr, bulk_is_buying, bulk_deal_detected, n_deals FROM bulk", "bulk"),
+    lambda spark, d: fl.bulk_summary(src.bulk_deals(spark, d)).select("trade_date", *R6("buy_cr", "sell_cr"), "bulk_net_cr", "bulk_is_buying", "bulk_deal_detected", "n_deals"),
+    sql("SELECT trade_date, round(buy_cr, 6) AS buy_cr, round(sell_cr, 6) AS sell_cr, bulk_net_cr, bulk_is_buying, bulk_deal_detected, n_deals FROM bulk", "bulk"),
 )
 register(
     "block_deal_features",
-    lambda spark, d: fl.block_features(src.block_deals(spark, d)).select("ticker", "trade_date", "n_deals", *R4("block_net_cr", "block_5d_net_cr"), "block_is_buying"),
-    sql("SELECT ticker, trade_date, n_deals, round(block_net_cr, 4) AS block_net_cr, round(block_5d_net_cr, 4) AS block_5d_net_cr, block_is_buying FROM blk", "blk"),
+    lambda spark, d: fl.block_features(src.block_deals(spark, d)).select("ticker", "trade_date", "n_deals", *R6("block_net_cr", "block_5d_net_cr"), "block_is_buying"),
+    sql("SELECT ticker, trade_date, n_deals, round(block_net_cr, 6) AS block_net_cr, round(block_5d_net_cr, 6) AS block_5d_net_cr, block_is_buying FROM blk", "blk"),
 )
 register("promoter_trend", lambda spark, d: fl.promoter_trend(src.shareholding(spark, d)).select("ticker", "quarter", "promoter_pct", "promoter_qoq", "promoter_trend", "pledge_pct"),
          sql("SELECT ticker, quarter, promoter_pct, promoter_qoq, promoter_trend, pledge_pct FROM hold2", "hold2"))
@@ -117,9 +117,9 @@ def flow_frame(spark, d):
     return jn.asof(x, insider(spark, d), ["insider_score", "promoter_qoq", "block_5d_net_cr", "block_is_buying"], right_ts="quarter", unit="year")
 
 
-_c = lambda e: f"round(least(greatest(coalesce({e}, 0), -1), 1), 4)"
+_c = lambda e: f"round(least(greatest(coalesce({e}, 0), -1), 1), 10)"
 _FL = {
-    "fii_5d_norm": _c("fii_net_5d_cr / 5000"), "fii_signal": "round(fii_signal, 4)", "fii_flow_surprise": _c("fii_flow_surprise / 3.0::DOUBLE"), "dii_3d_norm": _c("dii_net_3d_cr / 2000"),
+    "fii_5d_norm": _c("fii_net_5d_cr / 5000"), "fii_signal": "round(fii_signal, 10)", "fii_flow_surprise": _c("fii_flow_surprise / 3.0::DOUBLE"), "dii_3d_norm": _c("dii_net_3d_cr / 2000"),
     "bulk_deal_norm": _c("bulk_net_cr / 200"), "flow_confluence_score": "CASE flow_confluence WHEN 'BOTH_BUYING' THEN 1 WHEN 'BOTH_SELLING' THEN -1 ELSE 0 END", "insider_score": _c("insider_score"),
     "promoter_change": _c("promoter_qoq * 20"), "block_5d_norm": _c("block_5d_net_cr / 500"), "block_is_buying": "coalesce(block_is_buying::INT, 0)", "order_flow_score": _c("sc"),
     "delta_divergence": "CASE WHEN dv LIKE '%DIVERGENCE' THEN 1 ELSE 0 END", "absorption_flag": "absorbed::INT",

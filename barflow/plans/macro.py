@@ -23,7 +23,7 @@ define("mcal", "SELECT DISTINCT ts FROM series", "series")
 define("sernames", "SELECT name, min(ts) AS f FROM series GROUP BY name", "series")
 define("serf", "SELECT g.ts, s.* EXCLUDE (ts) FROM (SELECT c.ts, n.name FROM mcal c JOIN sernames n ON c.ts >= n.f) g ASOF JOIN ser2 s ON s.name = g.name AND g.ts >= s.ts", "mcal", "sernames", "ser2")
 define(
-    "glob",
+    "globe",
     "SELECT *, round(us_10y_level - us_2y_level, 4) AS yield_spread FROM (SELECT ts, "
     + ", ".join(f"coalesce(max(CASE WHEN name = '{n}' THEN {f} END), 0.0::DOUBLE) AS {c}" for c, (n, f) in mc.GLOBAL.items())
     + " FROM serf GROUP BY ts)",
@@ -39,8 +39,8 @@ define(
             _pts("india_vix_level", 22, -2, 13, 1), _pts("us_10y_5d_chg", 0.15, -1, -0.15, 1), _pts("jpmorgan_5d_pct", 1.5, 1, -1.5, -1), _pts("banknifty_1d_pct", 0.5, 1, -0.5, -1),
         ]
     )
-    + " AS net_points FROM glob)",
-    "glob",
+    + " AS net_points FROM globe)",
+    "globe",
 )
 define(
     "mkt0",
@@ -73,9 +73,9 @@ define("rs0", f"SELECT ticker, ts, {', '.join(f'coalesce((close / lag(close, {k}
 define(
     "rs1",
     """SELECT r.ticker, r.ts, r.p1, r.p5, r.p20, CAST(row_number() OVER (PARTITION BY r.ts ORDER BY round(r.p5, 6) DESC, r.ticker) AS INT) AS peer_rank,
-    round(r.p5 - coalesce(g.banknifty_5d_pct, 0), 4) AS rs_vs_banknifty_5d, round(r.p5 - CASE WHEN count(*) OVER d > 1 THEN (sum(r.p5) OVER d - r.p5) / (count(*) OVER d - 1) ELSE 0 END, 4) AS rs_vs_peers_5d
-  FROM rs0 r LEFT JOIN glob g ON g.ts = r.ts WINDOW d AS (PARTITION BY r.ts)""",
-    "rs0", "glob",
+    round(r.p5 - coalesce(g.banknifty_5d_pct, 0), 6) AS rs_vs_banknifty_5d, round(r.p5 - CASE WHEN count(*) OVER d > 1 THEN (sum(r.p5) OVER d - r.p5) / (count(*) OVER d - 1) ELSE 0 END, 6) AS rs_vs_peers_5d
+  FROM rs0 r LEFT JOIN globe g ON g.ts = r.ts WINDOW d AS (PARTITION BY r.ts)""",
+    "rs0", "globe",
 )
 define(
     "imk",
@@ -106,7 +106,7 @@ def q(key, part, cols, cte, exprs=None):
 
 
 _G = ["ts", *mc.GLOBAL, "yield_spread"]
-q("global_features", glob, _G, "glob")
+q("global_features", glob, _G, "globe")
 q("bootstrap_history", lambda spark, d: mc.verdict(glob(spark, d)), ["ts", "sp500_1d_pct", "india_vix_level", "usdinr_5d_pct", "verdict"], "verd")
 register(
     "percentile_rank_20",
@@ -124,7 +124,7 @@ q("sector_rotation", lambda spark, d: mc.rotation(glob(spark, d)), ["ts", "nifty
 q("vix_features", lambda spark, d: mc.vix(glob(spark, d)), ["ts", "india_vix_level", "india_vix_1d_pct", "india_vix_pct20", "india_vix_high", "india_vix_panic"], "mkt0",
   {"india_vix_high": "(india_vix_level > 20)::INT", "india_vix_panic": "(india_vix_level > 25)::INT"})
 q("currency_features", lambda spark, d: mc.currency(glob(spark, d)), ["ts", "usdinr_level", "usdinr_1d_pct", "usdinr_5d_pct", "usdinr_20d_pct", "rupee_stress"], "mkt0", {"rupee_stress": "(usdinr_5d_pct > 1)::INT"})
-q("index_features", glob, ["ts", "nifty_1d_pct", "nifty_5d_pct"], "glob")
+q("index_features", glob, ["ts", "nifty_1d_pct", "nifty_5d_pct"], "globe")
 q("rate_direction", lambda spark, d: mc.rate_direction(src.policy_rates(spark, d)), ["effective_date", "rbi_rate", "rbi_direction"], "rates2")
 q("rate_asof", lambda spark, d: mc.rate_asof(glob(spark, d).select("ts"), src.policy_rates(spark, d)), ["ts", "rbi_rate", "rbi_direction"], "mkt1")
 q("meeting_proximity", lambda spark, d: mc.meeting_proximity(glob(spark, d).select("ts"), src.meetings(spark, d)), ["ts", "days_to_rbi", "is_rbi_week", "macro_event_mult"], "mkt", {"days_to_rbi": "CAST(days_to_rbi AS INT)"})
@@ -136,7 +136,7 @@ q("relative_strength", lambda spark, d: mc.relative_strength(src.bars(spark, d),
 q("benchmark_join", lambda spark, d: mc.relative_strength(src.bars(spark, d), glob(spark, d)), ["ticker", "ts", "rs_vs_banknifty_5d"], "rs1")
 _IS = "CASE WHEN intermarket_score > 0.4 THEN 'STRONG_INTERMARKET_BULL' WHEN intermarket_score > 0.15 THEN 'MILD_INTERMARKET_BULL' WHEN intermarket_score < -0.4 THEN 'STRONG_INTERMARKET_BEAR' WHEN intermarket_score < -0.15 THEN 'MILD_INTERMARKET_BEAR' ELSE 'INTERMARKET_NEUTRAL' END"
 q("intermarket_score", names, ["ticker", "ts", "intermarket_score", "intermarket_signal"], "imk", {"intermarket_signal": _IS})
-_c = lambda e: f"round(least(greatest(coalesce({e}, 0), -1), 1), 4)"
+_c = lambda e: f"round(least(greatest(coalesce({e}, 0), -1), 1), 6)"
 MF = {
     "india_vix_norm": f"-{_c('(coalesce(india_vix_level, 0) - 10) / 20 * 2 - 1')}", "india_vix_trend": _c("india_vix_1d_pct / 20"), "rbi_proximity_norm": "round(greatest(1 - least(days_to_rbi, 30) / 30, 0), 4)",
     "rbi_cutting_cycle": "CASE rbi_direction WHEN 'CUTTING' THEN 1 WHEN 'HIKING' THEN -1 ELSE 0 END", "dollar_stress_f": "coalesce(dollar_stress, 0)", "rupee_stress_f": _c("-usdinr_5d_pct / 2"),

@@ -86,7 +86,7 @@ register(
         "bars",
     ),
 )
-_clip = lambda e: f"round(least(greatest({e}, -1), 1), 4)"
+_clip = lambda e: f"round(least(greatest({e}, -1), 1), 6)"
 OPT_FEATURES = {
     "pcr_norm": _clip("(pcr - 0.7) / 0.6 * 2 - 1"),
     "pcr_roc_norm": _clip("-pcr_roc / 0.3"),
