@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 from ..functions.scalars import clamp, lookup
-from .joins import asof
+from .joins import asof_day
 
 # Mean monthly bias.
 MONTH_BIAS = {1: 0.6, 2: 0.2, 3: -0.3, 4: 0.4, 5: 0.1, 6: 0.0, 7: 0.3, 8: 0.1, 9: 0.0, 10: 0.5, 11: 0.7, 12: 0.3}
@@ -47,7 +47,7 @@ def features(df: DataFrame, holidays: DataFrame, ts: str = "ts") -> DataFrame:
     Expects days_to_earnings, pre_earnings_drift, beat_probability, days_to_monthly_expiry,
     is_expiry_week, is_expiry_day, max_pain_distance.
     """
-    x = asof(df, holidays.withColumn("_next", F.col("holiday")), ["_next"], key=None, left_ts=ts, right_ts="holiday", unit="year", forward=True)
+    x = asof_day(df, holidays.withColumn("_next", F.col("holiday")), ["_next"], key=None, left_ts=ts, right_ts="holiday", forward=True)
     dow, month = (F.dayofweek(ts) + 5) % 7, F.month(ts)
     d_earn, d_exp = F.col("days_to_earnings"), F.col("days_to_monthly_expiry")
     hol = F.coalesce(F.datediff("_next", F.to_date(ts)), F.lit(99))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 from ..functions.scalars import clamp, clip, flag, ladder, scale_linear
-from .joins import asof
+from .joins import asof_day
 
 QUARTERS = 8
 
@@ -128,8 +128,8 @@ def peer_signal(results: DataFrame, days: int = 90) -> DataFrame:
 
 
 def days_to_earnings(days: DataFrame, results: DataFrame) -> DataFrame:
-    nxt = asof(days, results.withColumn("_next", F.col("result_date")), ["_next"], right_ts="result_date", unit="year", forward=True)
-    prev = asof(nxt, results.withColumn("_prev", F.col("result_date")), ["_prev"], right_ts="result_date", unit="year")
+    nxt = asof_day(days, results.withColumn("_next", F.col("result_date")), ["_next"], right_ts="result_date", forward=True)
+    prev = asof_day(nxt, results.withColumn("_prev", F.col("result_date")), ["_prev"], right_ts="result_date")
     return prev.withColumns(
         {"days_to_earnings": F.coalesce(F.datediff("_next", "ts"), F.lit(99)), "days_since_earnings": F.datediff("ts", "_prev")}
     ).drop("_next", "_prev")
@@ -175,8 +175,8 @@ def earnings_frame(bars: DataFrame, earnings: DataFrame) -> DataFrame:
     """Every bar with the earnings columns as of its date."""
     res = surprise(earnings)
     x = days_to_earnings(bars.select("ticker", "ts", "close"), res)
-    x = asof(x, history(res), ["hist_beat_rate", "hist_avg_gap_up", "consecutive_beats"], right_ts="result_date", unit="year")
-    x = asof(x, peer_signal(res), ["peer_beat_ratio", "peer_signal"], right_ts="result_date", unit="year")
+    x = asof_day(x, history(res), ["hist_beat_rate", "hist_avg_gap_up", "consecutive_beats"], right_ts="result_date")
+    x = asof_day(x, peer_signal(res), ["peer_beat_ratio", "peer_signal"], right_ts="result_date")
     x = strategy(beat_probability(event_size(pre_drift(x))))
     d, drift = F.col("days_to_earnings"), F.col("pre_earnings_drift")
     return x.withColumns(

@@ -51,6 +51,38 @@ def asof(
     return out.select("_left.*", *[hit[c].alias(c) for c in take])
 
 
+def asof_day(
+    left: DataFrame,
+    right: DataFrame,
+    take: Sequence[str],
+    key: str | None = "ticker",
+    left_ts: str = "ts",
+    right_ts: str = "ts",
+    forward: bool = False,
+) -> DataFrame:
+    """As-of (``forward``: next-on-or-after) at day grain, as one equi-join.
+
+    The right side is a slow dimension (quarterly, monthly or daily rows): each row is expanded to
+    the days it is valid for, so the left side, however large, is neither sorted nor unioned, and
+    Catalyst may broadcast the dimension when it is small.  Left days outside the right side's
+    span are moved to its edge first.
+    """
+    keys = [] if key is None else [key]
+    day = F.col(right_ts).cast("date")
+    w = W.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_day")
+    r = right.select(*keys, day.alias("_day"), *take)
+    if forward:
+        edge = r.select(F.min("_day")).scalar()
+        valid = F.sequence(F.coalesce(F.date_add(F.lag("_day").over(w), 1), edge), F.col("_day"))
+        at = F.greatest(F.col(left_ts).cast("date"), edge)
+    else:
+        edge = r.select(F.max("_day")).scalar()
+        valid = F.sequence(F.col("_day"), F.coalesce(F.date_sub(F.lead("_day").over(w), 1), edge))
+        at = F.least(F.col(left_ts).cast("date"), edge)
+    days = r.withColumn("_valid", valid).select(*keys, F.explode("_valid").alias("_at"), *take)
+    return left.withColumn("_at", at).join(days, [*keys, "_at"], "left").select(*left.columns, *take)
+
+
 def ffill_reindex(series: DataFrame, calendar: DataFrame, value: Sequence[str], key: str = "ticker", ts: str = "ts") -> DataFrame:
     """Every key on every calendar date, values carried forward, nothing before a key's first value."""
     month = lambda c: F.trunc(c, "month")

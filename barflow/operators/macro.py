@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 from ..functions.scalars import clamp, clip, flag, scale_linear
-from .joins import asof, ffill_reindex
+from .joins import asof_day, ffill_reindex
 
 FIELDS = ("level", "p1", "p5", "p20", "chg5", "above20", "rank20")
 
@@ -141,13 +141,13 @@ def rate_direction(rates: DataFrame) -> DataFrame:
 
 
 def rate_asof(days: DataFrame, rates: DataFrame) -> DataFrame:
-    return asof(days, rate_direction(rates), ["rbi_rate", "rbi_direction", "credit_growth"], key=None, right_ts="effective_date", unit="year")
+    return asof_day(days, rate_direction(rates), ["rbi_rate", "rbi_direction", "credit_growth"], key=None, right_ts="effective_date")
 
 
 def meeting_proximity(days: DataFrame, meetings: DataFrame) -> DataFrame:
     """Days to the next and since the last meeting, week flag, size multiplier."""
-    nxt = asof(days, meetings.withColumn("next_meeting", F.col("event_date")), ["next_meeting"], key=None, right_ts="event_date", unit="year", forward=True)
-    both = asof(nxt, meetings.withColumn("last_meeting", F.col("event_date")), ["last_meeting"], key=None, right_ts="event_date", unit="year")
+    nxt = asof_day(days, meetings.withColumn("next_meeting", F.col("event_date")), ["next_meeting"], key=None, right_ts="event_date", forward=True)
+    both = asof_day(nxt, meetings.withColumn("last_meeting", F.col("event_date")), ["last_meeting"], key=None, right_ts="event_date")
     to, since = F.coalesce(F.datediff("next_meeting", "ts"), F.lit(30)), F.datediff("ts", "last_meeting")
     mult = F.when(to == 0, 0.40).when(to == 1, 0.50).when(since == 1, 0.80).otherwise(1.0)
     return both.withColumns({"days_to_rbi": to, "is_rbi_week": (to <= 5).cast("int"), "macro_event_mult": mult}).drop("next_meeting", "last_meeting")

@@ -76,7 +76,7 @@ def rolled(spark, d):
 
 def insider(spark, d):
     h = fl.holding_breakdown(fl.promoter_trend(src.shareholding(spark, d)))
-    return fl.insider_score(jn.asof(h, fl.block_features(src.block_deals(spark, d)), ["block_5d_net_cr", "block_is_buying"], left_ts="quarter", right_ts="trade_date", unit="year"))
+    return fl.insider_score(jn.asof_day(h, fl.block_features(src.block_deals(spark, d)), ["block_5d_net_cr", "block_is_buying"], left_ts="quarter", right_ts="trade_date"))
 
 
 _SUMS = ["fii_net_1d_cr", "fii_net_3d_cr", "fii_net_5d_cr", "fii_net_10d_cr", "dii_net_1d_cr", "dii_net_3d_cr"]
@@ -112,9 +112,9 @@ register(
 def flow_frame(spark, d):
     """Bars with order flow, market flows, bulk deals and ownership, each as of the bar."""
     x = of.order_flow(src.bars(spark, d)).select("ticker", "ts", "order_flow_score", "delta_divergence_flag", "absorption_detected", "inst_bias")
-    x = jn.asof(x, rolled(spark, d), [*_SUMS, "fii_signal", "fii_flow_surprise", "flow_confluence"], key=None, right_ts="trade_date")
-    x = jn.asof(x, fl.bulk_summary(src.bulk_deals(spark, d)), ["bulk_net_cr"], key=None, right_ts="trade_date")
-    return jn.asof(x, insider(spark, d), ["insider_score", "promoter_qoq", "block_5d_net_cr", "block_is_buying"], right_ts="quarter", unit="year")
+    x = jn.asof_day(x, rolled(spark, d), [*_SUMS, "fii_signal", "fii_flow_surprise", "flow_confluence"], key=None, right_ts="trade_date")
+    x = jn.asof_day(x, fl.bulk_summary(src.bulk_deals(spark, d)), ["bulk_net_cr"], key=None, right_ts="trade_date")
+    return jn.asof_day(x, insider(spark, d), ["insider_score", "promoter_qoq", "block_5d_net_cr", "block_is_buying"], right_ts="quarter")
 
 
 _c = lambda e: f"round(least(greatest(coalesce({e}, 0), -1), 1), 10)"

@@ -215,11 +215,11 @@ define(
 
 
 def calendar_inputs(spark, d):
-    from ..operators.joins import asof
+    from ..operators.joins import asof_day
 
     c = src.chain(spark, d)
     snap = op.snapshot_frame(c, src.with_spot(c))
-    x = asof(earn(spark, d), snap, ["max_pain_distance"], right_ts="fetched_at", unit="year")
+    x = asof_day(earn(spark, d), snap, ["max_pain_distance"], right_ts="fetched_at")
     return op.expiry(x.withColumn("max_pain_distance", F.coalesce("max_pain_distance", F.lit(0.0))), "ts")
 
 

@@ -16,8 +16,22 @@ def _collect(name: str, seen: list[str]) -> None:
         seen.append(name)
 
 
-def sql(select: str, *needs: str) -> str:
+class Check:
+    """A SQL check; its CTEs are resolved once every domain is loaded."""
+
+    def __init__(self, select: str, needs: tuple[str, ...]):
+        self.select, self.needs = select, needs
+
+    def render(self) -> str:
+        return _render(self.select, *self.needs)
+
+
+def sql(select: str, *needs: str) -> Check:
     """``select`` over the named CTEs and everything they need."""
+    return Check(select, needs)
+
+
+def _render(select: str, *needs: str) -> str:
     order: list[str] = []
     for need in needs:
         _collect(need, order)

@@ -7,10 +7,12 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import Check
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, Check] = {}
 
 DOMAINS = (
     "technical", "ingestion", "scalars", "joins", "orderflow", "levels", "patterns", "anomaly", "regime", "options", "flow",
@@ -18,7 +20,7 @@ DOMAINS = (
 )
 
 
-def register(key: str, fn: Query, sql: str | None = None) -> None:
+def register(key: str, fn: Query, sql: Check | None = None) -> None:
     if key in _QUERIES:
         raise ValueError(f"duplicate query key {key}")
     _QUERIES[key] = fn
@@ -26,7 +28,7 @@ def register(key: str, fn: Query, sql: str | None = None) -> None:
         _ORACLES[key] = sql
 
 
-def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(key: str, sql: Check | None = None) -> Callable[[Query], Query]:
     def wrap(fn: Query) -> Query:
         register(key, fn, sql)
         return fn
@@ -50,4 +52,4 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     load()
-    return dict(_ORACLES)
+    return {k: c.render() for k, c in _ORACLES.items()}
