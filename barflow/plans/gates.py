@@ -370,7 +370,7 @@ register(
     sql("SELECT event_id, emitted FROM cd_rec", "cd_rec"),
 )
 AS_OF = "1998-06-30"
-define("openpos", f"SELECT *, value_cents / 100.0::DOUBLE AS value, round(value_cents * 0.0002, 4) AS risk_amount FROM ledger WHERE opened_at <= DATE '{AS_OF}' AND close_date > DATE '{AS_OF}'", "ledger")
+define("openpos", f"SELECT *, value_cents / 100.0::DOUBLE AS value, round(value_cents * 0.0002::DOUBLE, 4) AS risk_amount FROM ledger WHERE opened_at <= DATE '{AS_OF}' AND close_date > DATE '{AS_OF}'", "ledger")
 
 
 def open_positions(spark, d):
