@@ -186,6 +186,6 @@ def label_sensitivity(bars: DataFrame, horizons: tuple[int, ...], thresholds: tu
 
     w = fw.series()
     fwd = F.array(*[F.struct(F.lit(h).alias("horizon"), (F.lead("close", h).over(w) / F.col("close") - 1).alias("r")) for h in horizons])
-    x = bars.select(F.explode(fwd).alias("z")).select("z.*").where(F.col("r").isNotNull())
+    x = bars.select(fwd.alias("_f")).select(F.explode("_f").alias("z")).select("z.*").where(F.col("r").isNotNull())
     x = x.select("horizon", "r", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     return x.groupBy("horizon", "threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("r") > F.col("threshold")).cast("double")), 6).alias("long_share"), F.round(F.avg((F.col("r") < -F.col("threshold")).cast("double")), 6).alias("short_share"))
