@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 
-WIN, LOSS = F.col("pnl_points") > 0, F.col("pnl_points") <= 0
+def won() -> Column:
+    return F.col("pnl_points") > 0
+
+
+def lost() -> Column:
+    return F.col("pnl_points") <= 0
 
 
 def amount(c: Column) -> Column:
@@ -22,14 +27,14 @@ def amount(c: Column) -> Column:
 
 def core(extra: dict[str, Column] | None = None) -> list[Column]:
     """The aggregates every breakdown shares."""
-    wins, pos, neg = F.count_if(WIN), F.sum(F.when(F.col("pnl_e4") > 0, F.col("pnl_e4"))), F.sum(F.when(F.col("pnl_e4") < 0, -F.col("pnl_e4")))
+    wins, pos, neg = F.count_if(won()), F.sum(F.when(F.col("pnl_e4") > 0, F.col("pnl_e4"))), F.sum(F.when(F.col("pnl_e4") < 0, -F.col("pnl_e4")))
     out = {
         "n_trades": F.count(F.lit(1)),
         "wins": wins,
         "win_rate": F.round(wins / F.count(F.lit(1)), 4),
         "profit_factor": F.round(F.coalesce(F.try_divide(F.coalesce(pos, F.lit(0)), neg), F.lit(0.0)), 4),
-        "avg_win_pct": F.round(F.coalesce(F.try_divide(F.sum(F.when(WIN, F.col("pnl_points"))), wins * 100), F.lit(0.0)), 6),
-        "avg_loss_pct": F.round(F.coalesce(F.try_divide(F.sum(F.when(LOSS, F.col("pnl_points"))), F.count_if(LOSS) * 100), F.lit(0.0)), 6),
+        "avg_win_pct": F.round(F.coalesce(F.try_divide(F.sum(F.when(won(), F.col("pnl_points"))), wins * 100), F.lit(0.0)), 6),
+        "avg_loss_pct": F.round(F.coalesce(F.try_divide(F.sum(F.when(lost(), F.col("pnl_points"))), F.count_if(lost()) * 100), F.lit(0.0)), 6),
         "total_pnl": amount(F.sum("pnl_e4")),
     }
     return [c.alias(n) for n, c in (out | (extra or {})).items()]
@@ -64,12 +69,12 @@ def newest(ledger: DataFrame, n: int, by: list[str]) -> DataFrame:
 def consecutive_losses(ledger: DataFrame, by: str = "ticker", look: int = 20) -> DataFrame:
     """Losses before the newest win among the newest ``look`` trades."""
     x = newest(ledger, look, [by])
-    first_win = F.min(F.when(WIN, F.col("age")))
+    first_win = F.min(F.when(won(), F.col("age")))
     return x.groupBy(by).agg((F.coalesce(first_win, F.count(F.lit(1)) + 1) - 1).cast("int").alias("consecutive_losses"))
 
 
 def rolling_win_rate(ledger: DataFrame, n: int = 10, by: str = "ticker") -> DataFrame:
-    return newest(ledger, n, [by]).groupBy(by).agg(F.round(F.count_if(WIN) / F.count(F.lit(1)), 4).alias("win_rate"))
+    return newest(ledger, n, [by]).groupBy(by).agg(F.round(F.count_if(won()) / F.count(F.lit(1)), 4).alias("win_rate"))
 
 
 def equity_curve(ledger: DataFrame, start: float = 100_000.0, by: str = "ticker") -> DataFrame:
@@ -112,7 +117,7 @@ def bucket(c: Column) -> Column:
 
 def calibration(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(bucket(F.col("confidence")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(WIN).alias("wins"), F.round(F.count_if(WIN) / F.count(F.lit(1)), 4).alias("win_rate"),
+        F.count(F.lit(1)).alias("total"), F.count_if(won()).alias("wins"), F.round(F.count_if(won()) / F.count(F.lit(1)), 4).alias("win_rate"),
         F.round(F.sum("pnl_points") / F.count(F.lit(1)) / 100, 6).alias("avg_pnl_pct"),
     )
 
@@ -120,7 +125,7 @@ def calibration(ledger: DataFrame) -> DataFrame:
 def weekday(ledger: DataFrame) -> DataFrame:
     """Monday to Friday, zero where a day has no trades."""
     day = (F.dayofweek("close_date") + 5) % 7
-    x = ledger.where(day < 5).groupBy(day.alias("dow")).agg(F.count(F.lit(1)).alias("n_trades"), F.count_if(WIN).alias("wins"), F.sum("pnl_e4").alias("_e4"))
+    x = ledger.where(day < 5).groupBy(day.alias("dow")).agg(F.count(F.lit(1)).alias("n_trades"), F.count_if(won()).alias("wins"), F.sum("pnl_e4").alias("_e4"))
     names = ledger.sparkSession.createDataFrame(list(enumerate(("Mon", "Tue", "Wed", "Thu", "Fri"))), "dow int, weekday string")
     return names.join(x, "dow", "left").select(
         "weekday", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), F.round(F.coalesce(F.try_divide("wins", "n_trades"), F.lit(0.0)), 4).alias("win_rate"), F.coalesce(amount(F.col("_e4")), F.lit(0.0)).alias("pnl"),
@@ -143,7 +148,7 @@ def runs(ledger: DataFrame, by: str = "ticker") -> DataFrame:
     Trades are indexed by month and the last-opposite index is carried across blocks, so no key is
     ordered whole.
     """
-    x = ledger.select(by, "close_date", "trade_no", "signal_uuid", WIN.alias("_w"))
+    x = ledger.select(by, "close_date", "trade_no", "signal_uuid", won().alias("_w"))
     x = fw.index_rows(x, by, ["close_date", "trade_no", "signal_uuid"], F.trunc("close_date", "month"))
     x = fw.prefix(x, by, {"_lw": ("last", F.when(F.col("_w"), F.col("i"))), "_ll": ("last", F.when(~F.col("_w"), F.col("i")))})
     since = lambda c: F.col("i") - F.coalesce(F.col(c), F.lit(-1))
@@ -158,8 +163,8 @@ def metrics(ledger: DataFrame, start: float = 1e9, risk_free: float = 0.065, by:
         *core({
             "avg_trade_pct": F.round(F.sum("pnl_points") / F.count(F.lit(1)) / 100, 6),
             "long_trades": F.count_if(F.col("signal") == "LONG"), "short_trades": F.count_if(F.col("signal") == "SHORT"),
-            "long_win_rate": F.round(F.coalesce(F.try_divide(F.count_if(WIN & (F.col("signal") == "LONG")), F.count_if(F.col("signal") == "LONG")), F.lit(0.0)), 4),
-            "short_win_rate": F.round(F.coalesce(F.try_divide(F.count_if(WIN & (F.col("signal") == "SHORT")), F.count_if(F.col("signal") == "SHORT")), F.lit(0.0)), 4),
+            "long_win_rate": F.round(F.coalesce(F.try_divide(F.count_if(won() & (F.col("signal") == "LONG")), F.count_if(F.col("signal") == "LONG")), F.lit(0.0)), 4),
+            "short_win_rate": F.round(F.coalesce(F.try_divide(F.count_if(won() & (F.col("signal") == "SHORT")), F.count_if(F.col("signal") == "SHORT")), F.lit(0.0)), 4),
             "avg_hold_days": F.round(F.sum(F.datediff("close_date", "opened_at")) / F.count(F.lit(1)), 4),
             "median_hold_days": F.percentile(F.datediff("close_date", "opened_at"), F.lit(0.5)),
         })
@@ -214,7 +219,7 @@ def monthly_distribution(ledger: DataFrame) -> DataFrame:
 def loss_aversion(ledger: DataFrame, by: list[str]) -> DataFrame:
     days = F.datediff("close_date", "opened_at")
     mean = lambda c: F.try_divide(F.sum(F.when(c, days)), F.count_if(c))
-    x = ledger.groupBy(*by).agg(mean(WIN).alias("win_hold"), mean(LOSS).alias("loss_hold"))
+    x = ledger.groupBy(*by).agg(mean(won()).alias("win_hold"), mean(lost()).alias("loss_hold"))
     ratio = F.try_divide("loss_hold", "win_hold")
     return x.select(*by, F.round("win_hold", 4).alias("win_hold"), F.round("loss_hold", 4).alias("loss_hold"), F.round(ratio, 4).alias("ratio"), F.coalesce(ratio > 1.5, F.lit(False)).cast("int").alias("detected"))
 
@@ -243,7 +248,7 @@ def revenge(ledger: DataFrame, by: str = "ticker") -> DataFrame:
 
 def early_exit(ledger: DataFrame, by: list[str], target_points: int = 5) -> DataFrame:
     """Mean share of the target distance that winning longs took, capped at 1.5; detected below .6."""
-    x = ledger.where(WIN & (F.col("signal") == "LONG"))
+    x = ledger.where(won() & (F.col("signal") == "LONG"))
     cap = F.least(F.col("pnl_points") * 2, F.lit(3 * target_points))
     mean = F.sum(cap) / F.count(F.lit(1)) / (2 * target_points)
     return x.groupBy(*by).agg(F.round(mean, 6).alias("achieved_ratio"), (mean < 0.6).cast("int").alias("detected"))
@@ -284,9 +289,9 @@ def meta_features(ledger: DataFrame, by: str = "ticker", last: int = 20) -> Data
     conf = F.round(F.col("confidence") * 100).cast("long")
     mean, sq = F.sum(conf) / n, F.sum(conf * conf) / n
     agg = x.groupBy(by).agg(
-        F.round(F.count_if(WIN & (F.col("age") <= 10)) / F.count_if(F.col("age") <= 10), 4).alias("rolling_accuracy_10"),
+        F.round(F.count_if(won() & (F.col("age") <= 10)) / F.count_if(F.col("age") <= 10), 4).alias("rolling_accuracy_10"),
         F.round(mean / 100, 6).alias("avg_model_confidence"), F.round(F.sqrt(F.greatest(sq - mean * mean, F.lit(0.0))) / 100, 6).alias("conf_std"),
-        lead(WIN).alias("losing_streak"), lead(F.col("signal") != F.col("_sig")).alias("signal_streak"),
+        lead(won()).alias("losing_streak"), lead(F.col("signal") != F.col("_sig")).alias("signal_streak"),
         F.round(F.least(F.greatest(F.sum(F.when(F.trunc("close_date", "month") == F.col("_month"), F.col("pnl_points")).otherwise(0)) / 10, F.lit(-1.0)), F.lit(1.0)), 4).alias("monthly_pnl_norm"),
     )
     acc, lose, month = F.col("rolling_accuracy_10"), F.col("losing_streak"), F.col("monthly_pnl_norm")

@@ -16,7 +16,11 @@ from .registry import register
 CORE = """count(*) AS n_trades, count(*) FILTER (pnl_points > 0) AS wins, round(count(*) FILTER (pnl_points > 0) / count(*), 4) AS win_rate,
   round(coalesce(CAST(coalesce(sum(pnl_e4) FILTER (pnl_e4 > 0), 0) AS DOUBLE) / -sum(pnl_e4) FILTER (pnl_e4 < 0), 0), 4) AS profit_factor,
   round(coalesce(avg(pnl_points) FILTER (pnl_points > 0) / 100, 0), 6) AS avg_win_pct, round(coalesce(avg(pnl_points) FILTER (pnl_points <= 0) / 100, 0), 6) AS avg_loss_pct, CAST(sum(pnl_e4) AS DOUBLE) / 10000 AS total_pnl"""
-DAY = F.lit(AS_OF).cast("date")
+
+
+def day():
+    return F.lit(AS_OF).cast("date")
+
 
 register("ledger", lambda spark, d: src.ledger(spark, d).drop("value_cents", "pnl_e4", "pnl_points", "trade_no"), sql("SELECT * EXCLUDE (value_cents, pnl_e4, pnl_points, trade_no) FROM ledger", "ledger"))
 register("total_pnl", lambda spark, d: lq.total_pnl(src.ledger(spark, d)), sql("SELECT ticker, CAST(sum(pnl_e4) AS DOUBLE) / 10000 AS total_pnl, count(*) AS n_trades FROM ledger GROUP BY 1", "ledger"))
@@ -27,7 +31,7 @@ register(
 )
 register(
     "perf_by_period",
-    lambda spark, d: lq.performance(src.ledger(spark, d), DAY, 30, ["ticker"]),
+    lambda spark, d: lq.performance(src.ledger(spark, d), day(), 30, ["ticker"]),
     sql(f"SELECT ticker, {CORE} FROM ledger WHERE close_date BETWEEN DATE '{AS_OF}' - 30 AND DATE '{AS_OF}' GROUP BY 1", "ledger"),
 )
 define("lnew", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY close_date DESC, trade_no DESC, signal_uuid DESC) AS age FROM ledger", "ledger")
@@ -69,7 +73,7 @@ def regimes(spark, d):
 register("current_regime", lambda spark, d: ta.latest(regimes(spark, d)), sql("SELECT ticker, ts, regime FROM regimes QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) = 1", "regimes"))
 register(
     "regime_history",
-    lambda spark, d: regimes(spark, d).where((F.col("ts") >= F.date_sub(DAY, 10)) & (F.col("ts") <= DAY)),
+    lambda spark, d: regimes(spark, d).where((F.col("ts") >= F.date_sub(day(), 10)) & (F.col("ts") <= day())),
     sql(f"SELECT ticker, ts, regime FROM regimes WHERE ts BETWEEN DATE '{AS_OF}' - 10 AND DATE '{AS_OF}'", "regimes"),
 )
 
@@ -105,13 +109,13 @@ def _counts(spark, d):
 
 def trades_view(spark, d):
     """Open positions marked at the last close on or before the as-of date, 2 % stop and 5 % target."""
-    last = ta.latest(src.bars(spark, d).where(F.col("ts") <= DAY).select("ticker", "ts", "close")).select("ticker", (F.col("close") / 1000).alias("last"))
+    last = ta.latest(src.bars(spark, d).where(F.col("ts") <= day()).select("ticker", "ts", "close")).select("ticker", (F.col("close") / 1000).alias("last"))
     x = open_positions(spark, d).join(last, "ticker")
     sign = F.when(F.col("signal") == "LONG", 1).otherwise(-1)
     un = sign * (F.col("last") - 1)
     return x.select(
         "signal_uuid", "ticker", "signal", F.round(un, 6).alias("unrealised_pct"), F.round(un + 0.02, 6).alias("to_stop"), F.round(0.05 - un, 6).alias("to_target"), F.round(F.least(F.greatest((un + 0.02) / 0.07, F.lit(0.0)), F.lit(1.0)), 6).alias("progress"),
-        F.datediff(DAY, "opened_at").alias("days_open"), F.datediff("close_date", DAY).alias("days_left"),
+        F.datediff(day(), "opened_at").alias("days_open"), F.datediff("close_date", day()).alias("days_left"),
     )
 
 
