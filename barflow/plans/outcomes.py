@@ -48,7 +48,7 @@ for _k in ("barrier_outcome", "barrier_join"):
     register(
         _k,
         lambda spark, d: done(spark, d)[0].select("ticker", "ts", "signal", F.round("entry_price", 4).alias("entry_price"), "exit_ts", F.round("exit_price", 4).alias("exit_price"), "exit_reason", "days_held", F.round("net_pnl_pct", 6).alias("net_pnl_pct"), F.round("r_multiple", 6).alias("r_multiple")),
-        sql("SELECT ticker, ts, signal, e AS entry_price, xts AS exit_ts, round(px, 4) AS exit_price, reason AS exit_reason, CAST(xi - i AS INT) AS days_held, round(net, 6) AS net_pnl_pct, round(sg * (px - e) / abs(e - st), 6) AS r_multiple FROM bo", "bo"),
+        sql("SELECT ticker, ts, signal, e AS entry_price, xts AS exit_ts, round(px, 4) AS exit_price, reason AS exit_reason, CAST(xi - i AS INT) AS days_held, round(net, 6) AS net_pnl_pct, round(sg * (px - e) / nullif(abs(e - st), 0), 6) AS r_multiple FROM bo", "bo"),
     )
 register(
     "excursions",
