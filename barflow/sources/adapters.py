@@ -1,7 +1,7 @@
 """Projections of the warehouse tables onto the engine's market schemas.
 
-Dimension joins carry no broadcast hint: Catalyst broadcasts a side only below
-``spark.sql.autoBroadcastJoinThreshold`` and falls back to a (skew-splitting) shuffle join.
+Dimension joins are broadcast only behind a check of the dimension's stored size (:func:`checked`);
+beyond it they stay shuffle joins, which AQE splits on skew.
 Prices, amounts and percentages are summed as integers so results do not depend on the order of
 addition.  First/last prices ride in one packed long (order key, then price): the aggregate stays
 a hash aggregate over fixed-width buffers with a map-side combine.
@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_LIMIT = 64 << 20
+
+
+def checked(dimension: DataFrame, base: DataFrame | None = None, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast ``dimension`` if the scan it has one row per row of (``base``) is below ``limit`` bytes.
+
+    The size comes from the file statistics of that scan; Catalyst multiplies sizes along joins, so
+    a chain of small lookups would otherwise look larger than the fact table it describes.
+    """
+    plan = (dimension if base is None else base)._jdf.queryExecution().optimizedPlan()
+    return F.broadcast(dimension) if int(str(plan.stats().sizeInBytes())) <= limit else dimension
+
+
 # Market series carried by the first nations, with the divisor that brings the price to its usual level.
 SERIES = {
     "sp500": 1.0, "nasdaq": 1.0, "dow": 1.0, "us_vix": 70.0, "india_vix": 65.0, "crude": 12.5, "gold": 1.0, "copper": 1.0,
@@ -31,11 +44,12 @@ def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region")
-    return (
+    named = (
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "s_name", F.col("r_name").alias("ticker"), F.get(F.array(*[F.lit(n) for n in SERIES]), "n_nationkey").alias("series"))
     )
+    return checked(named, supplier)
 
 
 def lineitem_price() -> F.Column:
@@ -118,7 +132,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount", "l_tax",
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("fetched_at"),
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = checked(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     names = supplier_region(spark, sf_dir).select("s_suppkey", "ticker")
     call, put = F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"
     mean = lambda cond, c: F.coalesce(F.try_divide(F.sum(F.when(cond, cents(c))), F.count(F.when(cond, 1)) * 100), F.lit(0.0))
@@ -150,7 +164,7 @@ BUY_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily foreign/domestic buy, sell and net values in millions of cents."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", F.col("o_orderdate").cast("date").alias("trade_date"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    customer = checked(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
     foreign = F.col("c_mktsegment").isin(*FOREIGN_SEGMENTS)
     buy = F.col("o_orderpriority").isin(*BUY_PRIORITIES)
     value = lambda cond: (F.coalesce(F.sum(F.when(cond, cents("o_totalprice"))), F.lit(0)) / 1e6)
@@ -189,7 +203,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("opened_at"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    customer = checked(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
     names = supplier_region(spark, sf_dir).select("s_suppkey", "ticker")
     from ..functions.scalars import lookup
 
