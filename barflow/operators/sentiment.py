@@ -166,8 +166,8 @@ def features(df: DataFrame) -> DataFrame:
     """10 model columns from score, score_3d, momentum, news_spike, earnings and social inputs."""
     trend = clip(F.col("score") - F.col("score_3d"), -0.5, 0.5)
     out = {
-        "finbert_score_24h": clip("score"), "finbert_score_trend": trend, "finbert_momentum": clip("momentum", -0.5, 0.5), "finbert_momentum_3d": trend,
-        "finbert_news_spike": F.round(F.least(F.col("news_spike"), F.lit(3.0)) / 3, 4),
+        "news_score_24h": clip("score"), "news_score_trend": trend, "news_momentum": clip("momentum", -0.5, 0.5), "news_momentum_3d": trend,
+        "news_spike_f": F.round(F.least(F.col("news_spike"), F.lit(3.0)) / 3, 4),
         "earnings_effect_f": F.round(clip("earnings_score") * F.col("earnings_relevance"), 4), "earnings_relevance_f": F.round("earnings_relevance", 4),
         "announcement_score_f": clip("announcement_score"), "combined_score_f": clip("combined_score"), "social_contrarian_score": clip("social_ml_score"),
     }

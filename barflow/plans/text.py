@@ -192,8 +192,8 @@ register(
     "sentiment_features",
     lambda spark, d: tx.features(tx.earnings_decay(effect_inputs(spark, d))).drop("earnings_effect_f"),
     sql(
-        f"""SELECT ticker, ts, {_c('score')} AS finbert_score_24h, {_c('score - score_3d', -0.5, 0.5)} AS finbert_score_trend, {_c('momentum', -0.5, 0.5)} AS finbert_momentum, {_c('score - score_3d', -0.5, 0.5)} AS finbert_momentum_3d,
-    round(least(news_spike, 3) / 3, 4) AS finbert_news_spike, round(greatest(1 - dse / 90, 0), 4) AS earnings_relevance_f, {_c('momentum')} AS announcement_score_f, {_c('score_3d * 0.7 + momentum * 0.3')} AS combined_score_f, {_c('-score')} AS social_contrarian_score FROM eff""",
+        f"""SELECT ticker, ts, {_c('score')} AS news_score_24h, {_c('score - score_3d', -0.5, 0.5)} AS news_score_trend, {_c('momentum', -0.5, 0.5)} AS news_momentum, {_c('score - score_3d', -0.5, 0.5)} AS news_momentum_3d,
+    round(least(news_spike, 3) / 3, 4) AS news_spike_f, round(greatest(1 - dse / 90, 0), 4) AS earnings_relevance_f, {_c('momentum')} AS announcement_score_f, {_c('score_3d * 0.7 + momentum * 0.3')} AS combined_score_f, {_c('-score')} AS social_contrarian_score FROM eff""",
         "eff",
     ),
 )
