@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 ASCII_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 ASCII_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-STEP = 1 << 20  # bytes hashed at once
+STEP = 1 << 17  # bytes hashed at once: the arrays for them stay in the cache
 
 
 def byte_set(members: bytes) -> np.ndarray:
@@ -28,6 +28,7 @@ SPACE = byte_set(ASCII_SPACE)
 SPACE_OR_PUNCTUATION = byte_set(ASCII_SPACE + ASCII_PUNCTUATION)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_VALUE = LOWER.astype(U) + U(1)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 _scratch: dict[str, str] = {}
@@ -76,12 +77,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), ends
 
 
-def _lowered(part: np.ndarray, latin: bool) -> np.ndarray:
-    low = LOWER[part]
+def _values(part: np.ndarray, latin: bool) -> np.ndarray:
+    out = _VALUE[part]
     if latin:
-        capital = np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E) & (part[1:] != 0x97)) + 1
-        low[capital] += 32
-    return low
+        capital = np.flatnonzero(part[:-1] == 0xC3) + 1
+        capital = capital[(part[capital] >= 0x80) & (part[capital] <= 0x9E) & (part[capital] != 0x97)]
+        out[capital] += U(32)
+    return out
 
 
 def words(texts: pa.Array, sep: np.ndarray = SPACE, spans: list | None = None, latin: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +115,10 @@ def words(texts: pa.Array, sep: np.ndarray = SPACE, spans: list | None = None, l
             end = np.flatnonzero(~gap & after) + 1
             if spans is not None:
                 spans.append((begin + a, end + a))
+            value = _values(part, latin)
+            value *= _power(_BASE, b - a)[: b - a]
             total = np.zeros(b - a + 1, U)
-            np.cumsum((_lowered(part, latin).astype(U) + U(1)) * _power(_BASE, b - a)[: b - a], out=total[1:])
+            np.cumsum(value, out=total[1:])
             out.append(mix((total[end] - total[begin]) * _power(_INVERSE, b - a)[begin]))
             if j - i == 1:
                 counts[i] += len(begin)
@@ -151,6 +155,12 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     return out, out_counts
 
 
+def distinct(items: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    items = np.sort(items)
+    return items[np.concatenate(([True], items[1:] != items[:-1]))] if len(items) else items
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most about ``most`` bytes of text each, so that memory doesn't grow with a batch."""
     _, ends = text_bytes(batch.column(column))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_OR_PUNCTUATION, U, bit_filter, byte_set, mix, passes, slices, text_bytes, words
 from .records import article_text
 
-#: Words of a window, and the least of them that are no slots.
+#: Words of a window, and the least of them that are no slots. An item with fewer words is one window, if it has LITERAL at least.
 WINDOW, LITERAL = 8, 4
 #: Least share of an item's windows found in an article for it to be contaminated.
 SHARE = 0.4
@@ -21,7 +21,9 @@ BROADCAST_ROWS = 200_000
 # Units of measure that stand for a typed slot.
 UNITS = "kg g mg lb km m cm mm mi ft h hr hrs min s sec ms kb mb gb tb percent usd eur gbp inr rs cr lakh crore bps"
 
-_UNIT_HASHES = np.sort(words(pa.array(UNITS.split()))[0])
+_UNIT_HASHES = words(pa.array(UNITS.split()))[0]
+_UNIT_NEAR = np.zeros(1 << 16, bool)
+_UNIT_NEAR[(_UNIT_HASHES & U(0xFFFF)).astype(np.int64)] = True
 _NUMBER, _NAME, _UNIT = (U(x) for x in (0xA5A5A5A5A5A5A501, 0xA5A5A5A5A5A5A502, 0xA5A5A5A5A5A5A503))
 _UPPER, _DIGIT = byte_set(bytes(range(65, 91))), byte_set(bytes(range(48, 58)))
 _LOWER_NEXT = byte_set(bytes(range(97, 123)) + bytes(range(128, 256)))
@@ -37,83 +39,84 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """
     spans: list = []
     own, counts = words(texts, SPACE_OR_PUNCTUATION, spans, latin=True)
-    data, ends = text_bytes(texts)
+    data, _ = text_bytes(texts)
     if not len(own):
         return own, own, np.zeros(0, bool), counts
     begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-    first, second = data[begin], data[np.minimum(begin + 1, len(data) - 1)]
-    before = np.concatenate(([-1], end[:-1]))
-    opens = np.zeros(len(own), bool)
-    starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    first = data[begin]
+    opens = np.empty(len(own), bool)
+    opens[0] = True
+    opens[1:] = _STOP[data[end[:-1]]] | _STOP[data[begin[1:] - 1]]
+    starts = np.cumsum(counts) - counts
     opens[starts[counts > 0]] = True
-    stops = np.concatenate(([0], np.cumsum(_STOP[data])))
-    opens[1:] |= (stops[begin[1:]] - stops[before[1:]]) > 0
     number = _DIGIT[first]
-    name = _UPPER[first] & _LOWER_NEXT[second] & (end - begin > 1) & ~opens
-    at = np.minimum(np.searchsorted(_UNIT_HASHES, own), len(_UNIT_HASHES) - 1)
-    unit = (_UNIT_HASHES[at] == own) & ~name
-    template = own.copy()
-    template[number], template[unit], template[name] = _NUMBER, _UNIT, _NAME
-    return template, own, number | unit | name, counts
-
-
-def windows(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, hash) of each window with enough literal words; a text of fewer than ``width`` words is one window."""
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    size = np.minimum(counts, width)
-    n = np.where(counts > 0, counts - size + 1, 0)
-    begin = np.repeat(starts[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)))[:-1], n)
-    length = np.repeat(size, n)
+    name = np.flatnonzero(_UPPER[first] & ~opens & (end - begin > 1))
+    name = name[_LOWER_NEXT[data[begin[name] + 1]]]
+    unit = np.flatnonzero(_UNIT_NEAR[(own & U(0xFFFF)).astype(np.int64)])
+    unit = unit[np.isin(own[unit], _UNIT_HASHES)]
+    template, slot = own.copy(), number.copy()
+    template[number] = _NUMBER
+    for at, kind in ((unit, _UNIT), (name, _NAME)):
+        template[at], slot[at] = kind, True
+    return template, own, slot, counts
+
+
+def windows(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each window of ``width`` words, LITERAL of them no slots."""
+    n = len(template) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
     literal = np.concatenate(([0], np.cumsum(~slot)))
-    keep = literal[begin + length] - literal[begin] >= np.minimum(LITERAL, (length + 1) // 2)
-    begin, length = begin[keep], length[keep]
-    total = length.astype(U)
-    for j in range(width):
-        inside = length > j
-        total[inside] += template[begin[inside] + j] * _POWERS[j] if not inside.all() else template[begin + j] * _POWERS[j]
-    return begin, length, mix(total)
+    with np.errstate(over="ignore"):
+        total = np.full(n, width, U)
+        for j in range(width):
+            total += template[j : n + j] * _POWERS[j]
+        inside = np.repeat(np.cumsum(counts), counts)[:n] - np.arange(n) >= width
+        begin = np.flatnonzero(inside & (literal[width:] - literal[:n] >= LITERAL))
+        return begin, mix(total[begin])
 
 
-def _emit(width: int, bitmap, both_openings: bool):
-    """id, position, hash and slot values of windows: of articles those that the bitmap lets pass, of items all.
+def _of_items(width: int):
+    """Windows of each item: id, position, hash, slot values, words. An item may stand within a sentence, where its first word looks like a name, so its first window has that form too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for shift, form in ((0, text), (1, f"x {text.lstrip()[:1].upper()}{text.lstrip()[1:]}")):
+                    template, own, slot, counts = canonical(pa.array([form]))
+                    template, own, slot = template[shift:], own[shift:], slot[shift:]
+                    size = min(width, len(template))
+                    begin, value = windows(template, slot, counts - shift, size) if size >= LITERAL else ((), ())
+                    rows += [(i, int(b), int(v), own[b : b + size][slot[b : b + size]].view(np.int64), size) for b, v in zip(begin, np.array(value, U).view(np.int64), strict=True) if not shift or b == 0]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (batch.column("id").type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "at", "window", "slots", "size"])
+
+    return run
 
-    An item may stand within a sentence, where its first word looks like a name, so its first window has that form too.
-    """
+
+def _of_articles(sizes: list[int], bitmap):
+    """Windows of articles that the bitmap lets pass, in the sizes that the items' windows have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = bitmap.value if bitmap is not None else None
-        for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
-            for opening in range(1 + both_openings):
-                texts = batch.column("text")
-                if opening:
-                    texts = pa.array([f"x {t or ''}" for t in texts.to_pylist()])
-                template, own, slot, counts = canonical(texts)
-                begin, length, value = (_second_opening if opening else windows)(template, slot, counts, width)
-                starts = np.concatenate(([0], np.cumsum(counts)))
-                row = np.searchsorted(starts, begin, "right") - 1
-                keep = passes(cells, value) if cells is not None else np.ones(len(begin), bool)
-                begin, length, value, row = begin[keep], length[keep], value[keep], row[keep]
-                slots = [own[b : b + n][slot[b : b + n]].view(np.int64) for b, n in zip(begin, length, strict=True)]
+        for batch in (x for b in batches for x in slices(b, "text", 1 << 18)):
+            template, own, slot, counts = canonical(batch.column("text"))
+            ends = np.cumsum(counts)
+            for size in sizes:
+                begin, value = windows(template, slot, counts, size)
+                keep = np.flatnonzero(passes(bitmap.value, value))
+                begin, value = begin[keep], value[keep]
+                row = np.searchsorted(ends, begin, "right")
+                slots = [own[b : b + size][slot[b : b + size]].view(np.int64) for b in begin]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(row)), pa.array(begin - starts[row] - opening), pa.array(value.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], ["id", "at", "window", "slots"],
+                    [batch.column("id").take(pa.array(row, pa.int64())), pa.array(begin - (ends - counts)[row]), pa.array(value.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
+                    ["id", "at", "window", "slots"],
                 )
 
     return run
 
 
-def _second_opening(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first window of each text behind a word put before it."""
-    own = np.maximum(counts - 1, 0)
-    starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    drop = np.ones(len(template), bool)
-    drop[starts[counts > 0]] = False
-    begin, length, value = windows(template[drop], slot[drop], own, width)
-    at = np.concatenate(([0], np.cumsum(own)))
-    row = np.searchsorted(at, begin, "right") - 1
-    first = begin == at[row]
-    return begin[first] + row[first] + 1, length[first], value[first]
-
-
 def contaminated(news: DataFrame, items: DataFrame, width: int = WINDOW, share: float = SHARE, id_col: str = "id", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Articles that hold an evaluation item, word for word or with other numbers, names and units in it.
 
@@ -126,16 +129,19 @@ def contaminated(news: DataFrame, items: DataFrame, width: int = WINDOW, share:
     on one alignment (article position less item position) must fill the item's slots by a one-to-one mapping; if they
     don't, only those with the very values of the item count. The share is that of the item's distinct windows.
 
-    Items without words have no windows and contaminate nothing, nor do windows of slots alone. Null texts are empty.
+    Items of fewer than LITERAL words, and windows with fewer that are no slots, contaminate nothing. Null texts are empty.
     Rows with a null id are left out; repeated rows count once. No rows on either side give no rows.
     """
     of_items = items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null").distinct()
     kind = of_items.schema["id"].dataType.simpleString()
-    item_windows = of_items.mapInArrow(_emit(width, None, True), f"id {kind}, at long, window long, slots array<long>").distinct().select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"))
+    item_windows = of_items.mapInArrow(_of_items(width), f"id {kind}, at long, window long, slots array<long>, size int").distinct().select(
+        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "size"
+    )
+    sizes = [r["size"] for r in item_windows.select("size").distinct().orderBy("size").collect()]  # LITERAL to ``width``
     bitmap = news.sparkSession.sparkContext.broadcast(bit_filter(item_windows, "window"))
     texts = news.select(F.col(id_col).alias("id"), article_text(news).alias("text")).where("id is not null")
     kind = texts.schema["id"].dataType.simpleString()
-    hits = texts.mapInArrow(_emit(width, bitmap, False), f"id {kind}, at long, window long, slots array<long>")
+    hits = texts.mapInArrow(_of_articles(sizes, bitmap), f"id {kind}, at long, window long, slots array<long>")
     few = item_windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = hits.join(F.broadcast(item_windows) if few else item_windows, "window").select(
         "id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("s")).alias("filled"),

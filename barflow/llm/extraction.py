@@ -24,6 +24,7 @@ _RAW = frozenset("script style noscript template textarea title iframe object sv
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_LISTS = frozenset("ul ol dl table div section p".split())
 _SCOPE = frozenset("ul ol dl table article section div body nav aside main form header footer".split())
 _DROP_TAGS = frozenset("nav footer aside form button select head dialog menu fieldset".split())
 _DROP_WORDS = frozenset(
@@ -33,7 +34,6 @@ _DROP_ROLES = frozenset("navigation banner contentinfo complementary search aler
 _MAIN_WORDS = frozenset("article content entry post story main body maincontent articlebody postbody".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 TEXT = "#"
 
 
@@ -183,7 +183,7 @@ def expression(node: list) -> str:
 
 
 def _dropped(label: str) -> bool:
-    tag, words = re.match(r"[^.!]*", label)[0], re.findall(r"[.!][^.!]*", label)
+    tag, words = _tag(label), re.findall(r"[.!][^.!]*", label)
     if tag in _RAW or tag in _DROP_TAGS or any(w[0] == "!" and (w[1:] in _DROP_ROLES or w == "!hidden") for w in words):
         return True
     if tag in ("article", "main", "body", "html"):
@@ -192,7 +192,7 @@ def _dropped(label: str) -> bool:
 
 
 def _main(label: str) -> int:
-    tag, words = re.match(r"[^.!]*", label)[0], re.findall(r"[.!][^.!]*", label)
+    tag, words = _tag(label), re.findall(r"[.!][^.!]*", label)
     return 3 if tag == "article" else 2 if tag == "main" or "!main" in words or "!article" in words else 1 if tag in ("div", "section", "td") and any(w[1:] in _MAIN_WORDS for w in words) else 0
 
 
@@ -209,33 +209,40 @@ def kept_paths(wrapper: list) -> list[str]:
             if c[0] == TEXT:
                 if inside:
                     strongest[inside] = strongest.get(inside, 0) + c[3]
-            elif not _dropped(c[0]) and not (c[0].split(".")[0].split("!")[0] == "header" and not inside):
+            elif not _dropped(c[0]) and (inside or _tag(c[0]) != "header"):
                 survey(c, max(inside, _main(c[0])))
 
     survey(wrapper, 0)
     region = max((k for k, v in strongest.items() if v), default=0)
     out: list[str] = []
 
-    def walk(node: list, path: str, inside: bool) -> None:
-        own = [c for c in node[2] if c[0] == TEXT]
-        if own and (inside if region else sum(c[4] for c in own) * 2 <= sum(c[3] for c in own)):
+    def walk(node: list, path: str, inside: bool, block: bool) -> None:
+        """``block``: whether the block that the node's text belongs to is kept, where no region is marked."""
+        if _tag(node[0]) not in _INLINE:
+            block = _links(node, True) * 2 <= _size(node, True)
+        if (inside if region else block) and any(c[0] == TEXT for c in node[2]):
             out.append(path)
         for c in node[2]:
-            if c[0] != TEXT and not _dropped(c[0]) and not (c[0].split(".")[0].split("!")[0] == "header" and not inside):
-                if not region and _links(c) * 2 > _size(c) and c[0] in ("ul", "ol", "table", "div", "section", "p", "dl"):
+            if c[0] != TEXT and not _dropped(c[0]) and (inside or _tag(c[0]) != "header"):
+                if not region and _tag(c[0]) in _LISTS and _links(c) * 2 > _size(c):
                     continue
-                walk(c, f"{path}/{c[0]}", inside or (region > 0 and _main(c[0]) >= region))
+                walk(c, f"{path}/{c[0]}", inside or (region > 0 and _main(c[0]) >= region), block)
 
-    walk(wrapper, "", False)
+    walk(wrapper, "", False, True)
     return sorted(set(out))
 
 
-def _size(node: list) -> int:
-    return node[3] if node[0] == TEXT else sum(map(_size, node[2]))
+def _tag(label: str) -> str:
+    return re.match(r"[^.!]*", label)[0]
 
 
-def _links(node: list) -> int:
-    return node[4] if node[0] == TEXT else sum(map(_links, node[2]))
+def _size(node: list, inline: bool = False) -> int:
+    """Characters below a node; ``inline``: of its own block only."""
+    return node[3] if node[0] == TEXT else sum(_size(c, inline) for c in node[2] if not inline or c[0] == TEXT or _tag(c[0]) in _INLINE)
+
+
+def _links(node: list, inline: bool = False) -> int:
+    return node[4] if node[0] == TEXT else sum(_links(c, inline) for c in node[2] if not inline or c[0] == TEXT or _tag(c[0]) in _INLINE)
 
 
 def main_text(page: str, kept: frozenset[str]) -> str:
@@ -245,11 +252,11 @@ def main_text(page: str, kept: frozenset[str]) -> str:
     for kind, value in events(page):
         if kind == "(":
             path.append(f"{path[-1]}/{value}")
-            if value.split(".")[0].split("!")[0] not in _INLINE:
+            if _tag(value) not in _INLINE:
                 out.append(" ")
         elif kind == ")":
             path.pop()
-            if value.split(".")[0].split("!")[0] not in _INLINE:
+            if _tag(value) not in _INLINE:
                 out.append(" ")
         elif kind == "|":
             out.append(" ")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, shingles, slices, words, written
+from .common import U, distinct, mix, shingles, slices, words, written
 from .components import components
 from .records import article_text
 
@@ -20,26 +20,31 @@ AGREEMENT = 0.58
 #: Members of a bucket that meet at once in the exhaustive pass.
 BLOCK = 256
 _DRAWS = np.random.default_rng(20)
-MULTIPLIERS = _DRAWS.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U) * U(2) + U(1)
-OFFSETS = _DRAWS.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U)
+MULTIPLIERS = _DRAWS.integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+OFFSETS = _DRAWS.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
+_AT_ONCE = 1024
+_values = np.empty((BANDS * ROWS, _AT_ONCE), np.uint32)
 
 
 def minima(items: np.ndarray) -> np.ndarray:
-    """Smallest value of each universal hash function (multiply, add, modulo 2**64) over the items."""
-    out = np.full(len(MULTIPLIERS), ~U(0), U)
+    """Smallest value of each universal hash function (multiply, add, modulo 2**32) over the items, which are hashes already."""
+    out, low = np.full(len(MULTIPLIERS), ~np.uint32(0), np.uint32), (items >> U(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(items), 2048):
-            values = MULTIPLIERS[:, None] * items[None, i : i + 2048]
-            values += OFFSETS[:, None]
+        for i in range(0, len(low), _AT_ONCE):
+            part = low[None, i : i + _AT_ONCE]
+            values = _values[:, : part.shape[1]]
+            np.multiply(MULTIPLIERS[:, None], part, out=values)
+            np.add(values, OFFSETS[:, None], out=values)
             np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
+    """A hash for each band of each row of minima."""
     with np.errstate(over="ignore"):
-        key = np.arange(1, BANDS + 1, dtype=U)
-        for row in least.reshape(BANDS, ROWS).T:
-            key = mix(key * U(0x9E3779B97F4A7C15) + row)
+        key = np.tile(np.arange(1, BANDS + 1, dtype=U), (len(least), 1))
+        for r in range(ROWS):
+            key = mix(key * U(0x9E3779B97F4A7C15) + least[:, r::ROWS])
     return key.view(np.int64)
 
 
@@ -49,24 +54,23 @@ def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
         runs, counts = shingles(*words(part.column(column)), k)
         at = np.concatenate(([0], np.cumsum(counts)))
         for i in range(part.num_rows):
-            yield np.unique(runs[at[i] : at[i + 1]])
+            yield distinct(runs[at[i] : at[i + 1]])
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, "text")):
-            n, same, bands, signature = [], [], [], []
+            n, same, least = [], [], []
             for items in _sets(batch, "text", k):
                 n.append(len(items))
-                if not len(items):
-                    same.append(None), bands.append(None), signature.append(None)
-                    continue
-                least = minima(items)
-                same.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(least))
-                signature.append((least >> U(32)).astype(np.uint32).tobytes())
+                same.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                least.append(minima(items))
+            empty = np.array(n) == 0
+            keys, least = band_keys(np.array(least)), np.array(least)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()), mask=pa.array(empty))
+            signature = pa.array([None if e else s.tobytes() for e, s in zip(empty, least, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())],
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), bands, signature],
                 ["id", "n_shingles", "same", "bands", "signature"],
             )
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bit_filter, mix, passes, shingles, slices, words, written
+from .common import U, bit_filter, distinct, mix, passes, shingles, slices, words, written
 from .records import article_text
 
 #: Words of a run (a token of the windows), hash functions, and hits that a pair needs from them to be verified at first.
@@ -24,28 +24,35 @@ _SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) | 1 for i in range(F
 _FAR = (1 << 16) - 1
 
 
+def _nearest(order: np.ndarray, step: int, strict: bool) -> np.ndarray:
+    """For every item the nearest one in a direction that is smaller (or equal, unless ``strict``); ends are smaller than all.
+
+    Pointers jump over what the item they point to has jumped over, all at once, so few rounds are needed whatever the order.
+    """
+    at = np.arange(len(order)) + step
+    at[0], at[-1] = 0, len(order) - 1
+    larger = np.greater_equal if strict else np.greater
+    open_ = np.arange(1, len(order) - 1)
+    open_ = open_[larger(order[at[open_]], order[open_]) & (order[open_] > 0)]
+    while len(open_):
+        at[open_] = at[at[open_]]
+        open_ = open_[larger(order[at[open_]], order[open_])]
+    return at
+
+
 def compact_windows(order: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, smallest, end) of the nodes of the Cartesian trees over ``order[start:end]`` that span ``least`` items or more.
 
     Every stretch of ``least`` items or more has its leftmost smallest item at ``smallest`` of just one window around it.
-    All trees are built together, a level at a time.
+    A node spans what lies between its nearest smaller neighbours. Texts follow each other, with a smallest end between them.
     """
-    keep = ends - starts >= least
-    a, b, found = starts[keep], ends[keep], []
-    while len(a):
-        size = b - a
-        first = np.concatenate(([0], np.cumsum(size)))[:-1]
-        at = np.repeat(a - first, size) + np.arange(int(size.sum()))
-        values = order[at]
-        hit = np.flatnonzero(values == np.repeat(np.minimum.reduceat(values, first), size))
-        c = at[hit[np.searchsorted(hit, first)]]
-        found.append((a, c, b))
-        a, b = np.concatenate((a, c + 1)), np.concatenate((c, b))
-        keep = b - a >= least
-        a, b = a[keep], b[keep]
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    row = np.repeat(np.arange(len(starts)), ends - starts)
+    place = np.arange(len(row)) + row + 1
+    fenced = np.zeros(len(row) + len(starts) + 1, U)
+    fenced[place] = np.maximum(order, U(1))
+    before, after = _nearest(fenced, -1, False)[place], _nearest(fenced, 1, True)[place]
+    c = np.flatnonzero(after - before - 1 >= least)
+    return before[c] - row[c], c, after[c] - row[c] - 1
 
 
 def _pack(c: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -54,7 +61,7 @@ def _pack(c: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _keys(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, "text", 2 << 20)):
+        for batch in (x for b in batches for x in slices(b, "text", 1 << 18)):
             runs, counts = shingles(*words(batch.column("text")), RUN)
             ends = np.cumsum(counts)
             starts = ends - counts
@@ -101,7 +108,7 @@ def _refined(a: np.ndarray, b: np.ndarray, s: int, e: int, s2: int, e2: int, x:
         s2, e2 = s2 + u, s2 + v
         if (s, e, s2, e2) == was:
             break
-    p, q = np.unique(a[s:e]), np.unique(b[s2:e2])
+    p, q = distinct(a[s:e]), distinct(b[s2:e2])
     both = len(np.intersect1d(p, q, assume_unique=True))
     return s, e, s2, e2, both / max(len(p) + len(q) - both, 1)
 
@@ -166,7 +173,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for e, n, at in zip(ends, counts, batch.column("at").to_numpy(), strict=True):
             own, c = runs[e - n : e], int(at) >> 32
-            out.append(np.unique(own[max(0, c - AROUND) : c + AROUND + 1]).tobytes())
+            out.append(distinct(own[max(0, c - AROUND) : c + AROUND + 1]).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("at"), pa.array(out, pa.binary())], ["key", "id", "at", "around"])
 
 

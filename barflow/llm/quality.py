@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, shingles, text_bytes, words
+from .common import distinct, slices, shingles, text_bytes, words
 from .records import article_text
 
 #: Labelled articles that vote, at most (those with the smallest hash of their id); latent dimensions; neighbours with a vote.
@@ -50,7 +50,7 @@ def term_rows(texts: pa.Array) -> np.ndarray:
         if counts[i]:
             own = hashes[at[i] : at[i + 1]][:]
             for k, (items, base) in enumerate(((pairs[at2[i] : at2[i + 1]], _SHAPES), (own, _SHAPES + _BINS))):
-                share = len(np.unique(items)) / len(items)
+                share = len(distinct(items)) / len(items)
                 out[i, base + min(_BINS - 1, int(share * _BINS))] = 0.5 if k == 0 else 0.2
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norm, 1e-9)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_OR_PUNCTUATION, U, slices, text_bytes, words
+from .common import SPACE_OR_PUNCTUATION, U, distinct, slices, text_bytes, words
 
 #: Labelled posts the chain is fitted on, at most (those with the smallest hash of their id), and word features of each category.
 MOST_LABELLED, FEATURES, LEAST_POSTS = 20_000, 128, 4
@@ -107,7 +107,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in (x for b in batches for x in slices(b, "text_snippet", 1 << 20)):
         hashes, counts = words(batch.column("text_snippet"), SPACE_OR_PUNCTUATION, latin=True)
         at = np.concatenate(([0], np.cumsum(counts)))
-        own = [np.unique(hashes[at[i] : at[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
+        own = [distinct(hashes[at[i] : at[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
         rest = [c for c in batch.schema.names if c != "text_snippet"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(own, pa.list_(pa.int64()))], [*rest, "words"])
 
