@@ -49,8 +49,8 @@ def features(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "ret_1d": fw.pct_change("close", w),
-            "vol_ratio": F.try_divide(F.col("volume"), fw.roll(F.avg, "volume", w, 20)),
-            "range_ratio": F.try_divide(span, fw.roll(F.avg, span, w, 14)),
+            "vol_ratio": F.try_divide(F.col("volume") * 20, fw.roll(F.sum, "volume", w, 20)),
+            "range_ratio": F.try_divide(span * 14, fw.roll(F.sum, span, w, 14)),
             "gap": F.abs(F.col("close") - F.lag("close").over(w)) / F.lag("close").over(w),
         }
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 from ..functions.scalars import ladder, lookup
+from .joins import asof_day
 from .regime import BEAR, CHOPPY, HIGH_VOL
 
 GATES: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -84,11 +85,12 @@ def gate2(df: DataFrame, min_passes: int = 8) -> DataFrame:
 RANK_SIZE = {1: 1.00, 2: 0.85, 3: 0.70, 4: 0.55, 5: 0.40}
 
 
-def gate3(bars: DataFrame, bear: bool = False) -> DataFrame:
+def gate3(bars: DataFrame, index: DataFrame, bear: bool = False) -> DataFrame:
     """Score every name per date, rank it, size by rank; far-off scores get size 0.
 
-    The index is the equal-weight mean of the names' 5-bar changes.  One shuffle by name for the
-    windows, one by date for the ranks.
+    Strength is measured against ``index`` (ts, close: one row a day of the bank index), whose 5-bar
+    change as of the date counts 0 while it has none.  One shuffle by name for the windows, one by
+    date for the ranks.
     """
     w = fw.series()
     delta = F.col("close") - F.lag("close").over(w)
@@ -101,7 +103,8 @@ def gate3(bars: DataFrame, bear: bool = False) -> DataFrame:
         (fw.roll(F.avg, "volume", w, 5) / (v20 + 1e-8)).alias("vol_trend"),
     ).where(F.col("vol_trend").isNotNull() & F.col("mom_5d").isNotNull() & F.col("rsi").isNotNull())
     day = fw.W.partitionBy("ts")
-    df = df.withColumn("rs_bn", F.col("mom_5d") - F.avg("mom_5d").over(day))
+    change = index.select("ts", (fw.pct_change("close", fw.W.partitionBy(F.lit(0)).orderBy("ts"), 5) * 100).alias("_bn"))
+    df = asof_day(df, change, ["_bn"], key=None).withColumn("rs_bn", F.col("mom_5d") - F.coalesce("_bn", F.lit(0.0))).drop("_bn")
     rsi = F.col("rsi")
     if bear:
         zone = F.when((rsi >= 65) | (rsi <= 35), 1.0).when((rsi >= 55) | (rsi <= 45), 0.5).otherwise(0.0)

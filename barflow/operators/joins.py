@@ -65,19 +65,21 @@ def asof_day(
     The right side is a slow dimension (quarterly, monthly or daily rows): each row is expanded to
     the days it is valid for, so the left side, however large, is neither sorted nor unioned, and
     Catalyst may broadcast the dimension when it is small.  Left days outside the right side's
-    span are moved to its edge first.
+    span are moved to its edge first.  Of several right rows on one day the last by ``right_ts``
+    counts (``forward``: the first), then the last (first) by the taken columns.
     """
     keys = [] if key is None else [key]
     day = F.col(right_ts).cast("date")
-    w = W.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_day")
-    r = right.select(*keys, day.alias("_day"), *take)
+    w = W.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_day", "_time", *take)
+    r = right.select(*keys, day.alias("_day"), F.col(right_ts).cast("timestamp_ntz").alias("_time"), *take)
+    r = r.withColumn("_near", (F.lag if forward else F.lead)("_day").over(w)).where(F.col("_near").isNull() | (F.col("_near") != F.col("_day")))
     if forward:
         edge = r.select(F.min("_day")).scalar()
-        valid = F.sequence(F.coalesce(F.date_add(F.lag("_day").over(w), 1), edge), F.col("_day"))
+        valid = F.sequence(F.coalesce(F.date_add("_near", 1), edge), F.col("_day"))
         at = F.greatest(F.col(left_ts).cast("date"), edge)
     else:
         edge = r.select(F.max("_day")).scalar()
-        valid = F.sequence(F.col("_day"), F.coalesce(F.date_sub(F.lead("_day").over(w), 1), edge))
+        valid = F.sequence(F.col("_day"), F.coalesce(F.date_sub("_near", 1), edge))
         at = F.least(F.col(left_ts).cast("date"), edge)
     days = r.withColumn("_valid", valid).select(*keys, F.explode("_valid").alias("_at"), *take)
     return left.withColumn("_at", at).join(days, [*keys, "_at"], "left").select(*left.columns, *take)
@@ -118,15 +120,16 @@ def lineage(snapshots: DataFrame, opened: DataFrame, closed: DataFrame, outcomes
     return snapshots.join(opened, uuid, "left").join(flat, uuid, "left").join(outcomes, uuid, "left")
 
 
-def barrier(entries: DataFrame, bars: DataFrame, max_hold: str = "max_hold", longest: int = 30) -> DataFrame:
+def barrier(entries: DataFrame, bars: DataFrame, max_hold: str = "max_hold", bucket: int = 30) -> DataFrame:
     """Entries (ticker, i, max_hold) with the bars ``i < b <= i + max_hold`` they can see.
 
-    Both sides carry a bucket of ``longest`` bars; an entry looks into its own and the next bucket,
-    so the match is an equi-join on (ticker, bucket).
+    Both sides carry a bucket of ``bucket`` bars; an entry is in every bucket that its hold spans,
+    however long, so the match is an equi-join on (ticker, bucket).
     """
-    e = entries.withColumn("_bk", F.explode(F.array(F.floor(F.col("i") / longest), F.floor(F.col("i") / longest) + 1)))
+    held = F.when(F.col(max_hold) > 0, F.sequence(F.floor((F.col("i") + 1) / bucket), F.floor((F.col("i") + F.col(max_hold)) / bucket)))
+    e = entries.withColumn("_bk", F.explode(held))
     b = bars.select(F.col("ticker"), F.col("i").alias("bar_i"), F.col("ts").alias("bar_ts"), F.col("open").alias("bar_open"), F.col("high").alias("bar_high"),
-                    F.col("low").alias("bar_low"), F.col("close").alias("bar_close"), F.floor(F.col("i") / longest).alias("_bk"))
+                    F.col("low").alias("bar_low"), F.col("close").alias("bar_close"), F.floor(F.col("i") / bucket).alias("_bk"))
     hit = (F.col("bar_i") > F.col("i")) & (F.col("bar_i") <= F.col("i") + F.col(max_hold))
     return e.join(b, ["ticker", "_bk"]).where(hit).drop("_bk")
 

@@ -10,7 +10,6 @@ from .gates import _scan
 from .joins import barrier
 
 SLIPPAGE, TOTAL_COST = 0.0005, 0.002
-LONGEST = 30
 TRAIL_TRIGGER, TRAIL_DISTANCE = 0.02, 0.015
 
 
@@ -38,7 +37,7 @@ def outcomes(ents: DataFrame, bars: DataFrame) -> DataFrame:
 
     Gaps fill at the open, the rest at the close with slippage; cost is a share of the entry.
     """
-    p = barrier(ents, bars, "max_hold", LONGEST)
+    p = barrier(ents, bars)
     s = F.col("sign")
     gap = s * (F.col("bar_open") - F.col("stop_price")) < 0
     stop = s * (F.col("bar_close") - F.col("stop_price")) <= 0
@@ -58,7 +57,7 @@ def outcomes(ents: DataFrame, bars: DataFrame) -> DataFrame:
 
 def excursions(done: DataFrame, bars: DataFrame) -> DataFrame:
     """Best and worst move from entry over the bars up to the exit."""
-    p = barrier(done, bars, "max_hold", LONGEST).where(F.col("bar_i") <= F.col("exit_i"))
+    p = barrier(done, bars).where(F.col("bar_i") <= F.col("exit_i"))
     agg = p.groupBy("ticker", "i", "signal", "entry_price").agg(F.max("bar_high").alias("hi"), F.min("bar_low").alias("lo"))
     e, up, dn = F.col("entry_price"), F.col("hi") / F.col("entry_price") - 1, 1 - F.col("lo") / F.col("entry_price")
     long = F.col("signal") == "LONG"
@@ -75,7 +74,7 @@ def ladder(ents: DataFrame, bars: DataFrame) -> DataFrame:
     Each leg is a barrier of its own, so it books once.  The trailing high is a running maximum
     over at most ``max_hold`` path rows of one entry.
     """
-    p = barrier(ents, bars, "max_hold", LONGEST)
+    p = barrier(ents, bars)
     s, c, e = F.col("sign"), F.col("bar_close"), F.col("entry_price")
     risk = F.abs(e - F.col("stop_price"))
     w = fw.W.partitionBy("ticker", "i").orderBy("bar_i").rowsBetween(fw.W.unboundedPreceding, 0)

@@ -73,12 +73,13 @@ def model_score(df: DataFrame, text: str, scorer: str) -> DataFrame:
     return df.withColumn("model_score", F.round(clamp(udf(F.col(text)), -1, 1), 4))
 
 
-def backlog(df: DataFrame, per_key: int, total: int, unscored, order: str = "created_at", tie: str = "doc_id") -> DataFrame:
-    """Fair share: the newest ``per_key`` unscored rows of every ticker, ``total`` in all.
+def backlog(df: DataFrame, total: int, unscored, least: int = 5, order: str = "created_at", tie: str = "doc_id") -> DataFrame:
+    """Fair share: the newest unscored rows of every ticker, ``total`` in all; a ticker's share is ``total`` by their number, ``least`` at least.
 
     Ranks inside (ticker, hour) first, so a ticker with very many rows is cut down before its rank.
     """
     x = df.where(unscored)
+    per_key = max(least, total // max(1, x.select("ticker").distinct().count()))
     newest = [F.desc(order), F.desc(tie)]
     x = x.withColumn("_h", F.date_trunc("hour", order))
     x = x.withColumn("_r", F.row_number().over(W.partitionBy("ticker", "_h").orderBy(*newest))).where(F.col("_r") <= per_key)
@@ -183,10 +184,11 @@ def empty_cycles(counts: DataFrame, key: str = "source", order: str = "cycle", v
 def ingest(articles: DataFrame, keywords: dict[str, tuple[str, ...]], as_of, days: int = 7) -> DataFrame:
     """Articles matched to every name whose keyword occurs: cleaned, recent, flagged.
 
-    ``keywords`` is configuration (name to words), so matching is one expression per article.
+    ``keywords`` is configuration (name to words), so matching is one expression per article. Words are looked for in
+    the whole cleaned text; only the summary that is returned is cut to 1,000 characters.
     """
-    x = articles.withColumns({"title": html_clean("title"), "summary": F.substring(html_clean("summary"), 1, 1000)})
+    x = articles.withColumns({"title": html_clean("title"), "summary": html_clean("summary")})
     x = x.withColumn("_text", F.lower(F.concat_ws(" ", "title", "summary"))).where(F.col("created_at") > as_of - F.expr(f"interval {days} days"))
     names = F.array(*[F.when(keyword_any("_text", words), F.lit(name)) for name, words in keywords.items()])
     x = x.withColumn("ticker", F.explode(F.array_compact(names)))
-    return x.withColumn("is_important", keyword_any("_text", IMPORTANT).cast("int")).drop("_text")
+    return x.withColumns({"is_important": keyword_any("_text", IMPORTANT).cast("int"), "summary": F.substring("summary", 1, 1000)}).drop("_text")

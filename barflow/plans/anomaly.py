@@ -13,7 +13,7 @@ from .technical import W, guarded
 define(
     "an0",
     f"""SELECT *, close / lag(close) {W}) - 1 AS ret, abs((close - lag(close) {W})) / greatest(lag(close) {W}), 1)) AS gap, volume / greatest({guarded('avg(volume)', 'volume', 20)}, 1) AS vr,
-    {guarded('avg(high - low)', 'high', 14)} AS typ, volume / {guarded('avg(volume)', 'volume', 20)} AS vr2 FROM bars""",
+    {guarded('avg(high - low)', 'high', 14)} AS typ, volume * 20 / {guarded('sum(volume)', 'volume', 20)} AS vr2, (high - low) * 14 / nullif({guarded('sum(high - low)', 'high', 14)}, 0) AS rr FROM bars""",
     "bars",
 )
 define("an1", f"SELECT *, (ret - {guarded('avg(ret)', 'ret', 20)}) / greatest({guarded('stddev_samp(ret)', 'ret', 20)}, 0.0001) AS sg FROM an0", "an0")
@@ -36,7 +36,7 @@ register(
     "anomaly_features",
     lambda spark, d: an.features(src.bars(spark, d)).select("ticker", "ts", *[F.round(c, 6).alias(c) for c in an.FEATURES]),
     sql(
-        """SELECT ticker, ts, round(ret, 6) AS ret_1d, round(abs(ret), 6) AS ret_abs, round(vr2, 6) AS vol_ratio, round((high - low) / nullif(typ, 0), 6) AS range_ratio, round(abs(ret), 6) AS gap, round(vr2 * abs(ret), 6) AS vol_x_ret FROM an1""",
+        """SELECT ticker, ts, round(ret, 6) AS ret_1d, round(abs(ret), 6) AS ret_abs, round(vr2, 6) AS vol_ratio, round(rr, 6) AS range_ratio, round(abs(ret), 6) AS gap, round(vr2 * abs(ret), 6) AS vol_x_ret FROM an1""",
         "an1",
     ),
 )

@@ -61,7 +61,7 @@ def entry_context(df):
 def candidates(spark, d):
     f = sg.gate2(sg.gate1(entry_context(frame(spark, d))))
     f = sg.alignment(model_probs(f))
-    g3 = sg.gate3(src.bars(spark, d)).select("ticker", "ts", "g3_size_mult")
+    g3 = sg.gate3(src.bars(spark, d), src.bank_index(spark, d)).select("ticker", "ts", "g3_size_mult")
     f = f.join(g3, ["ticker", "ts"], "left").fillna(1.0, ["g3_size_mult"])
     conf = lambda c: F.round(clamp(F.greatest(f"{c}_long", f"{c}_flat", f"{c}_short") + F.col("conf_boost"), 0, 0.95), 6)
     one = lambda c: F.struct(F.lit(c).alias("category"), F.col(c).alias("direction"), conf(c).alias("confidence"))
@@ -128,23 +128,24 @@ register(
     ),
 )
 
+define("bn5", "SELECT ts, (close / lag(close, 5) OVER (ORDER BY ts) - 1) * 100 AS bn FROM series WHERE name = 'banknifty'", "series")
 define("g3a", f"SELECT *, close - lag(close) {W}) AS dl, (close / lag(close, 5) {W}) - 1) * 100 AS mom, {guarded('avg(volume)', 'volume', 5)} / ({guarded('avg(volume)', 'volume', 20)} + 1e-8) AS vt FROM bars", "bars")
 define(
     "g3b",
-    f"""SELECT * FROM (SELECT ticker, ts, mom, vt, 100 - 100 / (1 + {guarded('avg(greatest(dl, 0))', 'dl', 14)} / ({guarded('avg(greatest(-dl, 0))', 'dl', 14)} + 1e-10)) AS rsi FROM g3a) WHERE vt IS NOT NULL AND mom IS NOT NULL AND rsi IS NOT NULL""",
-    "g3a",
+    f"""SELECT g.*, coalesce(bn5.bn, 0) AS bn FROM (SELECT ticker, ts, mom, vt, 100 - 100 / (1 + {guarded('avg(greatest(dl, 0))', 'dl', 14)} / ({guarded('avg(greatest(-dl, 0))', 'dl', 14)} + 1e-10)) AS rsi FROM g3a) g ASOF LEFT JOIN bn5 ON g.ts >= bn5.ts WHERE vt IS NOT NULL AND mom IS NOT NULL AND rsi IS NOT NULL""",
+    "g3a", "bn5",
 )
 for _bear in (False, True):
     _z = "CASE WHEN rsi >= 65 OR rsi <= 35 THEN 1 WHEN rsi >= 55 OR rsi <= 45 THEN 0.5 ELSE 0 END" if _bear else "CASE WHEN rsi BETWEEN 40 AND 65 THEN 1 WHEN rsi BETWEEN 35 AND 70 THEN 0.5 ELSE 0 END"
     _s = "-" if _bear else ""
     define(
         "g3bear" if _bear else "g3",
-        f"""SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, ticker) AS rk FROM (SELECT *, round({_s}mom * 0.4 + {_s}(mom - avg(mom) OVER (PARTITION BY ts)) * 0.3 + {_z}::DOUBLE * 4 + (vt - 1), 6) AS score FROM g3b)""",
+        f"""SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, ticker) AS rk FROM (SELECT *, round({_s}mom * 0.4 + {_s}(mom - bn) * 0.3 + {_z}::DOUBLE * 4 + (vt - 1), 6) AS score FROM g3b)""",
         "g3b",
     )
     register(
         "gate3_rank" + ("_bear" if _bear else ""),
-        lambda spark, d, bear=_bear: sg.gate3(src.bars(spark, d), bear).select("ticker", "ts", "score", "rank", "g3_size_mult", "disqualified", "should_switch"),
+        lambda spark, d, bear=_bear: sg.gate3(src.bars(spark, d), src.bank_index(spark, d), bear).select("ticker", "ts", "score", "rank", "g3_size_mult", "disqualified", "should_switch"),
         sql(
             f"""SELECT ticker, ts, score, CAST(rk AS INT) AS rank, CASE WHEN score < -5 THEN 0 ELSE [1.0, 0.85, 0.7, 0.55, 0.4][rk] END::DOUBLE AS g3_size_mult, score < -5 AS disqualified, rk > 2 AS should_switch FROM {"g3bear" if _bear else "g3"}""",
             "g3bear" if _bear else "g3",
@@ -153,18 +154,18 @@ for _bear in (False, True):
 define("g3ca", f"SELECT *, close - lag(close) {W}) AS dl, (close / lag(close, 5) {W}) - 1) * 100 AS mom, {guarded('avg(volume)', 'volume', 5)} / ({guarded('avg(volume)', 'volume', 20)} + 1e-8) AS vt FROM clean", "clean")
 define(
     "g3cb",
-    f"""SELECT * FROM (SELECT ticker, ts, mom, vt, 100 - 100 / (1 + {guarded('avg(greatest(dl, 0))', 'dl', 14)} / ({guarded('avg(greatest(-dl, 0))', 'dl', 14)} + 1e-10)) AS rsi FROM g3ca) WHERE vt IS NOT NULL AND mom IS NOT NULL AND rsi IS NOT NULL""",
-    "g3ca",
+    f"""SELECT g.*, coalesce(bn5.bn, 0) AS bn FROM (SELECT ticker, ts, mom, vt, 100 - 100 / (1 + {guarded('avg(greatest(dl, 0))', 'dl', 14)} / ({guarded('avg(greatest(-dl, 0))', 'dl', 14)} + 1e-10)) AS rsi FROM g3ca) g ASOF LEFT JOIN bn5 ON g.ts >= bn5.ts WHERE vt IS NOT NULL AND mom IS NOT NULL AND rsi IS NOT NULL""",
+    "g3ca", "bn5",
 )
 define(
     "g3c",
-    """SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, ticker) AS rk FROM (SELECT *, round(mom * 0.4 + (mom - avg(mom) OVER (PARTITION BY ts)) * 0.3
+    """SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, ticker) AS rk FROM (SELECT *, round(mom * 0.4 + (mom - bn) * 0.3
     + CASE WHEN rsi BETWEEN 40 AND 65 THEN 1 WHEN rsi BETWEEN 35 AND 70 THEN 0.5 ELSE 0 END::DOUBLE * 4 + (vt - 1), 6) AS score FROM g3cb)""",
     "g3cb",
 )
 register(
     "universe_top1",
-    lambda spark, d: sg.gate3(ta.clean_bars(src.bars(spark, d))).where((F.col("rank") == 1) & ~F.col("disqualified")).select("ts", "ticker", "score", F.round("rsi", 4).alias("rsi")),
+    lambda spark, d: sg.gate3(ta.clean_bars(src.bars(spark, d)), src.bank_index(spark, d)).where((F.col("rank") == 1) & ~F.col("disqualified")).select("ts", "ticker", "score", F.round("rsi", 4).alias("rsi")),
     sql(
         "SELECT ts, ticker, score, round(rsi, 4) AS rsi FROM g3c WHERE rk = 1 AND NOT score < -5",
         "g3c",

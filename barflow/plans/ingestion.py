@@ -25,7 +25,7 @@ def flow_text(spark, d):
 register(
     "ingest_flow_csv",
     lambda spark, d: ld.ingest_new(ld.parse_flow(flow_text(spark, d)), src.flows(spark, d).where(F.col("trade_date") < "1996-01-01")),
-    sql("SELECT trade_date, fii_buy_cr AS buy, fii_sell_cr AS sell, fii_net_cr AS net FROM flows WHERE day(trade_date) <> 31 AND trade_date >= DATE '1996-01-01'", "flows"),
+    sql("SELECT trade_date, CASE WHEN day(trade_date) = 31 THEN 0 ELSE fii_buy_cr END AS buy, fii_sell_cr AS sell, fii_net_cr AS net FROM flows WHERE trade_date >= DATE '1996-01-01'", "flows"),
 )
 
 
@@ -35,7 +35,7 @@ def _double(spark, d):
     return jn.keep_first(ld.parse_flow(raw).withColumn("o", F.lit(0)).unionByName(ld.parse_flow(late).withColumn("o", F.lit(1))), ["trade_date"], ["o"]).drop("o")
 
 
-register("ingest_flow_union_dedupe", _double, sql("SELECT trade_date, fii_buy_cr AS buy, fii_sell_cr AS sell, fii_net_cr AS net FROM flows WHERE day(trade_date) <> 31", "flows"))
+register("ingest_flow_union_dedupe", _double, sql("SELECT trade_date, CASE WHEN day(trade_date) = 31 THEN 0 ELSE fii_buy_cr END AS buy, fii_sell_cr AS sell, fii_net_cr AS net FROM flows", "flows"))
 
 
 def _upsert(spark, d):

@@ -62,8 +62,8 @@ define(
 )
 define(
     "bars_intraday",
-    """SELECT ticker, time_bucket(INTERVAL '30 minutes', ts) AS ts, first(milli ORDER BY t.ts, milli) / 1000.0::DOUBLE AS open, max(milli) / 1000.0::DOUBLE AS high,
-    min(milli) / 1000.0::DOUBLE AS low, last(milli ORDER BY t.ts, milli) / 1000.0::DOUBLE AS close, CAST(count(*) AS DOUBLE) AS volume
+    """SELECT ticker, time_bucket(INTERVAL '30 minutes', ts) AS ts, first(milli ORDER BY t.ts, event_id) / 1000.0::DOUBLE AS open, max(milli) / 1000.0::DOUBLE AS high,
+    min(milli) / 1000.0::DOUBLE AS low, last(milli ORDER BY t.ts, event_id) / 1000.0::DOUBLE AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM ticks t GROUP BY ticker, time_bucket(INTERVAL '30 minutes', t.ts)""",
     "ticks",
 )

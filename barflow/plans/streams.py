@@ -20,7 +20,7 @@ def ntz(df, *cols):
 
 
 def ticks(spark, d):
-    return events(spark, d).select(F.col("event_type").alias("ticker"), "ts", (F.lit(200000) + F.round(F.col("value") * 100)).cast("long").alias("milli"))
+    return events(spark, d).select("event_id", F.col("event_type").alias("ticker"), "ts", (F.lit(200000) + F.round(F.col("value") * 100)).cast("long").alias("milli"))
 
 
 register(

@@ -99,9 +99,9 @@ def unscored(spark, d):
 
 register(
     "score_backlog",
-    lambda spark, d: tx.backlog(unscored(spark, d), 5, 50, F.col("processed").isNull()).select("doc_id", "ticker", "created_at"),
+    lambda spark, d: tx.backlog(unscored(spark, d), 50, F.col("processed").isNull()).select("doc_id", "ticker", "created_at"),
     sql(
-        """SELECT doc_id, ticker, created_at FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, doc_id DESC) AS k FROM news WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE k <= 5
+        """SELECT doc_id, ticker, created_at FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY created_at DESC, doc_id DESC) AS k FROM news WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE k <= (SELECT greatest(5, 50 // count(DISTINCT ticker)) FROM news WHERE doc_id NOT IN (SELECT doc_id FROM labels))
   ORDER BY created_at DESC, doc_id DESC LIMIT 50""",
         "news",
     ),
@@ -155,7 +155,7 @@ _E = [("src0", "the"), ("src1", "and"), ("src2", "les"), ("src3", "und"), ("src4
 
 
 _NW = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
-define("nin0", f"SELECT doc_id, created_at, {_NW.format('title')} AS title, substring({_NW.format('summary')}, 1, 1000) AS summary FROM news", "news")
+define("nin0", f"SELECT doc_id, created_at, {_NW.format('title')} AS title, {_NW.format('summary')} AS summary FROM news", "news")
 define(
     "nin",
     f"""SELECT n.doc_id, k.t AS ticker, ({' OR '.join(f"contains(lower(concat_ws(' ', title, summary)), '{t}')" for t in tx.IMPORTANT)})::INT AS is_important FROM nin0 n JOIN (VALUES {', '.join(map(str, _E))}) k(t, w) ON contains(lower(concat_ws(' ', title, summary)), k.w)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,18 +25,3 @@ def local(cpus: int | str = "*", shuffle: int = 8, name: str = "barflow", memory
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so a lost executor costs no lineage replay.
-
-    The folder comes from ``spark.checkpoint.dir``; only where nothing is set (tests) a scratch
-    folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current is None:
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barflow-checkpoint-"))
-    return df.checkpoint()

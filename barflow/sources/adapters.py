@@ -9,10 +9,12 @@ a hash aggregate over fixed-width buffers with a map-side combine.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK = 1 << 20
+PACK = 1 << 20  # above every price that ``lineitem_price`` can make
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,38 +92,43 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "ticker") -> DataFrame:
 
 
 def bars_intraday(spark: SparkSession, sf_dir: str, minutes: int = 30) -> DataFrame:
-    """OHLCV per event type and ``minutes`` window; ties inside a microsecond break on price."""
-    events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
-    return tick_bars(events.select(F.col("event_type").alias("ticker"), "ts", (F.lit(200000) + F.round(F.col("value") * 100)).cast("long").alias("milli")), minutes)
+    """OHLCV per event type and ``minutes`` window; ties inside a microsecond break on the event id."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    return tick_bars(events.select("event_id", F.col("event_type").alias("ticker"), "ts", (F.lit(200000) + F.round(F.col("value") * 100)).cast("long").alias("milli")), minutes)
 
 
 def tick_bars(ticks: DataFrame, minutes: int) -> DataFrame:
-    """(ticker, ts, milli) ticks to bars; ``milli`` is the price in thousandths."""
+    """(ticker, ts, event_id, milli) ticks to bars; ``milli`` is the price in thousandths, of any size."""
     slot = F.window("ts", f"{minutes} minutes")["start"]
     offset = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("slot").cast("timestamp"))
-    packed = offset * PACK + F.col("milli")
+    at = tick_order(offset)
     return (
         ticks.withColumn("slot", slot)
         .groupBy("ticker", F.col("slot").alias("ts"))
         .agg(
-            F.min(packed).alias("_first"),
+            F.min_by("milli", at).alias("_first"),
             F.max("milli").alias("_high"),
             F.min("milli").alias("_low"),
-            F.max(packed).alias("_last"),
+            F.max_by("milli", at).alias("_last"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select(
             "ticker",
             "ts",
-            ((F.col("_first") % PACK) / 1000).alias("open"),
+            (F.col("_first") / 1000).alias("open"),
             (F.col("_high") / 1000).alias("high"),
             (F.col("_low") / 1000).alias("low"),
-            ((F.col("_last") % PACK) / 1000).alias("close"),
+            (F.col("_last") / 1000).alias("close"),
             "volume",
         )
     )
 
 
+def tick_order(offset: F.Column) -> F.Column:
+    """Time offset, then event id, as one number: a fixed-width buffer, so the aggregate stays a hash aggregate."""
+    return offset.cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
+
+
 def cents(name: str) -> F.Column:
     return F.round(F.col(name) * 100).cast("long")
 
@@ -276,6 +283,11 @@ def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("ticker").alias("name"), "ts", (F.col("close") / lookup("ticker", SERIES, 1.0)).alias("close"))
 
 
+def bank_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily closes of the bank index."""
+    return market_series(spark, sf_dir).where(F.col("name") == "banknifty").select("ts", "close")
+
+
 def bulk_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as market-wide deals: urgent/high are buys, the rest sells."""
     return table(spark, sf_dir, "orders").select(

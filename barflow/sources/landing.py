@@ -21,9 +21,9 @@ def read_flow_csv(spark: SparkSession, paths: Sequence[str] | str, fields: Seque
 
 
 def parse_flow(raw: DataFrame, fields: Sequence[str] = FLOW_FIELDS) -> DataFrame:
-    """Dates and numbers typed; rows with ``NA``, blanks or an unreadable date are dropped."""
+    """Dates and numbers typed; rows without a readable date or last field (the net) are dropped, other missing numbers are 0."""
     x = raw.select(parse_date("date", ("d MMM yyyy", "yyyy-MM-dd")).alias("trade_date"), *[clean_number(f).alias(f) for f in fields])
-    return x.dropna()
+    return x.dropna(subset=["trade_date", fields[-1]]).fillna(0.0, list(fields[:-1]))
 
 
 def ingest_new(parsed: DataFrame, existing: DataFrame, key: str = "trade_date") -> DataFrame:

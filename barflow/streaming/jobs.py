@@ -6,6 +6,7 @@ resumes where the last committed batch ended.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,12 +29,14 @@ def source(spark: SparkSession, folder: str, name: str, schema, files_per_batch:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; a local one only where none is set."""
+    """A fresh folder below the cluster's shared checkpoint folder; a local one only in a session of one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         import uuid
 
         return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="barflow-stream-")
 
 
@@ -46,14 +49,14 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def tick_bars(ticks: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
-    """Tumbling bars from (ticker, ts, milli); a bar is emitted once the watermark has passed its end."""
+    """Tumbling bars from (ticker, ts, event_id, milli); a bar is emitted once the watermark has passed its end."""
     t = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    packed = F.pmod(F.unix_micros("ts"), F.lit(minutes * 60_000_000)) * src.PACK + F.col("milli")
+    at = src.tick_order(F.pmod(F.unix_micros("ts"), F.lit(minutes * 60_000_000)))
     agg = t.groupBy("ticker", F.window("ts", f"{minutes} minutes").alias("w")).agg(
-        F.min(packed).alias("_first"), F.max("milli").alias("_high"), F.min("milli").alias("_low"), F.max(packed).alias("_last"), F.count(F.lit(1)).cast("double").alias("volume")
+        F.min_by("milli", at).alias("_first"), F.max("milli").alias("_high"), F.min("milli").alias("_low"), F.max_by("milli", at).alias("_last"), F.count(F.lit(1)).cast("double").alias("volume")
     )
     return agg.select(
-        "ticker", F.col("w.start").alias("ts"), ((F.col("_first") % src.PACK) / 1000).alias("open"), (F.col("_high") / 1000).alias("high"), (F.col("_low") / 1000).alias("low"), ((F.col("_last") % src.PACK) / 1000).alias("close"), "volume",
+        "ticker", F.col("w.start").alias("ts"), (F.col("_first") / 1000).alias("open"), (F.col("_high") / 1000).alias("high"), (F.col("_low") / 1000).alias("low"), (F.col("_last") / 1000).alias("close"), "volume",
     )
 
 
@@ -172,17 +175,24 @@ def exit_monitor(stream: DataFrame, key: str = "position_id", order: tuple[str,
 def latest_sink(stream: DataFrame, key: str, order: list[str], base: str | None = None) -> DataFrame:
     """One row per key, newest wins: every batch is folded to its newest rows and merged by version.
 
-    Versions are separate folders named by batch, so a replayed batch rewrites its own.
+    Versions are separate folders named by batch, so a replayed batch rewrites its own; a version counts once its
+    ``_SUCCESS`` file is there. A run without new data gives the newest version, a run before any data an empty table.
     """
     spark, base = stream.sparkSession, base or scratch(stream.sparkSession)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def newest(below: int | None = None) -> str | None:
+        whole = [int(m[1]) for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")) or []) if (m := re.search(r"/v(\d+)/_SUCCESS$", s.getPath().toString()))]
+        versions = [v for v in whole if below is None or v < below]
+        return f"{base}/v{max(versions)}" if versions else None
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = keep_last(batch, [key], order)
-        if epoch > 0:
-            new = keep_last(new.unionByName(spark.read.parquet(f"{base}/v{epoch - 1}")), [key], order)
+        new, before = keep_last(batch, [key], order), newest(epoch)
+        if before:
+            new = keep_last(new.unionByName(spark.read.parquet(before)), [key], order)
         new.write.mode("overwrite").parquet(f"{base}/v{epoch}")
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{base}/v{last}")
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    last = newest()
+    return spark.read.parquet(last) if last else spark.createDataFrame([], stream.schema)

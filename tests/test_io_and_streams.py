@@ -17,7 +17,7 @@ def test_flow_csv_round_trip(spark, tmp_path):
         (tmp_path / f"flow_{year}.csv").write_text("date,buy,sell,net\n" + body)
     raw = ld.read_flow_csv(spark, str(tmp_path))
     got = ld.ingest_new(ld.parse_flow(raw), spark.createDataFrame([(dt.date(2019, 1, 1),)], "trade_date date")).orderBy("trade_date").collect()
-    assert [(r.trade_date.isoformat(), r.buy) for r in got] == [("2020-01-02", 1200.5), ("2021-01-04", 5.0)]
+    assert [(r.trade_date.isoformat(), r.buy) for r in got] == [("2020-01-02", 1200.5), ("2020-01-03", 0.0), ("2021-01-04", 5.0)]
 
 
 def test_asof_bucketed_equals_brute_force(spark):
