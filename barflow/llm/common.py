@@ -207,3 +207,26 @@ def bit_filter(df: DataFrame, column: str, bits: int = 25) -> np.ndarray:
 def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     cell = hashes & U(len(bitmap) * 8 - 1)
     return (bitmap[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _id_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column("id").to_numpy().view(U)).view(np.int64))], ["cell"])
+
+
+def _those_in(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(passes(bitmap.value, mix(batch.column("id").to_numpy().view(U)))))
+
+    return run
+
+
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) whose id is among ``ids``, and perhaps a few more, written; texts of others are not shuffled.
+
+    The ids are known by a bitmap of fixed size, so nothing that grows is broadcast; with very many ids it lets more texts pass.
+    """
+    bitmap = texts.sparkSession.sparkContext.broadcast(bit_filter(ids.select("id").where("id is not null").mapInArrow(_id_cells, "cell long"), "cell"))
+    return written(texts.where("id is not null").mapInArrow(_those_in(bitmap), "id long, text string"))

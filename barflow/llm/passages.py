@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bit_filter, distinct, mix, passes, shingles, slices, words, written
+from .common import U, distinct, mix, shingles, slices, texts_of, words, written
 from .records import article_text
 
 #: Words of a run (a token of the windows), hash functions, and hits that a pair needs from them to be verified at first.
@@ -210,19 +210,6 @@ def _block_pairs(least: int, percent: int):
     return run
 
 
-def _candidates_only(bitmap):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(bitmap.value, mix(batch.column("id").to_numpy().view(U)))))
-
-    return run
-
-
-def _id_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column("id").to_numpy().view(U)).view(np.int64))], ["cell"])
-
-
 def _with_texts(pairs: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id").join(texts, "id")
     return both.select("first_id", "id", "first_text", "text", "hits").mapInArrow(_verify(least, percent), _FOUND)
@@ -260,8 +247,7 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
         F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"), F.countDistinct(F.col("key").bitwiseAND(7)).alias("kinds"),
     ).where(F.col("kinds") >= ENOUGH).drop("kinds")
     ids = met.select("id").union(met.select(F.col("first_id").alias("id")))
-    bitmap = news.sparkSession.sparkContext.broadcast(bit_filter(ids.distinct().mapInArrow(_id_cells, "cell long"), "cell"))
-    kept = written(texts.mapInArrow(_candidates_only(bitmap), "id long, text string"))
+    kept = texts_of(texts, ids)
     found = written(_with_texts(pairs, kept, least, percent))
     # Key members whose place lies in no passage found with the representative, in blocks with each other.
     done = found.select("first_id", "id", "start_word", "end_word")
