@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .records import article_text
 
 #: A chunk ends at the first line end or full stop after SHORTEST characters, or at LONGEST.
@@ -36,8 +37,8 @@ def exact_duplicates(news: DataFrame, id_col: str = "id") -> DataFrame:
     Texts are cut into content-defined chunks. The distinct chunks are gathered under their 128-bit digest and compared
     by their characters; should two share a digest, the next seed is tried, so the digests in use are verified
     identifiers. A document then is its ordered list of identifiers: only these lists, a hundredth of the text, are
-    grouped and joined. Groups of any size are summed before the shuffle; the join back is a sort-merge join whose hot
-    keys Spark splits.
+    grouped, and joined with the groups of several rows. Groups of any size are summed before the shuffle; the join back
+    is a sort-merge join whose hot keys Spark splits.
 
     Null title and summary make the empty text, which is a text like others. Rows with a null id are counted, and stay
     only if no row of the group has an id. Repeated rows with one id count as rows and share their ``kept``. No rows give no rows.
@@ -47,5 +48,9 @@ def exact_duplicates(news: DataFrame, id_col: str = "id") -> DataFrame:
     while not identifies(texts, seed):
         seed += 1
     recipes = texts.select("id", F.sha2("text", 256).alias("text_sha256"), F.transform(chunks(F.col("text")), lambda c: digest(c, seed)).alias("recipe"))
-    groups = recipes.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select("id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"), "text_sha256")
+    # Written, so that both sides of the join are plain shuffles, which Spark can split at a hot recipe.
+    groups = written(recipes.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return recipes.join(groups, "recipe", "left").select(
+        "id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep_id.eqNullSafe(F.col("id")).alias("kept"), "text_sha256"
+    )
