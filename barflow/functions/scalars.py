@@ -111,7 +111,9 @@ def normalise_ticker(c: Column | str) -> Column:
 
 
 def json_number(c: Column | str, path: str, divisor: float = 1.0) -> Column:
-    return F.get_json_object(col(c), path).try_cast("double") / F.lit(divisor)
+    """Number at ``path``; ``true`` is 1 and ``false`` 0."""
+    text = F.get_json_object(col(c), path)
+    return F.coalesce(text.try_cast("double"), F.when(text == "true", 1.0).when(text == "false", 0.0)) / F.lit(divisor)
 
 
 def clean_number(c: Column | str) -> Column:

@@ -72,10 +72,11 @@ def time_series_cv(df: DataFrame, names: list[str], folds: int = 3, model: str =
     return out
 
 
-def calibrate(pred: DataFrame, classes: int = 3, min_isotonic: int = 150) -> DataFrame:
+def calibrate(pred: DataFrame, classes: int = 3, method: str = "isotonic") -> DataFrame:
     """Per-class calibration on (label, probability), clipped to 1e-4 and renormalised.
 
-    Isotonic where the set is large enough, else logistic.
+    ``method``: ``isotonic`` (for 150 rows or more) or ``logistic``; the caller decides. The isotonic
+    fit sees probabilities in thousandths with their weights, so at most 1,001 rows a class, whatever the input.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -84,11 +85,11 @@ def calibrate(pred: DataFrame, classes: int = 3, min_isotonic: int = 150) -> Dat
 
     p = vector_to_array("probability")
     x = pred.withColumns({f"raw_{k}": p[k] for k in range(classes)})
-    n = x.count()
     for k in range(classes):
         y = (F.col("label") == k).cast("double")
-        if n >= min_isotonic:
-            fit = IsotonicRegression(featuresCol=f"raw_{k}", labelCol="_y", predictionCol=f"cal_{k}").fit(x.withColumn("_y", y).select("_y", f"raw_{k}"))
+        if method == "isotonic":
+            binned = x.groupBy(F.round(f"raw_{k}", 3).alias(f"raw_{k}")).agg(F.avg(y).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+            fit = IsotonicRegression(featuresCol=f"raw_{k}", labelCol="_y", weightCol="_w", predictionCol=f"cal_{k}").fit(binned)
             x = fit.transform(x)
         else:
             vec = VectorAssembler(inputCols=[f"raw_{k}"], outputCol="_v")
@@ -105,6 +106,11 @@ def not_worse(new: float, old: float | None, slack: float = 0.01) -> bool:
     return old is None or new >= old - slack
 
 
+def replacements(scores: DataFrame, slack: float = 0.01) -> DataFrame:
+    """Which freshly trained models replace the stored ones: rows with ``new`` and ``old`` score (null: none stored)."""
+    return scores.withColumn("replaced", F.col("old").isNull() | (F.col("new") >= F.col("old") - slack))
+
+
 def replace_if_not_worse(model, path: str, new: float, old: float | None) -> bool:
     if not not_worse(new, old):
         return False

@@ -9,6 +9,7 @@ from ..operators import joins as jn
 from ..operators import technical as ta
 from ..sources import adapters as src
 from ..sources import landing as ld
+from ..streaming import jobs
 from .gates import model_probs
 from .oracle import define, sql
 from .registry import register
@@ -204,8 +205,8 @@ register(
 )
 register(
     "drop_forming_bar",
-    lambda spark, d: ta.drop_forming(src.bars_intraday(spark, d), F.lit("2024-01-15 10:10:00").cast("timestamp_ntz"), 30).select("ticker", "ts"),
-    sql("SELECT ticker, ts FROM bars_intraday WHERE ts + INTERVAL 30 MINUTES <= TIMESTAMP '2024-01-15 10:10:00'", "bars_intraday"),
+    lambda spark, d: ta.drop_forming(src.bars_intraday(spark, d), src.bars_intraday(spark, d).select(F.max("ts") + F.expr("interval 10 minutes")).scalar(), 30).select("ticker", "ts"),
+    sql("SELECT ticker, ts FROM bars_intraday WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM bars_intraday) + INTERVAL 10 MINUTES", "bars_intraday"),
 )
 register(
     "reconcile_check",
@@ -213,8 +214,23 @@ register(
     sql("""SELECT year, n AS n_rows, k AS n_ok, round(k / n, 4) AS ok_share, k = n AS consistent FROM (SELECT CAST(year(trade_date) AS INT) AS year, count(*) AS n, count(*) FILTER (day(trade_date) <> 13) AS k FROM flows GROUP BY 1)""", "flows"),
 )
 _OK = "SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate {0}, o_orderkey {0}) = 1"
-for _k, _fn, _dir in (("sink_insert_ignore", jn.keep_first, "ASC"), ("sink_replace", jn.keep_last, "DESC")):
-    register(_k, lambda spark, d, fn=_fn: fn(src.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate"), sql(_OK.format(_dir)))
+
+
+def stored(sink):
+    """Two batches of orders, one after the other, through a sink and read back."""
+
+    def run(spark, d):
+        orders = src.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+        path = jobs.scratch(spark)
+        for batch in (F.col("o_orderdate") < "1998-01-01", F.col("o_orderdate") >= "1998-01-01"):
+            sink(orders.where(batch), path, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+        return ld.read_sink(spark, path).drop("o_orderdate")
+
+    return run
+
+
+for _k, _sink, _dir in (("sink_insert_ignore", ld.insert_ignore, "ASC"), ("sink_replace", ld.replace, "DESC")):
+    register(_k, stored(_sink), sql(_OK.format(_dir)))
 register("sink_latest_upsert", lambda spark, d: jn.keep_last(src.table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]), sql("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"))
 
 

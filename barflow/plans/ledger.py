@@ -57,8 +57,8 @@ register(
 )
 register(
     "outcome_by_uuid",
-    lambda spark, d: src.ledger(spark, d).where(F.col("signal_uuid").startswith("77-")).select("signal_uuid", "ticker", "pnl_pct"),
-    sql("SELECT signal_uuid, ticker, pnl_pct FROM ledger WHERE signal_uuid LIKE '77-%'", "ledger"),
+    lambda spark, d: src.ledger(spark, d).where(F.col("signal_uuid") == src.ledger(spark, d).select(F.max("signal_uuid")).scalar()).select("signal_uuid", "ticker", "pnl_pct"),
+    sql("SELECT signal_uuid, ticker, pnl_pct FROM ledger WHERE signal_uuid = (SELECT max(signal_uuid) FROM ledger)", "ledger"),
 )
 for _dim in ("regime", "alignment"):
     register(f"by_{_dim}", lambda spark, d, c=_dim: src.ledger(spark, d).groupBy(c).agg(*lq.core()), sql(f"SELECT {_dim}, {CORE} FROM ledger GROUP BY 1", "ledger"))

@@ -35,13 +35,33 @@ register(
 
 def _calibrated(spark, d):
     x = ml.prepare(labelled(spark, d), X)
-    cut = F.lit("2000-12-01").cast("date")
+    day = x.agg(F.percentile_approx(F.unix_date("ts"), 0.85).alias("day")).first()["day"]  # the last 15 % calibrate
+    cut = F.date_from_unix_date(F.lit(day))
     fit = ml.classifier(X, 20, 4).fit(x.where(F.col("ts") < cut))
     out = ml.calibrate(fit.transform(x.where(F.col("ts") >= cut)))
     return out.select("ticker", "ts", "label", *[F.round(f"cal_{k}", 6).alias(f"cal_{k}") for k in range(3)])
 
 
 register("calibrate", _calibrated)
+
+
+def _scores(spark, d):
+    """Share of entries on the right side of each category, in the last year (new) and the one before (old)."""
+    x = src.ledger(spark, d).select(F.col("category").alias("model"), F.year("close_date").alias("y"), (F.col("pnl_points") > 0).cast("int").alias("hit"))
+    last = x.select(F.max("y")).scalar()
+    share = lambda y: F.round(F.avg(F.when(F.col("y") == y, F.col("hit"))), 6)
+    return x.groupBy("model").agg(share(last).alias("new"), share(last - 1).alias("old"))
+
+
+register(
+    "replace_if_not_worse",
+    lambda spark, d: ml.replacements(_scores(spark, d)),
+    sql(
+        """SELECT *, old IS NULL OR new >= old - 0.01 AS replaced FROM (SELECT category AS model, round(avg((pnl_points > 0)::INT) FILTER (year(close_date) = (SELECT max(year(close_date)) FROM ledger)), 6) AS new,
+    round(avg((pnl_points > 0)::INT) FILTER (year(close_date) = (SELECT max(year(close_date)) FROM ledger) - 1), 6) AS old FROM ledger GROUP BY 1)""",
+        "ledger",
+    ),
+)
 register("importance_rank", lambda spark, d: ml.importance(ml.train(labelled(spark, d), X), X, spark))
 define("ive", "SELECT feature, list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e, count(*) FILTER (label = 2) AS g, count(*) FILTER (label = 0) AS b, count(*) AS n FROM mlm WHERE label <> 1 GROUP BY 1", "mlm")
 define("ivb", "SELECT m.feature, e.g, e.b, len(list_filter(e.e, lambda q: m.value > q)) AS bin, count(*) FILTER (label = 2) AS good, count(*) FILTER (label = 0) AS bad FROM mlm m JOIN ive e USING (feature) WHERE label <> 1 GROUP BY ALL", "mlm", "ive")

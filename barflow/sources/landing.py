@@ -158,6 +158,39 @@ def feature_json(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> Da
     return df.select(*keep, F.size(ok).alias("n_features"), F.to_json(ok).alias("feature_values"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions below a sink's folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName()[1:]) for s in found or [])
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a keyed sink."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+
+
+def insert_ignore(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Adds the rows whose key the table lacks, the first per key, as a new version; a half-written version never counts."""
+    from ..operators.joins import keep_first
+
+    spark, new, done = batch.sparkSession, keep_first(batch, keys, order), _versions(batch.sparkSession, path)
+    if done:
+        old = read_sink(spark, path)
+        new = old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"))
+    write_table(new, f"{path}/v{done[-1] + 1 if done else 0}", mode="overwrite")
+
+
+def replace(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Puts the last row per key of the batch in the place of the table's, as a new version."""
+    from ..operators.joins import keep_last
+
+    spark, new, done = batch.sparkSession, keep_last(batch, keys, order), _versions(batch.sparkSession, path)
+    if done:
+        new = new.unionByName(read_sink(spark, path).join(new.select(*keys), list(keys), "left_anti"))
+    write_table(new, f"{path}/v{done[-1] + 1 if done else 0}", mode="overwrite")
+
+
 def write_table(df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "append") -> None:
     """Partitioned Parquet; rows are gathered by partition first so each directory gets few files."""
     out = df.repartition(*partitions) if partitions else df
