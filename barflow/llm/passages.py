@@ -18,8 +18,8 @@ RUN, FUNCTIONS, ENOUGH = 5, 3, 2
 BESIDE = 12
 #: Runs that may be missing in a row within a passage (two words changed close together); where the whole is not similar enough, fewer may, at last none.
 GAPS = (12, 5, 0)
-#: Members of a key that meet at once in the exhaustive pass, and the runs around a window's smallest one they are compared by.
-BLOCK, AROUND = 64, 64
+#: About so many members of a key are a block of the exhaustive pass, in which two blocks meet at once.
+BLOCK = 512
 _SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) | 1 for i in range(FUNCTIONS)], U)
 _FAR = (1 << 16) - 1
 
@@ -165,37 +165,49 @@ def _verify(least: int, percent: int):
 _FOUND = "first_id long, id long, first_start long, first_end long, start_word long, end_word long, similarity double"
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs around the place of a key, as bytes."""
-    for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
-        runs, counts = shingles(*words(batch.column("text")), RUN)
-        ends = np.cumsum(counts)
-        out = []
-        for e, n, at in zip(ends, counts, batch.column("at").to_numpy(), strict=True):
-            own, c = runs[e - n : e], int(at) >> 32
-            out.append(distinct(own[max(0, c - AROUND) : c + AROUND + 1]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("at"), pa.array(out, pa.binary())], ["key", "id", "at", "around"])
+def _around(least: int):
+    """The runs that a passage of ``least`` runs with a key's place in it may have, in order, as 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
+            runs, counts = shingles(*words(batch.column("text")), RUN)
+            ends = np.cumsum(counts)
+            out = []
+            for e, n, at in zip(ends, counts, batch.column("at").to_numpy(), strict=True):
+                own, c = runs[e - n : e], int(at) >> 32
+                out.append((own[max(0, c - least + 1) : c + least] >> U(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("at"), pa.array(out, pa.binary())], ["key", "id", "at", "around"])
+
+    return run
 
 
 def _block_pairs(least: int, percent: int):
-    """Pairs of members of a key, of rows sorted by (key, i, j), that have enough runs around it in common."""
-    need = least * percent // 100 * 9 // 10
+    """Pairs of members of a key, of rows sorted by (key, i, j): one has ``least`` runs around the key of which the other has ``percent``."""
+    need = -(-least * percent // 100)
 
     def of(rows: pa.RecordBatch) -> np.ndarray:
         ids, block, at = (rows.column(c).to_numpy() for c in ("id", "block", "at"))
-        sets = [np.frombuffer(s, U) for s in rows.column("around").to_pylist()]
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
-        has = np.zeros((len(sets), column.max() + 1 if len(column) else 1), np.float32)
-        has[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
-        pair = (has @ has.T >= need) & (ids[:, None] < ids[None, :])
-        if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
-            pair &= block[:, None] != block[None, :]
-        x, y = np.nonzero(pair)
-        return np.stack((ids[x], ids[y], at[x], at[y]))
+        runs = [np.frombuffer(s, np.uint32) for s in rows.column("around").to_pylist()]
+        _, column = np.unique(np.concatenate(runs), return_inverse=True)
+        ends = np.cumsum([len(r) for r in runs])
+        has = np.zeros((len(runs), column.max() + 1), np.uint8)
+        has[np.repeat(np.arange(len(runs)), [len(r) for r in runs]), column] = 1
+        split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        found = []
+        for x, end in enumerate(ends):
+            y = np.flatnonzero((ids > ids[x]) & ((block != block[x]) | (not split)))
+            own = column[end - len(runs[x]) : end]
+            if not len(y) or len(own) < least:
+                continue
+            upto = np.zeros((len(y), len(own) + 1), np.int16)
+            np.cumsum(has[np.ix_(y, own)], axis=1, out=upto[:, 1:])
+            y = y[(upto[:, least:] - upto[:, :-least]).max(axis=1) >= need]
+            found.append(np.stack((np.full(len(y), ids[x]), ids[y], np.full(len(y), at[x]), at[y])))
+        return np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
             held = batch if held is None or not held.num_rows else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             keys = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
             starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1))
@@ -266,7 +278,7 @@ def _rest(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFr
     """Candidate pairs among members of a key, from every pair of its blocks."""
     several = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = left.join(several, "key").join(texts, "id").select("key", "id", "at", "blocks", "text")
-    around = rows.select("key", "id", "at", "text").mapInArrow(_around, "key long, id long, at long, around binary").join(several, "key")
+    around = rows.select("key", "id", "at", "text").mapInArrow(_around(least), "key long, id long, at long, around binary").join(several, "key")
     members = around.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "at", "around",
