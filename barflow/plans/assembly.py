@@ -11,7 +11,7 @@ from ..operators import technical as ta
 from ..sources import adapters as src
 from .macro import MF, names
 from .oracle import define, sql
-from .registry import register
+from .registry import register, wrap
 
 TECH = ["rsi_14", "stoch_rsi", "adx", "bb_pct_b", "atr_ratio", "hv_ratio", "volume_ratio", "returns_1d", "returns_5d", "returns_20d", "ema_spread", "mfi", "cmf", "range_pct_52w"]
 
@@ -46,3 +46,4 @@ for _m, (_h, _t) in fa.LABELS.items():
         lambda spark, d, m=_m: fa.training_set(technical(spark, d), src.bars(spark, d), m, "1996-01-01").select("ticker", "ts", "label", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rsi_14", "adx", "returns_5d")]),
         sql(f"SELECT f.ticker, f.ts, label, rsi_14, adx, returns_5d FROM fw0 f JOIN lab_{_m} l USING (ticker, ts) WHERE f.ts >= DATE '1996-01-01'", "fw0", f"lab_{_m}"),
     )
+wrap(src.once, "feature_wide", "data_quality", *(f"training_set_{m}" for m in fa.LABELS))

@@ -16,7 +16,7 @@ from ..sources import adapters as src
 from .macro import market
 from .oracle import define, sql
 from .regime import RULES_SQL
-from .registry import register
+from .registry import register, wrap
 from .technical import W, guarded
 
 # ---- inputs ---------------------------------------------------------------------------------
@@ -400,3 +400,6 @@ register(
         "openpos", "mnow",
     ),
 )
+
+# Queries over the whole context of a bar: their small inputs are derived once.
+wrap(src.once, "gate2_rules", "gate2_confirms", "gate5_entry", "gate6_confidence", "category_signals", "best_signal", "best_signal_per_name", "funnel", "near_misses")

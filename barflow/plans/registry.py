@@ -28,6 +28,11 @@ def register(key: str, fn: Query, sql: Check | None = None) -> None:
         _ORACLES[key] = sql
 
 
+def wrap(decorator: Callable[[Query], Query], *keys: str) -> None:
+    for key in keys:
+        _QUERIES[key] = decorator(_QUERIES[key])
+
+
 def query(key: str, sql: Check | None = None) -> Callable[[Query], Query]:
     def wrap(fn: Query) -> Query:
         register(key, fn, sql)

@@ -9,11 +9,50 @@ a hash aggregate over fixed-width buffers with a map-side combine.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from decimal import Decimal
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
+_kept: ContextVar[dict | None] = ContextVar("kept", default=None)
+
+
+def derived(fn):
+    """An adapter whose rows are bounded by the calendar: within :func:`once` they are written and read from there."""
+
+    @wraps(fn)
+    def get(spark: SparkSession, sf_dir: str, *args, **kw) -> DataFrame:
+        kept = _kept.get()
+        if kept is None:
+            return fn(spark, sf_dir, *args, **kw)
+        key = (fn.__name__, sf_dir, args, tuple(sorted(kw.items())))
+        if key not in kept:
+            rows, path = fn(spark, sf_dir, *args, **kw), f"{scratch(spark)}/{fn.__name__}"
+            rows.write.parquet(path)
+            kept[key] = spark.read.schema(rows.schema).parquet(path)
+        return kept[key]
+
+    return get
+
+
+def once(query):
+    """A query that uses derived tables again and again: each fact table behind them is scanned once, and the plan stays short."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _kept.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _kept.reset(token)
+
+    return run
+
+
 PACK = 1 << 20  # above every price that ``lineitem_price`` can make
 
 
@@ -61,6 +100,7 @@ def lineitem_price() -> F.Column:
     return (F.round(1000 * (1 + F.col("l_discount") - F.col("l_tax"))).cast("long") + F.col("l_quantity").cast("long") + wave).cast("long")
 
 
+@derived
 def bars(spark: SparkSession, sf_dir: str, by: str = "ticker") -> DataFrame:
     """Daily OHLCV per region (``by='ticker'``) or per supplier (``by='s_name'``)."""
     px = F.col("px")
@@ -275,6 +315,7 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@derived
 def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, ts, close): one close per market series and day, scaled to its usual level."""
     from ..functions.scalars import lookup
@@ -326,6 +367,7 @@ def shareholding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("ticker", "quarter", *[F.round(F.col(c) / F.col("_all") * 100, 4).alias(c) for c in HOLDERS])
 
 
+@derived
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly ratios per region from order-line averages, spread around banking levels."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("fetched_at"))
@@ -374,6 +416,7 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.trunc("d", "month").alias("m")).agg(F.max("d").alias("event_date")).select("event_date")
 
 
+@derived
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly results per region: EPS against the previous quarter's as the estimate."""
     from pyspark.sql import Window as W

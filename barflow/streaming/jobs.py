@@ -7,7 +7,6 @@ resumes where the last committed batch ended.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.joins import keep_last
 from ..operators.regime import HIGH_VOL
+from ..session import scratch
 from ..sources import adapters as src
 
 
@@ -28,18 +28,6 @@ def source(spark: SparkSession, folder: str, name: str, schema, files_per_batch:
     return r.parquet(folder)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; a local one only in a session of one process (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="barflow-stream-")
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run everything available through a Parquet sink, then read the table back."""
     spark, base = stream.sparkSession, scratch(stream.sparkSession)
