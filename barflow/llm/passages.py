@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, distinct, mix, shingles, slices, texts_of, words, written
+from .common import U, bit_filter, distinct, mix, passes, shingles, slices, texts_of, words, written
+from .mixing import WORD
 from .records import article_text
 
 #: Words of a run (a token of the windows), hash functions, and hits that a pair needs from them to be verified at first.
-RUN, FUNCTIONS, ENOUGH = 5, 3, 2
+RUN, FUNCTIONS, ENOUGH = 5, 2, 2
 #: A window's key also has the run this far before or after its smallest one; a passage of 50 words has one of the two.
 BESIDE = 12
 #: Runs that may be missing in a row within a passage (two words changed close together); where the whole is not similar enough, fewer may, at last none.
@@ -59,7 +60,17 @@ def _pack(c: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (c.astype(np.int64) << 32) | (np.minimum(left, _FAR).astype(np.int64) << 16) | np.minimum(right, _FAR)
 
 
-def _keys(least: int):
+def _first_of_repeats(key: np.ndarray, row: np.ndarray, packed: np.ndarray, least: int) -> np.ndarray:
+    """Of places with one key in one text that follow each other within ``least`` runs (looping text) the first."""
+    order = np.lexsort((packed, row, key))
+    k, r, c = key[order], row[order], packed[order] >> 32
+    again = (k[1:] == k[:-1]) & (r[1:] == r[:-1]) & (c[1:] - c[:-1] < least)
+    return order[np.concatenate(([True], ~again))] if len(order) else order
+
+
+def _keys(least: int, bitmap=None):
+    """Keys of the compact windows of each text: which function and side (top bits) and the hash of the two runs. With a bitmap, those it lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, "text", 1 << 18)):
             runs, counts = shingles(*words(batch.column("text")), RUN)
@@ -68,17 +79,19 @@ def _keys(least: int):
             out: list[tuple] = []
             for f in range(FUNCTIONS):
                 a, c, b = compact_windows(mix(runs * _SALTS[f]), starts, ends, least)
-                if not len(a):
-                    continue
                 row = np.searchsorted(ends, c, "right")
                 packed = _pack(c - starts[row], c - a, b - 1 - c)
                 for side, beside in enumerate((c - BESIDE, c + BESIDE)):
                     ok = np.flatnonzero((beside >= starts[row]) & (beside < ends[row]))
-                    key = mix(runs[c[ok]] * _SALTS[f] + mix(runs[beside[ok]] + U(side)))
-                    out.append(((key & ~U(7) | U(2 * f + side)).view(np.int64), row[ok], packed[ok]))
-            if out:
-                key, row, packed = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(pa.array(row)), pa.array(packed)], ["key", "id", "at"])
+                    key = (mix(runs[c[ok]] * _SALTS[f] + mix(runs[beside[ok]] + U(side))) >> U(3)) | U(2 * f + side) << U(61)
+                    if bitmap is not None:
+                        past = passes(bitmap.value, key)
+                        key, ok = key[past], ok[past]
+                    out.append((key.view(np.int64), row[ok], packed[ok]))
+            key, row, packed = (np.concatenate(x) for x in zip(*out, strict=True))
+            keep = _first_of_repeats(key, row, packed, least)
+            key, row, packed = key[keep], row[keep], packed[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("h").take(pa.array(row, pa.int64())), pa.array(packed)], ["key", "h", "at"])
 
     return run
 
@@ -182,8 +195,11 @@ def _around(least: int):
 
 
 def _block_pairs(least: int, percent: int):
-    """Pairs of members of a key, of rows sorted by (key, i, j): one has ``least`` runs around the key of which the other has ``percent``."""
-    need = -(-least * percent // 100)
+    """Pairs of members of a key, of rows sorted by (key, i, j): one has ``least`` runs around the key of which the other has most.
+
+    Of two sets with the similarity s, the smaller shares 2 s / (1 + s) of its items with the other at least.
+    """
+    need = int(least * 2 * percent / (100 + percent))
 
     def of(rows: pa.RecordBatch) -> np.ndarray:
         ids, block, at = (rows.column(c).to_numpy() for c in ("id", "block", "at"))
@@ -195,15 +211,21 @@ def _block_pairs(least: int, percent: int):
         split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
         found = []
         for x, end in enumerate(ends):
-            y = np.flatnonzero((ids > ids[x]) & ((block != block[x]) | (not split)))
+            y = np.flatnonzero((ids != ids[x]) & ((block != block[x]) | (not split)))
             own = column[end - len(runs[x]) : end]
             if not len(y) or len(own) < least:
                 continue
             upto = np.zeros((len(y), len(own) + 1), np.int16)
             np.cumsum(has[np.ix_(y, own)], axis=1, out=upto[:, 1:])
             y = y[(upto[:, least:] - upto[:, :-least]).max(axis=1) >= need]
-            found.append(np.stack((np.full(len(y), ids[x]), ids[y], np.full(len(y), at[x]), at[y])))
-        return np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+            a, b = np.where(ids[y] < ids[x], y, x), np.where(ids[y] < ids[x], x, y)
+            found.append(np.stack((ids[a], ids[b], at[a], at[b])))
+        if found:  # one place of a key is enough for two articles
+            whole = np.concatenate(found, axis=1)
+            order = np.lexsort((whole[3], whole[2], whole[1], whole[0]))
+            whole = whole[:, order]
+            return whole[:, np.concatenate(([True], (whole[:2, 1:] != whole[:2, :-1]).any(axis=0)))] if whole.shape[1] else whole
+        return np.zeros((4, 0), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -235,13 +257,14 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     ``similarity`` of their sets of 5-word runs (``percent`` or more). Articles without a shared passage have no row.
 
     For each of FUNCTIONS hash functions, the Cartesian tree over the hashes of an article's runs gives its compact
-    windows: all stretches long enough that share their smallest run. Windows of several articles under one key (the
-    smallest run and the one BESIDE runs before or after it) may hold a common passage. The smallest id of a key represents it; the
+    windows: all stretches long enough that share their smallest run. Windows of several texts under one key (the
+    smallest run and the one BESIDE runs before or after it) may hold a common passage. One text represents a key; the
     windows' common intervals must be long enough, and a pair hit by ENOUGH keys is verified on whole texts: stretches
     of common runs around the hits, with gaps of GAPS, similar enough as sets.
     Key members not linked so are met in blocks with all others of their key that were not, compared by the runs around the key, and
-    verified in turn, so a representative that does not share the passage costs no link. Hot keys are summed before the shuffle,
-    their join is split by Spark, and their blocks go to many tasks.
+    verified in turn, so a representative that does not share the passage costs no link. Articles with the same text are
+    one text; each has a row for its whole length with the smallest id among them. Keys are counted before they are shuffled;
+    only those of several articles come back, in a second pass over the texts, through a bitmap of fixed size.
 
     Texts come into play only for articles with a hit, which a bitmap of fixed size lets through. Null title and summary
     are empty. Rows with a null id are left out. Rows with one id are one article. Shorter articles have no passages. No rows give no rows.
@@ -250,28 +273,61 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     if least < 2 * BESIDE:
         raise ValueError(f"keys need passages of {2 * BESIDE + RUN - 1} words or more")
     texts = news.select(F.col(id_col).cast("long").alias("id"), article_text(news).alias("text")).where("id is not null")
-    keys = texts.mapInArrow(_keys(least), "key long, id long, at long")
-    firsts = keys.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max_by("at", F.struct(-F.col("id"), -F.col("at"))).alias("first_at")).where("first_id < last_id").drop("last_id")
+    tagged = texts.select("id", F.xxhash64("text").alias("h"), "text")
+    copies = _copies(texts, least_words)
+    shared = written(tagged.select("h", "text").mapInArrow(_keys(least), "key long, h long, at long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    bitmap = news.sparkSession.sparkContext.broadcast(bit_filter(shared, "key"))
+    hits = written(tagged.select("h", "text").mapInArrow(_keys(least, bitmap), "key long, h long, at long").join(shared, "key", "left_semi").distinct())
+    firsts = written(hits.groupBy("key").agg(F.min(F.struct("h", "at")).alias("first"), F.max("h").alias("last")).where("first.h <> last").select("key", F.col("first.h").alias("first_h"), F.col("first.at").alias("first_at")))
     field = lambda c, shift: F.shiftright(c, shift).bitwiseAND(_FAR)
     common = F.least(field("at", 16), field("first_at", 16)) + F.least(field("at", 0), field("first_at", 0)) + 1
-    met = written(keys.join(firsts.hint("shuffle_hash"), "key").where(common * 100 >= least * percent).select("key", "id", "at", "first_id", "first_at"))
-    pairs = met.where("id <> first_id").groupBy("first_id", "id").agg(
-        F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"), F.countDistinct(F.col("key").bitwiseAND(7)).alias("kinds"),
+    near = written(hits.join(firsts, "key").where((common * 100 >= least * percent) & (F.col("h") != F.col("first_h"))))
+    # One article stands for all with its text.
+    wanted = near.select("h").union(near.select(F.col("first_h").alias("h"))).distinct()
+    classes = written(_holders(tagged, wanted))
+    met = written(near.join(classes, "h").join(classes.select(F.col("h").alias("first_h"), F.col("id").alias("first_id")), "first_h").select("key", "id", "at", "first_id", "first_at"))
+    pairs = met.groupBy("first_id", "id").agg(
+        F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"), F.countDistinct(F.shiftrightunsigned("key", 61)).alias("kinds"),
     ).where(F.col("kinds") >= ENOUGH).drop("kinds")
-    ids = met.select("id").union(met.select(F.col("first_id").alias("id")))
-    kept = texts_of(texts, ids)
+    kept = texts_of(texts, classes)
     found = written(_with_texts(pairs, kept, least, percent))
     # Key members whose place lies in no passage found with the representative, in blocks with each other.
     done = found.select("first_id", "id", "start_word", "end_word")
     place = F.shiftright("at", 32)
-    left = met.where("id <> first_id").join(done, ["first_id", "id"], "left").groupBy("key", "id", "at").agg(
+    left = met.join(done, ["first_id", "id"], "left").groupBy("key", "id", "at").agg(
         F.max(F.coalesce((place >= F.col("start_word")) & (place < F.col("end_word")), F.lit(False))).alias("linked")
     ).where("not linked").select("key", "id", "at")
-    rest = written(_rest(left, kept, least, percent))
-    if rest.isEmpty():
-        return found.select("id", "start_word", "end_word", "first_id", "first_start", "first_end", "similarity").distinct()
-    more = rest.groupBy("first_id", "id").agg(F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"))
-    return found.union(_with_texts(more, kept, least, percent)).select("id", "start_word", "end_word", "first_id", "first_start", "first_end", "similarity").distinct()
+    left = written(left)
+    # The representative of such a key is among them: too few keys may have led to it.
+    of_key = met.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("first_id").alias("id"), F.col("first_at").alias("at")).distinct()
+    rest = written(_rest(left.union(of_key), kept, least, percent))
+    if not rest.isEmpty():
+        more = rest.groupBy("first_id", "id").agg(F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"))
+        found = found.union(_with_texts(more, kept, least, percent))
+    return found.select(*copies.columns).distinct().union(copies)
+
+
+def _copies(texts: DataFrame, least_words: int) -> DataFrame:
+    """Whole articles of ``least_words`` words or more whose text another article with a smaller id has."""
+    signed = texts.select("id", F.sha2("text", 256).alias("same"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n")).where(F.col("n") >= least_words)
+    first = written(signed.groupBy("same").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id"))
+    zero = F.lit(0).cast("long")
+    return signed.join(first, "same").where("id <> first_id").select(
+        "id", zero.alias("start_word"), F.col("n").alias("end_word"), "first_id", zero.alias("first_start"), F.col("n").alias("first_end"), F.lit(1.0).alias("similarity")
+    ).distinct()
+
+
+def _holders(tagged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, id: the smallest id of each text whose hash is wanted (two texts with one hash give two rows)."""
+    bitmap = tagged.sparkSession.sparkContext.broadcast(bit_filter(wanted, "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(passes(bitmap.value, batch.column("h").to_numpy().view(U))))
+
+    some = tagged.select("h", "id", F.sha2("text", 256).alias("same")).mapInArrow(run, "h long, id long, same string")
+    return some.groupBy("h", "same").agg(F.min("id").alias("id")).join(wanted, "h", "left_semi").select("h", "id")
 
 
 def _rest(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFrame:
