@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,11 +186,14 @@ def _around(least: int):
         for batch in (x for b in batches for x in slices(b, "text", 1 << 20)):
             runs, counts = shingles(*words(batch.column("text")), RUN)
             ends = np.cumsum(counts)
+            places = batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(places).to_numpy())
+            flat = places.flatten()
             out = []
-            for e, n, at in zip(ends, counts, batch.column("at").to_numpy(), strict=True):
-                own, c = runs[e - n : e], int(at) >> 32
+            for i, at in zip(row, flat.field("at").to_numpy(), strict=True):
+                own, c = runs[ends[i] - counts[i] : ends[i]], int(at) >> 32
                 out.append((own[max(0, c - least + 1) : c + least] >> U(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("at"), pa.array(out, pa.binary())], ["key", "id", "at", "around"])
+            yield pa.RecordBatch.from_arrays([flat.field("key"), batch.column("id").take(pa.array(row, pa.int64())), flat.field("at"), pa.array(out, pa.binary())], ["key", "id", "at", "around"])
 
     return run
 
@@ -261,8 +265,10 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     smallest run and the one BESIDE runs before or after it) may hold a common passage. One text represents a key; the
     windows' common intervals must be long enough, and a pair hit by ENOUGH keys is verified on whole texts: stretches
     of common runs around the hits, with gaps of GAPS, similar enough as sets.
-    Key members not linked so are met in blocks with all others of their key that were not, compared by the runs around the key, and
-    verified in turn, so a representative that does not share the passage costs no link. Articles with the same text are
+    Key members not linked so, those whose windows have too little in common with the representative's first place among them,
+    are met in blocks with all others of their key that were not and with all places of the representative, compared by
+    the runs around the key, and verified in turn, so a representative that does not share the passage costs no link.
+    A member that is linked with the representative is not met again under that key. Articles with the same text are
     one text; each has a row for its whole length with the smallest id among them. Keys are counted before they are shuffled;
     only those of several articles come back, in a second pass over the texts, through a bitmap of fixed size.
 
@@ -279,27 +285,28 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     bitmap = news.sparkSession.sparkContext.broadcast(bit_filter(shared, "key"))
     hits = written(tagged.select("h", "text").mapInArrow(_keys(least, bitmap), "key long, h long, at long").join(shared, "key", "left_semi").distinct())
     firsts = written(hits.groupBy("key").agg(F.min(F.struct("h", "at")).alias("first"), F.max("h").alias("last")).where("first.h <> last").select("key", F.col("first.h").alias("first_h"), F.col("first.at").alias("first_at")))
+    # One article stands for all with its text.
+    classes = written(_holders(tagged, hits.join(firsts, "key", "left_semi").select("h").distinct()))
+    # Every place of every member of a key, the representative's own among them.
+    members = written(hits.join(firsts, "key").join(classes, "h").join(classes.select(F.col("h").alias("first_h"), F.col("id").alias("first_id")), "first_h").select("key", "id", "at", "first_id", "first_at"))
+    others = members.where("id <> first_id")
     field = lambda c, shift: F.shiftright(c, shift).bitwiseAND(_FAR)
     common = F.least(field("at", 16), field("first_at", 16)) + F.least(field("at", 0), field("first_at", 0)) + 1
-    near = written(hits.join(firsts, "key").where((common * 100 >= least * percent) & (F.col("h") != F.col("first_h"))))
-    # One article stands for all with its text.
-    wanted = near.select("h").union(near.select(F.col("first_h").alias("h"))).distinct()
-    classes = written(_holders(tagged, wanted))
-    met = written(near.join(classes, "h").join(classes.select(F.col("h").alias("first_h"), F.col("id").alias("first_id")), "first_h").select("key", "id", "at", "first_id", "first_at"))
+    met = others.where(common * 100 >= least * percent)
     pairs = met.groupBy("first_id", "id").agg(
         F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"), F.countDistinct(F.shiftrightunsigned("key", 61)).alias("kinds"),
     ).where(F.col("kinds") >= ENOUGH).drop("kinds")
     kept = texts_of(texts, classes)
     found = written(_with_texts(pairs, kept, least, percent))
-    # Key members whose place lies in no passage found with the representative, in blocks with each other.
+    # Key members whose place lies in no passage found with the representative, met with its first place or not, in blocks with each other.
     done = found.select("first_id", "id", "start_word", "end_word")
     place = F.shiftright("at", 32)
-    left = met.join(done, ["first_id", "id"], "left").groupBy("key", "id", "at").agg(
+    left = others.join(done, ["first_id", "id"], "left").groupBy("key", "id", "at").agg(
         F.max(F.coalesce((place >= F.col("start_word")) & (place < F.col("end_word")), F.lit(False))).alias("linked")
     ).where("not linked").select("key", "id", "at")
     left = written(left)
-    # The representative of such a key is among them: too few keys may have led to it.
-    of_key = met.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("first_id").alias("id"), F.col("first_at").alias("at")).distinct()
+    # The representative of such a key is among them with all its places: too few keys may have led to it, or another place.
+    of_key = members.where("id = first_id").join(left.select("key").distinct(), "key", "left_semi").select("key", "id", "at").distinct()
     rest = written(_rest(left.union(of_key), kept, least, percent))
     if not rest.isEmpty():
         more = rest.groupBy("first_id", "id").agg(F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"))
@@ -333,8 +340,9 @@ def _holders(tagged: DataFrame, wanted: DataFrame) -> DataFrame:
 def _rest(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFrame:
     """Candidate pairs among members of a key, from every pair of its blocks."""
     several = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = left.join(several, "key").join(texts, "id").select("key", "id", "at", "blocks", "text")
-    around = rows.select("key", "id", "at", "text").mapInArrow(_around(least), "key long, id long, at long, around binary").join(several, "key")
+    # Each text is split into runs once, whatever number of keys it has.
+    places = left.join(several, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "at")).alias("places"))
+    around = places.join(texts, "id").select("id", "places", "text").mapInArrow(_around(least), "key long, id long, at long, around binary").join(several, "key")
     members = around.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "at", "around",

@@ -192,6 +192,21 @@ def test_passages_their_first_article_lacks(make_news, monkeypatch):
     assert all(0 not in p for p in pairs) and {x for p in pairs for x in p} == set(range(1, 7))
 
 
+def test_passages_whose_keys_are_quoted_elsewhere(make_news):
+    """Keys lie in a stretch that a third text quotes, or that one of the two quotes before the whole passage: no pair is lost."""
+    rows, want = [], set()
+    for g in range(0, 400, 10):
+        passage = prose(1000 + g, 54)
+        quote, text = passage[8:46], lambda n, *parts: " ".join(w for i, x in enumerate(parts) for w in (prose(n + i, 60) if x is None else x))  # noqa: B023
+        rows += [(g, text(50_000 + 10 * g, None, quote, None)), (g + 1, text(60_000 + 10 * g, None, passage, None)), (g + 2, text(70_000 + 10 * g, None, passage, None))]
+        want.add((g + 1, g + 2))
+        passage = prose(3000 + g, 54)
+        rows += [(g + 3, text(80_000 + 10 * g, None, passage[8:46], None, passage, None)), (g + 4, text(90_000 + 10 * g, None, passage, None))]
+        want.add((g + 3, g + 4))
+    got = {(r.first_id, r.id) for r in repeated_passages(make_news(rows)).collect()}
+    assert {tuple(sorted(p)) for p in got} == want
+
+
 def test_passages_of_odd_rows(make_news):
     assert repeated_passages(make_news([])).collect() == []
     assert {(r.first_id, r.id) for r in repeated_passages(make_news(ODD + [(9, " ".join(prose(1, 60))), (9, " ".join(prose(1, 60)))])).collect()} == set()
