@@ -30,7 +30,17 @@ _FOUND = re.compile(
     r"|(?i:token|secret|password|api_?key|key)\s*[=:]\s*[\"']?(?P<secret>[0-9a-fA-F]{16,128})(?![\w])"
     r"|(?<![\w.\-])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w]|-\d)"
 )
-_MAYBE = re.compile(r"\d\d|@")
+#: What each value that ``_FOUND`` matches has.
+_MAYBE = re.compile(r"\d|@|(?i:token|secret|password|key)")
+#: The same for one kind each, to try others where a value of one kind failed its check.
+_ONE = {
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "ssn": re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
+    "phone": re.compile(r"(?<![\w])(?:\+\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w]|-\d)"),
+    "card": re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w]|-\d)"),
+}
+#: Digits of the groups that cards are printed in, besides one group.
+_PRINTED = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
 
 
 @lru_cache(1 << 16)
@@ -184,18 +194,52 @@ def pseudonymise_text(text: str, key: bytes, move=permute) -> tuple[str, dict[st
     if not _MAYBE.search(text):
         return text, {}
     seen: dict[str, int] = {}
-
-    def new(m: re.Match) -> str:
-        kind = m.lastgroup
-        old = m[kind]
-        moved = _MOVE[kind](old, key, move)
-        if moved is None:
-            return m[0]
-        seen[kind] = seen.get(kind, 0) + 1
-        a = m.start(kind) - m.start()
-        return m[0][:a] + moved + m[0][a + len(old) :]
-
-    return _FOUND.sub(new, text), seen
+    out: list[str] = []
+    done = at = inner = 0
+    failed: list[tuple[int, int, str]] = []
+    while m := _FOUND.search(text, at):
+        kind, start = m.lastgroup, m.start(m.lastgroup)
+        others = [(k, o) for k, p in _ONE.items() if k != kind and start == m.start() and (o := p.match(text, start))]
+        for k, begin, end in (r for k, e in [(kind, m.end(kind)), *((k, o.end()) for k, o in others)] for r in _readings(text, k, start, e, start < inner)):
+            moved = _MOVE[k](text[begin:end], key, move)
+            # A reading that failed must fail beside the new value too, or the value would not be found again.
+            while moved is not None and any(_MOVE[f](text[x:begin] + moved[max(0, x - begin) : max(0, y - begin)] + text[end:y], key, move) is not None for x, y, f in failed if x <= begin < y or begin <= x < end):
+                moved = _MOVE[k](moved, key, move)
+            if moved is not None:
+                seen[k] = seen.get(k, 0) + 1
+                out += (text[done:begin], moved)
+                done = at = end
+                break
+            failed.append((begin, end, k))
+        else:  # the next value may begin within it
+            at, inner = m.start() + 1, max(inner, m.end())
+        failed = [f for f in failed if f[1] > at]
+    return "".join((*out, text[done:])), seen
+
+
+def _readings(text: str, kind: str, start: int, end: int, inner: bool) -> Iterator[tuple[str, int, int]]:
+    """What a candidate may be, likeliest first: a card as printed, the whole, then shorter ones that end before a separator.
+
+    Only a whole candidate may be a card in groups of any size; a part of one, or one within a failed one (``inner``), has
+    four digits or more in all groups but its last, or lists of small numbers would hold cards by chance.
+    """
+    if kind not in ("card", "iban", "phone"):
+        yield kind, start, end
+        return
+    told: set[tuple[int, int]] = set()
+    groups = [(g.start(), g.end()) for g in re.compile(r"\w+").finditer(text, start, end)]
+    if kind == "card":
+        sizes = [e - s for s, e in groups]
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups) + 1):
+                if j == i + 1 and 13 <= sizes[i] <= 19 or tuple(sizes[i:j]) in _PRINTED:
+                    told.add((groups[i][0], groups[j - 1][1]))
+                    yield kind, groups[i][0], groups[j - 1][1]
+    for n in range(len(groups), 0, -1):
+        e = groups[n - 1][1] if n < len(groups) else end
+        part = inner or n < len(groups)
+        if (start, e) not in told and (kind != "card" or not part or all(y - x >= 4 for x, y in groups[: n - 1])) and _ONE[kind].fullmatch(text, start, e):
+            yield kind, start, e
 
 
 def _map(key: bytes):
@@ -218,7 +262,7 @@ def pseudonyms(news: DataFrame, key: bytes, id_col: str = "id") -> DataFrame:
     Only values that pass their format's check are touched: cards (Luhn), IBANs (mod 97), calendar dates 1900-2099, IPv4
     addresses, US social security numbers, telephone numbers, e-mail names and assigned hexadecimal secrets. Each is a number of a
     range and goes through a Feistel permutation of that range under ``key`` (16 to 64 bytes, kept secret), check digits
-    made anew. Equal values have equal pseudonyms in all articles however they are punctuated, different ones different
+    made anew. A candidate that fails is read in shorter ways, and the search goes on within it. Equal values have equal pseudonyms in all articles however they are punctuated, different ones different
     pseudonyms, and who has the key can undo it. A value's pseudonym depends on nothing else, so one map pass is all.
 
     Null title and summary count as empty. Null and repeated ids are handled like others. No rows give no rows.

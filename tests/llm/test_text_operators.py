@@ -149,6 +149,22 @@ def test_what_is_no_valid_value_stays():
     assert pseudonymise_text(text, KEY) == (text, {})
 
 
+def test_values_beside_other_digits_are_found_and_linked():
+    new = lambda t, move=permute: pseudonymise_text(t, KEY, move)[0]
+    card, spaced, iban = "4111111111111111", "4111 1111 1111 1111", "BE68539007547034"
+    for n in range(300):
+        for old, beside in [(card, f" {n}/25"), (spaced, f" {n:03d}"), (spaced.replace(" ", "-"), f"-{n:03d}"), (card, f"-{n:02d}")]:
+            text = f"paid {old}{beside}"
+            assert new(text) == f"paid {new(old)}{beside}" and new(new(text), restore) == text
+        text = f"{n % 100:02d} {card}"
+        assert new(text) == f"{n % 100:02d} {new(card)}" and new(new(text), restore) == text
+        text = f"to {iban} {2000 + n} or GB00 {spaced} end"
+        assert new(text).endswith(f" or GB00 {new(spaced)} end") and new(new(text), restore) == text
+    assert new(f"{iban} 2024") == f"{new(iban)} 2024" and new(iban) != iban
+    assert pseudonymise_text("from 1.2.3.4 secret=abcdefabcdefabcdef", KEY)[1] == {"ip": 1, "secret": 1}
+    assert new(new("at 1.2.3.4 key: deadbeefdeadbeef"), restore) == "at 1.2.3.4 key: deadbeefdeadbeef"
+
+
 def test_pseudonyms_of_odd_rows(make_news):
     got = pseudonyms(make_news([*ODD, (20, "call +1 (017) 555-7713"), (21, "or +1 (017) 555-7713 now")]), KEY).collect()
     assert len(got) == len(ODD) + 2 and pseudonyms(make_news([]), KEY).collect() == []
