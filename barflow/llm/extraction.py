@@ -18,6 +18,8 @@ BROADCAST_HOSTS, BROADCAST_CHARACTERS = 50_000, 32 << 20
 #: Partial wrappers of a host first meet in so many groups.
 SALTS = 64
 _LONGEST_GROUP = 4
+#: Least part of a weaker region's text that a page's one region, its several regions (teasers of a listing), or any against unmarked text must have.
+SHARES = {"one": 0.25, "several": 0.5, "unmarked": 0.1}
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas".split())
@@ -196,40 +198,29 @@ def _main(label: str) -> int:
     return 3 if tag == "article" else 2 if tag == "main" or "!main" in words or "!article" in words else 1 if tag in ("div", "section", "td") and any(w[1:] in _MAIN_WORDS for w in words) else 0
 
 
-def kept_paths(wrapper: list) -> list[str]:
-    """Paths of the wrapper's nodes whose text is main text.
+def kept_paths(wrapper: list) -> dict[str, int]:
+    """Paths of the wrapper's nodes whose text may be main text, and bit by bit for which kinds of region (see ``_main``).
 
-    Slots below menus, notices, adverts and the like go. The strongest region that the host's pages mark as their article
-    is kept; where none is, the text slots of headings, paragraphs and other blocks that are not mostly links.
+    Slots below menus, notices, adverts and the like go. Bit k has the slots within a region of the kind k; bit 0, for
+    pages without marked regions, the text slots of headings, paragraphs and other blocks that are not mostly links.
     """
-    strongest: dict[int, int] = {}
+    out: dict[str, int] = {}
 
-    def survey(node: list, inside: int) -> None:
-        for c in node[2]:
-            if c[0] == TEXT:
-                if inside:
-                    strongest[inside] = strongest.get(inside, 0) + c[3]
-            elif not _dropped(c[0]) and (inside or _tag(c[0]) != "header"):
-                survey(c, max(inside, _main(c[0])))
-
-    survey(wrapper, 0)
-    region = max((k for k, v in strongest.items() if v), default=0)
-    out: list[str] = []
-
-    def walk(node: list, path: str, inside: bool, block: bool) -> None:
-        """``block``: whether the block that the node's text belongs to is kept, where no region is marked."""
+    def walk(node: list, path: str, inside: int, block: bool, listed: bool) -> None:
+        """``block``: whether the block that the node's text belongs to is kept without a region; ``listed``: whether it lies in a list of links or a header."""
         if _tag(node[0]) not in _INLINE:
             block = _links(node, True) * 2 <= _size(node, True)
-        if (inside if region else block) and any(c[0] == TEXT for c in node[2]):
-            out.append(path)
+        bits = inside | (block and not listed)
+        if bits and any(c[0] == TEXT for c in node[2]):
+            out[path] = out.get(path, 0) | bits
         for c in node[2]:
-            if c[0] != TEXT and not _dropped(c[0]) and (inside or _tag(c[0]) != "header"):
-                if not region and _tag(c[0]) in _LISTS and _links(c) * 2 > _size(c):
-                    continue
-                walk(c, f"{path}/{c[0]}", inside or (region > 0 and _main(c[0]) >= region), block)
+            header = _tag(c[0]) == "header"
+            if c[0] != TEXT and not _dropped(c[0]) and (inside or not header):
+                kind = _main(c[0])
+                walk(c, f"{path}/{c[0]}", inside | (1 << kind if kind else 0), block, listed or header or _tag(c[0]) in _LISTS and _links(c) * 2 > _size(c))
 
-    walk(wrapper, "", False, True)
-    return sorted(set(out))
+    walk(wrapper, "", 0, True, False)
+    return out
 
 
 def _tag(label: str) -> str:
@@ -245,24 +236,42 @@ def _links(node: list, inline: bool = False) -> int:
     return node[4] if node[0] == TEXT else sum(_links(c, inline) for c in node[2] if not inline or c[0] == TEXT or _tag(c[0]) in _INLINE)
 
 
-def main_text(page: str, kept: frozenset[str]) -> str:
-    """Text at the kept paths: white space within a block is one space, blocks are joined by one space."""
+def main_text(page: str, kept: dict[str, int]) -> str:
+    """Text at the paths kept for the page's own region: white space within a block is one space, blocks are joined by one space.
+
+    That is the strongest kind whose characters outside links are a large enough part (SHARES) of those of every weaker kind.
+    """
     out: list[str] = []
-    path = [""]
+    bits_at: dict[int, int] = {}
+    size, regions = [0] * 4, [0] * 4
+    path, entered, links = [""], [(0, 0)], 0
     for kind, value in events(page):
         if kind == "(":
             path.append(f"{path[-1]}/{value}")
+            own = _main(value)
+            entered.append((own, size[own]))
+            links += _tag(value) == "a"
             if _tag(value) not in _INLINE:
                 out.append(" ")
         elif kind == ")":
             path.pop()
+            own, before = entered.pop()
+            regions[own] += size[own] > before
+            links -= _tag(value) == "a"
             if _tag(value) not in _INLINE:
                 out.append(" ")
         elif kind == "|":
             out.append(" ")
-        elif path[-1] in kept:
+        elif bits := kept.get(path[-1], 0):
+            bits_at[len(out)] = bits
             out.append(html.unescape(value))
-    return " ".join("".join(out).split())
+            n = 0 if links else len("".join(value.split()))
+            for k in range(4):
+                size[k] += n * (bits >> k & 1)
+    some = [k for k in (3, 2, 1, 0) if any(b >> k & 1 and out[i].strip() for i, b in bits_at.items())]
+    enough = lambda k, w: size[k] >= size[w] * SHARES["unmarked" if not w else "several" if regions[k] > 1 else "one"]
+    chosen = next((k for k in some if size[k] and all(enough(k, w) for w in range(k))), some[0] if some else 0)
+    return " ".join("".join(x for i, x in enumerate(out) if bits_at.get(i, 1 << chosen) >> chosen & 1).split())
 
 
 def host_of(link: Column) -> Column:
@@ -311,14 +320,14 @@ def wrappers(entries: DataFrame) -> DataFrame:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    paths: dict[str, frozenset[str]] = {}
+    paths: dict[str, dict[str, int]] = {}
     for batch in (x for b in batches for x in slices(b, "summary")):
         out = []
         for page, wrapper in zip(batch.column("summary").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
             if wrapper not in paths:
                 if len(paths) > 20_000:
                     paths.clear()
-                paths[wrapper] = frozenset(kept_paths(json.loads(wrapper)))
+                paths[wrapper] = kept_paths(json.loads(wrapper))
             out.append(main_text(page or "", paths[wrapper]))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("link"), pa.array(out, pa.string())], ["id", "link", "text"])
 
@@ -330,9 +339,10 @@ def extract(entries: DataFrame, id_col: str = "id") -> DataFrame:
     ``link``, ``text`` (empty if none), ``n_chars`` (code points).
 
     All pages of a host are aligned into one wrapper, a union-free regular expression over tags and text slots: runs and
-    groups of like neighbours become repeated, what some pages lack becomes optional. Which slots hold main text is
-    decided once for the wrapper, by the regions above them and, without marked regions, the share of links over all
-    pages; a page then gives the text of its kept slots in order.
+    groups of like neighbours become repeated, what some pages lack becomes optional. Which slots may hold main text is
+    decided once for the wrapper, for each kind of region (article, main, class words) and, without marked regions, by
+    the share of links over all pages. Each page then gives the text of its kept slots in order, for the strongest kind
+    of region that it has itself with enough text, so templates of one host do not switch each other's text off.
 
     Wrappers are broadcast if they are few and small (BROADCAST_HOSTS, BROADCAST_CHARACTERS), else joined on the host,
     where Spark splits hot hosts. Null html is an empty page, links without a host share one wrapper. Null and repeated

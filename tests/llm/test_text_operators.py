@@ -259,6 +259,18 @@ def test_main_text_of_marked_articles(spark):
     assert got == {i: " ".join([f"T{i} & more"] + [f"par {j} of bold{i}" for j in range(i % 4)]) for i in range(6)}
 
 
+def test_templates_of_one_host_keep_their_own_regions(spark):
+    body = lambda i: f"<h1>Head {i}</h1>" + "".join(f"<p>Paragraph {j} of page {i} says something at length.</p>" for j in range(3))
+    text = lambda i: " ".join([f"Head {i}"] + [f"Paragraph {j} of page {i} says something at length." for j in range(3)])
+    around = [
+        "<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div>{}</div>", "<main>{}</main><article><a href=x>Teaser</a></article>",
+        "<article><p>A teaser.</p></article><main>{}</main><article><p>One more.</p></article>", "<main><article>{}</article><p>Written by someone.</p></main>",
+    ]
+    for link in ("https://t.example.org/{}", "no host {}"):
+        rows = [(i, link.format(i), f"<html><body><nav><a href=/>Home</a></nav>{around[i % 7].format(body(i))}<footer>end</footer></body></html>") for i in range(21)]
+        assert {r.id: r.text for r in extract(spark.createDataFrame(rows, "id long, link string, summary string")).collect()} == {i: text(i) for i in range(21)}
+
+
 def test_unmarked_pages_of_one_host_share_a_wrapper(spark):
     def plain(i):
         links = "".join(f"<td><a href=/{j}>section {j}</a></td>" for j in range(4))
