@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_OR_PUNCTUATION, U, bit_filter, byte_set, mix, passes, slices, text_bytes, words
 from .records import article_text
 
-#: Words of a window, and the least of them that are no slots. An item with fewer words is one window, if it has LITERAL at least.
+#: Words of a window, and the least of them that are no slots for a template. An item with fewer words is one window, if it has LITERAL at least.
 WINDOW, LITERAL = 8, 4
 #: Least share of an item's windows found in an article for it to be contaminated.
 SHARE = 0.4
@@ -28,11 +28,13 @@ _NUMBER, _NAME, _UNIT = (U(x) for x in (0xA5A5A5A5A5A5A501, 0xA5A5A5A5A5A5A502,
 _UPPER, _DIGIT = byte_set(bytes(range(65, 91))), byte_set(bytes(range(48, 58)))
 _LOWER_NEXT = byte_set(bytes(range(97, 123)) + bytes(range(128, 256)))
 _STOP = byte_set(b".!?:;\n\r\"()|*%&$#-")
+#: Added to words of plain windows (of windows without a template; of those with one, where a capital first letter counts).
+_PLAIN, _CASED, _CAPITAL = (U(x) for x in (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(1024)], U)
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template and own hash of every word, whether it is a slot, and the words of each text.
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template and own hash of every word, its own hash with the case of the first letter, whether it is a slot, and the words of each text.
 
     Words are runs outside white space and ASCII punctuation. Numbers, units, and capitalised words within a sentence
     (names) become typed slots; all others stay, in lower case. A capital at the start of a text or after a stop is no name.
@@ -41,7 +43,7 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     own, counts = words(texts, SPACE_OR_PUNCTUATION, spans, latin=True)
     data, _ = text_bytes(texts)
     if not len(own):
-        return own, own, np.zeros(0, bool), counts
+        return own, own, own, np.zeros(0, bool), counts
     begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
     first = data[begin]
     opens = np.empty(len(own), bool)
@@ -58,11 +60,13 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     template[number] = _NUMBER
     for at, kind in ((unit, _UNIT), (name, _NAME)):
         template[at], slot[at] = kind, True
-    return template, own, slot, counts
+    with np.errstate(over="ignore"):
+        cased = own + _CASED + np.where(_UPPER[first], _CAPITAL, U(0))
+    return template, own, cased, slot, counts
 
 
-def windows(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of each window of ``width`` words, LITERAL of them no slots."""
+def windows(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, width: int, least: int = LITERAL) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each window of ``width`` words, ``least`` of them no slots."""
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U)
@@ -72,7 +76,7 @@ def windows(template: np.ndarray, slot: np.ndarray, counts: np.ndarray, width: i
         for j in range(width):
             total += template[j : n + j] * _POWERS[j]
         inside = np.repeat(np.cumsum(counts), counts)[:n] - np.arange(n) >= width
-        begin = np.flatnonzero(inside & (literal[width:] - literal[:n] >= LITERAL))
+        begin = np.flatnonzero(inside & (literal[width:] - literal[:n] >= least))
         return begin, mix(total[begin])
 
 
@@ -84,14 +88,20 @@ def _of_items(width: int):
             rows = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for shift, form in ((0, text), (1, f"x {text.lstrip()[:1].upper()}{text.lstrip()[1:]}")):
-                    template, own, slot, counts = canonical(pa.array([form]))
-                    template, own, slot = template[shift:], own[shift:], slot[shift:]
+                    template, own, cased, slot, counts = canonical(pa.array([form]))
+                    template, own, cased, slot, counts = template[shift:], own[shift:], cased[shift:], slot[shift:], counts - shift
                     size = min(width, len(template))
-                    begin, value = windows(template, slot, counts - shift, size) if size >= LITERAL else ((), ())
-                    rows += [(i, int(b), int(v), own[b : b + size][slot[b : b + size]].view(np.int64), size) for b, v in zip(begin, np.array(value, U).view(np.int64), strict=True) if not shift or b == 0]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (batch.column("id").type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "at", "window", "slots", "size"])
+                    if size < LITERAL:
+                        continue
+                    begin, value = windows(template, slot, counts, size)
+                    rows += [(i, int(b), int(v), own[b : b + size][slot[b : b + size]].view(np.int64), size, True) for b, v in zip(begin, value.view(np.int64), strict=True) if not shift or b == 0]
+                    if not shift:  # in plain words too; a short item of slots only identifies nothing
+                        loose = set(begin.tolist())
+                        both = zip(*windows(own + _PLAIN, slot, counts, size, int(size < width)), windows(cased, slot, counts, size, int(size < width))[1], strict=True)
+                        rows += [(i, int(b), int((c if b in loose else v).view(np.int64)), [], size, False) for b, v, c in both]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (batch.column("id").type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "at", "window", "slots", "size", "template"])
 
     return run
 
@@ -101,18 +111,19 @@ def _of_articles(sizes: list[int], bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, "text", 1 << 18)):
-            template, own, slot, counts = canonical(batch.column("text"))
+            template, own, cased, slot, counts = canonical(batch.column("text"))
             ends = np.cumsum(counts)
             for size in sizes:
-                begin, value = windows(template, slot, counts, size)
-                keep = np.flatnonzero(passes(bitmap.value, value))
-                begin, value = begin[keep], value[keep]
-                row = np.searchsorted(ends, begin, "right")
-                slots = [own[b : b + size][slot[b : b + size]].view(np.int64) for b in begin]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(row, pa.int64())), pa.array(begin - (ends - counts)[row]), pa.array(value.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
-                    ["id", "at", "window", "slots"],
-                )
+                for hashes, least in ((template, LITERAL), (own + _PLAIN, 0), (cased, 0)):
+                    begin, value = windows(hashes, slot, counts, size, least)
+                    keep = np.flatnonzero(passes(bitmap.value, value))
+                    begin, value = begin[keep], value[keep]
+                    row = np.searchsorted(ends, begin, "right")
+                    slots = [own[b : b + size][slot[b : b + size]].view(np.int64) if least else [] for b in begin]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(row, pa.int64())), pa.array(begin - (ends - counts)[row]), pa.array(value.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
+                        ["id", "at", "window", "slots"],
+                    )
 
     return run
 
@@ -127,15 +138,18 @@ def contaminated(news: DataFrame, items: DataFrame, width: int = WINDOW, share:
     Both texts become templates whose windows of ``width`` words are hashed. A bitmap of fixed size made from the
     items lets the few article windows through that can match; these are hash-joined with the items' windows. Windows
     on one alignment (article position less item position) must fill the item's slots by a one-to-one mapping; if they
-    don't, only those with the very values of the item count. The share is that of the item's distinct windows.
+    don't, only those with the very values of the item count. Windows also match by their plain words: those with fewer than
+    LITERAL words that are no slots whatever their case, the others with the case of first letters. The share is that of the
+    item's distinct windows, or of those with a template if that is larger.
 
-    Items of fewer than LITERAL words, and windows with fewer that are no slots, contaminate nothing. Null texts are empty.
+    Items of fewer than LITERAL words, and shorter ones than ``width`` of slots only, contaminate nothing. Copies whose names
+    are in another case are not found where the windows have templates. Null texts are empty.
     Rows with a null id are left out; repeated rows count once. No rows on either side give no rows.
     """
     of_items = items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null").distinct()
     kind = of_items.schema["id"].dataType.simpleString()
-    item_windows = of_items.mapInArrow(_of_items(width), f"id {kind}, at long, window long, slots array<long>, size int").distinct().select(
-        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "size"
+    item_windows = of_items.mapInArrow(_of_items(width), f"id {kind}, at long, window long, slots array<long>, size int, template boolean").distinct().select(
+        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"), "size", "template"
     )
     sizes = [r["size"] for r in item_windows.select("size").distinct().orderBy("size").collect()]  # LITERAL to ``width``
     bitmap = news.sparkSession.sparkContext.broadcast(bit_filter(item_windows, "window"))
@@ -154,9 +168,15 @@ def contaminated(news: DataFrame, items: DataFrame, width: int = WINDOW, share:
     column = lambda n: F.size(F.array_distinct(F.transform("pairs", lambda p: p[n])))
     one_to_one = (column("i") == F.size("pairs")) & (column("s") == F.size("pairs"))
     found = aligned.select("id", "item_id", F.when(one_to_one, F.col("all_at")).otherwise(F.col("same_at")).alias("at"), F.size("same_at").alias("n_same"))
-    per_item = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("windows"))
-    counted = found.groupBy("id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("matched"), F.max("n_same").alias("n_same"))
+    # Copies with other slots can match templates only, so their windows are a measure of their own.
+    per_item = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n"), F.collect_set(F.when(F.col("template"), F.col("item_at"))).alias("loose"))
+    counted = found.groupBy("id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.max("n_same").alias("n_same"))
+    loose = F.size(F.array_intersect("at", "loose"))
+    by_template = (F.size("loose") > 0) & (loose * F.col("n") > F.size("at") * F.size("loose"))
+    measured = counted.join(F.broadcast(per_item) if few else per_item, "item_id").select(
+        "id", "item_id", F.when(by_template, F.size("loose")).otherwise(F.col("n")).cast("long").alias("windows"), F.when(by_template, loose).otherwise(F.size("at")).alias("matched"), "n_same",
+    )
     return (
-        counted.join(F.broadcast(per_item) if few else per_item, "item_id").withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= share)
+        measured.withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= share)
         .select("id", "item_id", "windows", "matched", "share", (F.col("n_same") >= F.col("matched")).alias("same_slots"))
     )

@@ -190,6 +190,19 @@ def test_leaks_verbatim_and_with_other_slots(spark, make_news):
     assert contaminated(make_news([]), items).collect() == [] and contaminated(make_news(rows), items.limit(0)).collect() == []
 
 
+def test_leaks_of_items_made_of_slots(spark, make_news):
+    table = "Paris 12 kg 35 usd London 7 kg 3 usd Rome 9 lb 48 usd Oslo 5 lb 66 usd"
+    quoted = "so Alice met Robert and they paid Maria with Jonas for bread"
+    texts = ["What is 37 + 48?", "Compute 12 + 35 - 7 * 3 / 2", table, quoted, "1 2 3 4 5"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    pad, end = " ".join(prose(1, 40)), " ".join(prose(2, 40))
+    rows = [(i, f"{pad} {t} {end}") for i, t in enumerate(texts)]
+    rows += [(10, f"{pad} what is 37 + 48 {end}"), (11, f"{pad} What is 37 + 49? {end}"), (12, f"{pad} {table.lower()} {end}"), (13, f"{pad} compute 12 + 35 - 8 * 3 / 2 {end}")]
+    rows += [(14, " ".join(f'"{w}' if w in ("Alice", "Robert", "Maria", "Jonas") else w for w in quoted.split()))]
+    got = {(r.id, r.item_id): r.same_slots for r in contaminated(make_news(rows), items).collect()}
+    assert got == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): True, (10, 0): True, (12, 2): True, (14, 3): True}
+
+
 def test_leaks_beyond_the_broadcast(spark, make_news, monkeypatch):
     from barflow.llm import decontaminate
 
