@@ -1,42 +1,60 @@
 """From documents to a training mix: toxicity, exact and near duplicates, benchmark decontamination, source weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of documents.
+Filters decide on rows, which they number for that: rows with a null doc_id and rows that share one have each a decision of
+their own. Of copies the exact stage keeps the one with the largest doc_id, the near stage that with the smallest; rows
+without one give way to others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import shared_folder
+from barflow.llm.common import shared_folder, written
 from barflow.llm.decontaminate import contaminated
 from barflow.llm.exact import exact_duplicates
 from barflow.llm.mixing import mixture
 from barflow.llm.neardup import near_duplicates
 from barflow.llm.queries import CATEGORIES, toxicity_labels
 from barflow.llm.records import news_of, posts_of, table
-from barflow.llm.toxicity import toxicity
+from barflow.llm.toxicity import fit, score
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids`` (one column, id)."""
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_anti")
+def _numbered(docs: DataFrame, *order: Column) -> DataFrame:
+    """The rows with a number of their own, ``row_no``, which follows the order; written with it, so that it is the same wherever it is read."""
+    rows = docs.withColumn("row_no", F.monotonically_increasing_id())
+    return written(rows.orderBy(*order, "row_no").withColumn("row_no", F.monotonically_increasing_id()) if order else rows)
+
+
+def _by_number(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("row_no"))
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose number is not among ``ids`` (one column, id)."""
+    return rows.join(ids, rows["row_no"] == ids["id"], "left_anti").drop("row_no")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxicity(posts_of(docs), toxicity_labels(table(spark, sf_dir, "labels")), CATEGORIES).where("rejected").select("id"))
+    rows = _numbered(docs)
+    chain = fit(posts_of(rows), toxicity_labels(table(spark, sf_dir, "labels")), CATEGORIES)
+    return _without(rows, score(posts_of(_by_number(rows)), chain).where("rejected").select("id"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_duplicates(news_of(docs)).where("not kept").select("id"))
+    rows = _numbered(docs, F.asc_nulls_first("doc_id"))
+    return _without(rows, exact_duplicates(news_of(_by_number(rows))).where("not kept").select("id"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(news_of(docs), shingle=5, percent=80).where("not kept").select("id"))
+    rows = _numbered(docs, F.asc_nulls_last("doc_id"))
+    return _without(rows, near_duplicates(news_of(_by_number(rows)), shingle=5, percent=80).where("not kept").select("id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contaminated(news_of(docs), table(spark, sf_dir, "benchmark")).select("id"))
+    rows = _numbered(docs)
+    return _without(rows, contaminated(news_of(_by_number(rows)), table(spark, sf_dir, "benchmark")).select("id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

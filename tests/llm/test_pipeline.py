@@ -10,6 +10,7 @@ import corpus_pipeline
 from barflow.llm.queries import ORACLES, QUERIES
 from tests.oracle_check import compare, duck
 
+from .conftest import prose
 from .test_duplicates import brute_near
 from .test_kernels import plain_words
 
@@ -73,6 +74,37 @@ def test_each_stage_keeps_what_brute_force_keeps(spark, tmp_path):
         assert all(after[i] == before[i] for i in after)
 
 
+def test_null_and_repeated_ids_have_decisions_of_their_own(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scores = {r.doc_id for r in QUERIES["op5_toxicity"](spark, SMALL).collect() if r.toxic}
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    kept = sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect())
+    toxic = docs.where(F.col("doc_id").isin(sorted(scores))).limit(1).cache()
+    clean, other = (docs.where(F.col("doc_id") == i).cache() for i in kept[:2])
+    bad, text, second = (f.first().text for f in (toxic, clean, other))
+    add = lambda i, t: docs.limit(1).withColumn("doc_id", F.lit(i).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit(t))
+    words = lambda n: " ".join(prose(n, 90))
+    shared = kept[2]
+    rows = [(None, bad), (None, text), (kept[1], second), (None, f"{words(1)} {item} {words(2)}"), (shared, bad), (None, words(3)), (None, words(3) + " more")]
+    more = docs
+    for i, t in rows:
+        more = more.unionByName(add(i, t))
+    more.write.parquet(str(tmp_path / "in/documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"in/{name}.parquet"))
+    d, now = str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in/documents.parquet"))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, now, d).write.parquet(str(tmp_path / str(n)))
+        now = spark.read.parquet(str(tmp_path / str(n)))
+    texts = [(r.doc_id, r.text) for r in now.collect()]
+    assert not any(t == bad for _, t in texts) and sum(t == text for _, t in texts) == 1 and (kept[0], text) in texts
+    assert texts.count((kept[1], second)) == 1 and not any(item in t for _, t in texts) and shared in {i for i, _ in texts}
+    assert sum(words(3) in t for _, t in texts) == 1
+    assert sorted(r.doc_id or -1 for r in corpus_pipeline.run(spark, d).collect()) == sorted(i or -1 for i, _ in texts)
+
+
 def plain(text):
     return " ".join(re.findall(r"\w+", text.lower()))
 
