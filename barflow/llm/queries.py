@@ -12,10 +12,13 @@ from .exact import exact_duplicates
 from .extraction import extract
 from .mixing import mixture
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .passages import repeated_passages
+from .pieces import piece_ids
 from .pseudonyms import KINDS, pseudonyms
 from .quality import quality_votes
-from .records import entries_of, news_of, posts_of, table
+from .records import entries_of, news_of, posts_of, table, vectors_of
+from .runs import word_runs
 from .tokencount import token_counts
 from .toxicity import toxicity
 
@@ -24,10 +27,10 @@ EXAMPLE_KEY = b"an example key of thirty-two byt"
 CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +87,43 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(entries_of(table(spark, sf_dir, "pages"))).select(F.col("id").alias("page_id"), F.col("link").alias("url"), "text", "n_chars")
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_ids(news_of(table(spark, sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def looped(documents: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by its hash, repeats its own words from one place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = documents.withColumns({"h": h, "words": F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))}).withColumn("n", F.size("words"))
+    placed = words.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    loop = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, loop).otherwise(F.col("text")).alias("text"), "source")
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs(news_of(looped(table(spark, sf_dir, "documents"))), exponent=4, least=6)
+    # greatest length / period: a pair of whole numbers is compared by the product across
+    better = "y.length * x.period > x.length * y.period or (y.length * x.period = x.length * y.period and (y.start, y.period) < (x.start, x.period))"
+    best = F.expr(f"if(size(runs) > 0, aggregate(runs, runs[0], (x, y) -> if({better}, y, x)), null)")
+    listed = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\\n')), '')")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vectors_of(table(spark, sf_dir, "embeddings")).withColumn("label", F.expr("if(id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives(vectors, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pseudonyms, op2_token_counts, op3_mixture, op4_repeated_passages, op5_toxicity, op6_quality_votes, op7_near_duplicates, op8_contaminated,
-        op9_exact_duplicates, op10_main_text,
+        op9_exact_duplicates, op10_main_text, op11_piece_ids, op12_word_runs, op13_hard_negatives,
     )
 }
 
@@ -118,7 +153,18 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, d.b FRO
 SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id, min(reach) = n.doc_id AS kept FROM n JOIN r ON n.doc_id = r.node GROUP BY n.doc_id, n.n
 """
 
+NEGATIVES_SQL = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_hard_negatives": NEGATIVES_SQL,
     "op3_mixture": MIXTURE_SQL,
     "op7_near_duplicates": NEAR_SQL,
     "op9_exact_duplicates": """

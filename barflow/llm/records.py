@@ -1,6 +1,7 @@
 """The text records the operators read, and the mapping from the given tables to them.
 
 ``news``: id, title, summary, source, ticker (an article's text is its title, a line break and its summary).
+``vectors``: id, vector (whole numbers), label (a training set's rows with their features as one vector).
 ``posts``: id, text_snippet (a social post's whole text). ``entries``: id, link, summary (a feed entry's html).
 """
 
@@ -39,3 +40,9 @@ def posts_of(documents: DataFrame) -> DataFrame:
 
 def entries_of(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("id"), F.col("url").alias("link"), F.col("html").alias("summary"))
+
+
+def vectors_of(embeddings: DataFrame, scale: int = 256) -> DataFrame:
+    """Embeddings as labelled vectors of whole numbers, ``floor(scale * x)``; a component that is not finite becomes null."""
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(scale * x))
+    return embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: finite(x.cast("double"))).alias("vector"), "label")
