@@ -247,7 +247,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     exact. Without structure in the vectors no subtree can be left out, and each anchor is scored against every row, in blocks.
 
     Rows with a null id, label, vector or component take no part. Of rows with one id the one with the smallest label and vector counts. Shorter vectors are
-    filled with 0. Equal vectors under different ids are different rows. Scores beyond a long raise ArithmeticError. No anchors, or no rows, give no rows.
+    filled with 0. Equal vectors under different ids are different rows. Scores of which 100 times, or ``high`` times, is beyond a long raise ArithmeticError. No anchors, or no rows, give no rows.
     """
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("vector").cast("array<long>").alias("vector"), F.coalesce(anchor, F.lit(False)).alias("is_anchor")).where(usable)
@@ -259,8 +259,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not facts["anchors"]:
         return spark.createDataFrame([], result)
-    if facts["square"] >= 2.0**63:
-        raise ArithmeticError("scores beyond a long")
+    if facts["square"] * max(low, high, 100) >= 2.0**63:
+        raise ArithmeticError("percentages of scores beyond a long")
     width, bound = max(1, facts["width"]), math.sqrt(facts["square"]) * (1 + 1e-12)
     trees, n_trees = _grow(rows.select("id", "label", "vector"), width, bound, facts["square"] < 2.0**52, facts["n"])
     anchors = rows.where("is_anchor").select("id", "label", "vector")

@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, key):
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", ["op1_pseudonyms", "op2_token_counts", "op5_toxicity", "op6_quality_votes"])
