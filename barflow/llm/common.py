@@ -181,9 +181,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []
+
+
+class discard:
+    """Within it, the folders that ``written`` makes are noted; they are deleted when it ends, so nothing read from them may be left to compute."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        _made.append([])
+
+    def __exit__(self, *_) -> None:
+        for path in _made.pop():
+            self.folder(self.spark, path)
+
+    @staticmethod
+    def folder(spark: SparkSession, path: str) -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and lost executors cost no recomputation."""
     path = shared_folder(df.sparkSession)
+    for made in _made[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
