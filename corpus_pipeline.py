@@ -3,15 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of documents.
 Filters decide on rows, which they number for that: rows with a null doc_id and rows that share one have each a decision of
 their own. Of copies the exact stage keeps the one with the largest doc_id, the near stage that with the smallest; rows
-without one give way to others.
+without one give way to others. The choice within a group is made on numbers alone; texts of rows that stay are not shuffled for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import shared_folder, written
+from barflow.llm.common import U, bit_filter, discard, mix, passes, shared_folder, written
 from barflow.llm.decontaminate import contaminated
 from barflow.llm.exact import exact_duplicates
 from barflow.llm.mixing import mixture
@@ -21,19 +24,49 @@ from barflow.llm.records import news_of, posts_of, table
 from barflow.llm.toxicity import fit, score
 
 
-def _numbered(docs: DataFrame, *order: Column) -> DataFrame:
-    """The rows with a number of their own, ``row_no``, which follows the order; written with it, so that it is the same wherever it is read."""
-    rows = docs.withColumn("row_no", F.monotonically_increasing_id())
-    return written(rows.orderBy(*order, "row_no").withColumn("row_no", F.monotonically_increasing_id()) if order else rows)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``row_no``, written with it, so that it is the same wherever it is read."""
+    return written(docs.withColumn("row_no", F.monotonically_increasing_id()))
 
 
 def _by_number(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("row_no"))
 
 
+def _cells(numbers: pa.Array):
+    return mix(numbers.to_numpy().view(U))
+
+
 def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose number is not among ``ids`` (one column, id)."""
-    return rows.join(ids, rows["row_no"] == ids["id"], "left_anti").drop("row_no")
+    """The documents whose number is not among ``ids`` (one column, id).
+
+    A bitmap of fixed size tells which may be: only they are joined, so the texts of the others stay where they are.
+    """
+    ids = written(ids.distinct())
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column("id")).view("int64"))], ["cell"])
+
+    bitmap = rows.sparkSession.sparkContext.broadcast(bit_filter(ids.mapInArrow(cells, "cell long"), "cell"))
+
+    def those(wanted: bool):
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(passes(bitmap.value, _cells(batch.column("row_no"))) == wanted))
+
+        return rows.mapInArrow(chosen, rows.schema)
+
+    rest = those(True)
+    return those(False).union(rest.join(ids, rest["row_no"] == ids["id"], "left_anti")).drop("row_no")
+
+
+def _all_but_one(rows: DataFrame, groups: DataFrame, pick, *order) -> DataFrame:
+    """Numbers (id) of the rows of each group (id, of) but the one that ``pick`` takes by ``order``; rows in no group are left out."""
+    members = groups.where("of is not null").join(rows.select(F.col("row_no").alias("id"), "doc_id"), "id")
+    stays = members.groupBy("of").agg(pick("id", F.struct(*[F.col(o) if isinstance(o, str) else o for o in order], F.col("id"))).alias("stays"))
+    return members.join(stays, "of").where("id <> stays").select("id")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +76,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs, F.asc_nulls_first("doc_id"))
-    return _without(rows, exact_duplicates(news_of(_by_number(rows))).where("not kept").select("id"))
+    rows = _numbered(docs)
+    found = written(exact_duplicates(news_of(_by_number(rows))).where("group_size > 1").select("id", F.col("keep_id").alias("of")))
+    return _without(rows, _all_but_one(rows, found, F.max_by, "doc_id"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs, F.asc_nulls_last("doc_id"))
-    return _without(rows, near_duplicates(news_of(_by_number(rows)), shingle=5, percent=80).where("not kept").select("id"))
+    rows = _numbered(docs)
+    found = written(near_duplicates(news_of(_by_number(rows)), shingle=5, percent=80).select("id", F.col("component_id").alias("of")))
+    return _without(rows, _all_but_one(rows, found, F.min_by, F.col("doc_id").isNull().alias("none"), "doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +104,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; what a stage wrote for itself goes when it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = shared_folder(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with discard(spark):
+            path = shared_folder(spark)
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard.folder(spark, before)
+        before = path
     return docs
