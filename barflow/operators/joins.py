@@ -158,3 +158,40 @@ def _extreme(df, keys, order, pick):
     rank = F.struct(*[F.col(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)])
     top = df.groupBy(*keys).agg(pick(F.struct(*rest), rank).alias("_row"))
     return top.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def trailing_sums(items: DataFrame, moments: DataFrame, measures: dict[str, Column], horizons: Sequence[int], key: str = "ticker", ts: str = "created_at", at: str = "ts") -> DataFrame:
+    """Sums over the items in (t - h, t] for every moment ``t``, of any fraction of an hour, and every horizon ``h`` in hours.
+
+    Adds ``{measure}_{h}h`` to ``moments`` (one row per ``key`` and ``at``; 0 where nothing lies in the window). A sum is the
+    difference of two running totals, so a moment asks for one total per horizon and one for itself, whatever the windows
+    hold. Totals have two levels: hours are summed by a hash aggregate and carried by day, then along the few days of a key;
+    only inside one hour are items and questions put in order. So the largest ordered piece is one hour of one key.
+    """
+    stamp = F.col(at).cast("timestamp_ntz")
+    ages = F.explode(F.array(*[F.lit(h) for h in (0, *horizons)])).alias("_age")
+    asked = moments.select(key, stamp.alias("_t"), ages).distinct().withColumn("_x", F.col("_t") - F.make_dt_interval(hours=F.col("_age")))
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
+    rows = items.select(key, F.col(ts).cast("timestamp_ntz").alias("_x"), F.lit(0).alias("_side"), *[m.alias(n) for n, m in measures.items()])
+    both = rows.unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True).withColumn("_h", hour("_x"))
+    inside = fw.running(W.partitionBy(key, "_h").orderBy("_x", "_side"))
+    local = both.withColumns({f"_l_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in measures}).where(F.col("_side") == 1)
+    hours = both.groupBy(key, "_h").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in measures]).withColumn("_d", F.col("_h").cast("date"))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    day = earlier(W.partitionBy(key, "_d").orderBy("_h"))
+    days = hours.groupBy(key, "_d").agg(*[F.sum(n).alias(n) for n in measures])
+    carried = days.select(key, "_d", *[F.coalesce(F.sum(n).over(earlier(W.partitionBy(key).orderBy("_d"))), F.lit(0)).alias(f"_c_{n}") for n in measures])
+    before = hours.select(key, "_d", "_h", *[F.coalesce(F.sum(n).over(day), F.lit(0)).alias(f"_b_{n}") for n in measures])
+    before = before.join(carried, [key, "_d"]).select(key, "_h", *[(F.col(f"_b_{n}") + F.col(f"_c_{n}")).alias(f"_b_{n}") for n in measures])
+    totals = local.join(before, [key, "_h"]).select(key, "_t", "_age", *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in measures])
+    upto = lambda n, h: F.max(F.when(F.col("_age") == h, F.col(n)))
+    sums = totals.groupBy(key, F.col("_t")).agg(*[(upto(n, 0) - upto(n, h)).alias(f"{n}_{h}h") for h in horizons for n in measures])
+    keyed = moments.withColumn("_t", stamp)
+    return keyed.join(sums, [key, "_t"]).select(*moments.columns, *[f"{n}_{h}h" for h in horizons for n in measures])
+
+
+def latest_within(left: DataFrame, right: DataFrame, take: Sequence[str], days: int, key: str = "ticker", left_ts: str = "ts", right_ts: str = "ts", unit: str = "month") -> DataFrame:
+    """As-of values no older than ``days``; older ones are NULL."""
+    x = asof(left, right.withColumn("_seen", F.col(right_ts).cast("timestamp_ntz")), [*take, "_seen"], key, left_ts, right_ts, unit)
+    fresh = F.col("_seen") > F.col(left_ts).cast("timestamp_ntz") - F.expr(f"interval {days} days")
+    return x.select(*left.columns, *[F.when(fresh, F.col(c)).alias(c) for c in take])

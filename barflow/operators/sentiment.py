@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 from ..functions.scalars import clamp, clip, html_clean, keyword_any, keyword_count
-from .joins import slot_windows
+from .joins import latest_within, slot_windows, trailing_sums
 
 # News lexicon.
 BULLISH = (
@@ -98,17 +98,13 @@ def rescore_stale(df: DataFrame, new_score, as_of, days: int = 30) -> DataFrame:
     return df.withColumns({"sentiment_score": F.when(hit, new_score).otherwise(F.col("sentiment_score")), "rescored": hit.cast("int")})
 
 
-def window(scored: DataFrame, score: str = "tenths", unit: float = 10.0) -> DataFrame:
-    """Sentiment per (ticker, full hour): 24 h mean, 72 h mean, day-on-day momentum, spread, spike.
-
-    ``score`` is an integer in ``1/unit`` steps so that sums are exact in any order.
-    """
+def _measures(score: str, unit: float) -> dict:
     s = F.col(score).cast("long")
-    m = {
-        "n": F.lit(1), "s": s, "ss": s * s,
-        "pos": (F.col(score) > 0.2 * unit).cast("int"), "neg": (F.col(score) < -0.2 * unit).cast("int"),
-    }
-    x = slot_windows(scored, m, (24, 48, 72, 168))
+    return {"n": F.lit(1), "s": s, "ss": s * s, "pos": (F.col(score) > 0.2 * unit).cast("int"), "neg": (F.col(score) < -0.2 * unit).cast("int")}
+
+
+def _readings(x: DataFrame, ts: str, unit: float) -> DataFrame:
+    """Means, spread, momentum and spike from the trailing sums of 24, 48, 72 and 168 hours."""
     n, mean = F.col("n_24h"), F.try_divide(F.col("s_24h"), F.col("n_24h"))
     prev_n, prev_s = F.col("n_48h") - n, F.col("s_48h") - F.col("s_24h")
     var = F.try_divide(F.col("ss_24h"), n) - mean * mean
@@ -125,37 +121,78 @@ def window(scored: DataFrame, score: str = "tenths", unit: float = 10.0) -> Data
         "news_spike": F.when(some, F.round(spike, 4)).otherwise(1.0),
         "quality": F.when(n >= 3, "GOOD").when(some, "LOW").otherwise("NO_NEWS"),
     }
-    x = x.select("ticker", F.col("slot").alias("ts"), *[c.alias(k) for k, c in out.items()])
+    x = x.select("ticker", F.col(ts).alias("ts"), *[c.alias(k) for k, c in out.items()])
     v = F.col("score")
     label = F.when(v > 0.5, "VERY_POSITIVE").when(v > 0.2, "POSITIVE").when(v < -0.5, "VERY_NEGATIVE").when(v < -0.2, "NEGATIVE").otherwise("NEUTRAL")
     return x.withColumns({"signal": label, "score_trend": F.round(F.col("score") - F.col("score_3d"), 4)})
 
 
+HORIZONS = (24, 48, 72, 168)
+
+
+def window(scored: DataFrame, score: str = "tenths", unit: float = 10.0) -> DataFrame:
+    """Sentiment per (ticker, full hour): 24 h mean, 72 h mean, day-on-day momentum, spread, spike.
+
+    ``score`` is an integer in ``1/unit`` steps so that sums are exact in any order.
+    """
+    return _readings(slot_windows(scored, _measures(score, unit), HORIZONS), "slot", unit)
+
+
+def window_at(scored: DataFrame, moments: DataFrame, score: str = "tenths", unit: float = 10.0, at: str = "ts") -> DataFrame:
+    """The same readings at each (ticker, ``at``) of ``moments``, as of that very time; without news they are neutral."""
+    return _readings(trailing_sums(scored, moments, _measures(score, unit), HORIZONS, at=at), at, unit)
+
+
 def social_label(df: DataFrame, text: str = "text") -> DataFrame:
     x = lexicon_score(df, text, SOCIAL_BULLISH, SOCIAL_BEARISH, 1.0, 1.0, 3)
     s = F.col("sentiment_score")
     return x.withColumn("sentiment_label", F.when(s > 0.2, "BULL").when(s < -0.2, "BEAR").otherwise("NEUTRAL"))
 
 
-def social_window(labelled: DataFrame) -> DataFrame:
-    """Per full hour over the last 24 h of posts: ratios, activity against 7 days, contrarian reading."""
-    m = {
+def _social_measures() -> dict:
+    return {
         "n": F.lit(1), "bull": (F.col("sentiment_label") == "BULL").cast("int"), "bear": (F.col("sentiment_label") == "BEAR").cast("int"),
         "milli": F.round(F.col("sentiment_score") * 1000).cast("long"),
     }
-    x = slot_windows(labelled.withColumn("_all", F.lit(0)), m, (24, 168), key="_all").where(F.col("n_24h") > 0)
+
+
+def _social_readings(x: DataFrame, ts: str) -> DataFrame:
     n = F.col("n_24h")
-    bull, bear = F.col("bull_24h") / n, F.col("bear_24h") / n
+    bull, bear = F.try_divide(F.col("bull_24h"), n), F.try_divide(F.col("bear_24h"), n)
     contrarian = (
         F.when(bull >= 0.85, "CONTRARIAN_BEAR").when(bear >= 0.80, "CONTRARIAN_BULL").when(bull >= 0.65, "MILD_BULL").when(bear >= 0.65, "MILD_BEAR").otherwise("NEUTRAL")
     )
     return x.select(
-        F.col("slot").alias("ts"), n.cast("long").alias("total_posts_24h"), F.col("bull_24h").cast("long").alias("bull_count"), F.col("bear_24h").cast("long").alias("bear_count"),
-        F.round(bull, 4).alias("bull_ratio"), F.round(bear, 4).alias("bear_ratio"), F.round(F.col("milli_24h") / n / 1000, 4).alias("avg_sentiment_score"),
+        F.col(ts).alias("ts"), n.cast("long").alias("total_posts_24h"), F.col("bull_24h").cast("long").alias("bull_count"), F.col("bear_24h").cast("long").alias("bear_count"),
+        F.round(bull, 4).alias("bull_ratio"), F.round(bear, 4).alias("bear_ratio"), F.round(F.try_divide(F.col("milli_24h"), n) / 1000, 4).alias("avg_sentiment_score"),
         F.round(n / F.greatest(F.col("n_168h") / 7, F.lit(1.0)), 4).alias("activity_ratio"), contrarian.alias("contrarian_signal"), F.round(-(bull - 0.5) * 2, 4).alias("social_ml_score"),
     )
 
 
+def social_window(labelled: DataFrame) -> DataFrame:
+    """Per full hour over the last 24 h of posts: ratios, activity against 7 days, contrarian reading."""
+    x = slot_windows(labelled.withColumn("_all", F.lit(0)), _social_measures(), (24, 168), key="_all").where(F.col("n_24h") > 0)
+    return _social_readings(x, "slot")
+
+
+def social_window_at(labelled: DataFrame, moments: DataFrame, at: str = "ts") -> DataFrame:
+    """The same at each time ``at`` of ``moments``, as of that very time; shares are NULL where 24 h had no post."""
+    asked = moments.select(at).distinct().withColumn("_all", F.lit(0))
+    return _social_readings(trailing_sums(labelled.withColumn("_all", F.lit(0)), asked, _social_measures(), (24, 168), key="_all", at=at), at)
+
+
+def text_scores_at(scored: DataFrame, moments: DataFrame, kinds: dict[str, str], days: int = 7, at: str = "ts", score: str = "tenths", unit: float = 10.0) -> DataFrame:
+    """For each column of ``kinds`` the newest score of that kind of text at ``at``, if no older than ``days``; 0 otherwise.
+
+    Of several texts at one time the one with the largest id counts.
+    """
+    out = moments
+    for name, kind in kinds.items():
+        own = scored.where(F.col("kind") == kind).groupBy("ticker", "created_at").agg((F.max_by(score, "doc_id") / unit).alias(name))
+        out = latest_within(out, own, [name], days, left_ts=at, right_ts="created_at")
+    return out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in kinds})
+
+
 def earnings_decay(df: DataFrame) -> DataFrame:
     """Relevance fades to zero over 90 days; combined score weighs earnings .7, announcement .3."""
     relevance = F.greatest(1 - F.coalesce(F.col("days_since_earnings"), F.lit(90)) / 90.0, F.lit(0.0))

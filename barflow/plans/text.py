@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import fundamentals as fd
 from ..operators import sentiment as tx
 from ..sources import adapters as src
 from .oracle import define, sql
-from .registry import register
+from .registry import register, wrap
 
 
 def _hits(terms, text: str) -> str:
@@ -36,20 +37,24 @@ register("model_score", lambda spark, d: tx.model_score(src.table(spark, d, "doc
 define("sn", "SELECT source AS ticker, doc_id, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at, n_chars % 21 - 10 AS tenths FROM documents")
 define("sgrid", "SELECT DISTINCT ticker, c + to_hours(k) AS t FROM (SELECT ticker, CASE WHEN date_trunc('hour', created_at) = created_at THEN created_at ELSE date_trunc('hour', created_at) + INTERVAL 1 HOUR END AS c FROM sn), range(0, 168) r(k)", "sn")
 _in = lambda h: f"s.created_at > g.t - INTERVAL {h} HOURS"
-define(
-    "sw0",
-    f"""SELECT g.ticker, g.t, count(*) FILTER ({_in(24)}) AS n, avg(tenths) FILTER ({_in(24)}) AS m, avg(tenths) FILTER ({_in(72)}) AS m3, avg(tenths) FILTER ({_in(48)} AND NOT {_in(24)}) AS mp, stddev_pop(tenths) FILTER ({_in(24)}) AS sd,
-    count(*) FILTER ({_in(24)} AND tenths > 2) AS pos, count(*) FILTER ({_in(24)} AND tenths < -2) AS neg, count(*) AS n7 FROM sgrid g JOIN sn s ON s.ticker = g.ticker AND s.created_at <= g.t AND {_in(168)} GROUP BY 1, 2""",
-    "sgrid", "sn",
-)
-define(
-    "sw",
-    """SELECT *, CASE WHEN score > 0.5 THEN 'VERY_POSITIVE' WHEN score > 0.2 THEN 'POSITIVE' WHEN score < -0.5 THEN 'VERY_NEGATIVE' WHEN score < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS signal, round(score - score_3d, 4) AS score_trend FROM (
+
+
+def _sums(grid: str, items: str) -> str:
+    """Counts and moments of the items in the trailing 24, 48, 72 and 168 hours of each (ticker, t); no item, no count."""
+    return f"""SELECT g.ticker, g.t, count(s.ticker) FILTER ({_in(24)}) AS n, avg(tenths) FILTER ({_in(24)}) AS m, avg(tenths) FILTER ({_in(72)}) AS m3, avg(tenths) FILTER ({_in(48)} AND NOT {_in(24)}) AS mp, stddev_pop(tenths) FILTER ({_in(24)}) AS sd,
+    count(*) FILTER ({_in(24)} AND tenths > 2) AS pos, count(*) FILTER ({_in(24)} AND tenths < -2) AS neg, count(s.ticker) FILTER ({_in(72)}) AS n3, count(s.ticker) AS n7
+    FROM {grid} g LEFT JOIN {items} s ON s.ticker = g.ticker AND s.created_at <= g.t AND {_in(168)} GROUP BY 1, 2"""
+
+
+def _readings(sums: str) -> str:
+    return f"""SELECT *, CASE WHEN score > 0.5 THEN 'VERY_POSITIVE' WHEN score > 0.2 THEN 'POSITIVE' WHEN score < -0.5 THEN 'VERY_NEGATIVE' WHEN score < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS signal, round(score - score_3d, 4) AS score_trend FROM (
     SELECT ticker, t AS ts, CASE WHEN n > 0 THEN round(m / 10, 4) ELSE 0 END AS score, CASE WHEN n > 0 THEN round(m3 / 10, 4) ELSE 0 END AS score_3d, CASE WHEN n > 0 AND mp IS NOT NULL THEN round((m - mp) / 10, 4) ELSE 0 END AS momentum, n AS count,
       CASE WHEN n > 1 THEN round(sd / 10, 4) ELSE 0 END AS std, CASE WHEN n > 0 THEN round(pos / n, 3) ELSE 0.5 END AS positive_ratio, CASE WHEN n > 0 THEN round(neg / n, 3) ELSE 0.5 END AS negative_ratio,
-      CASE WHEN n > 0 THEN round(n / greatest(n7 / 7, 1), 4) ELSE 1 END AS news_spike, CASE WHEN n >= 3 THEN 'GOOD' WHEN n > 0 THEN 'LOW' ELSE 'NO_NEWS' END AS quality FROM sw0)""",
-    "sw0",
-)
+      CASE WHEN n > 0 THEN round(n / greatest(n7 / 7, 1), 4) ELSE 1 END AS news_spike, CASE WHEN n >= 3 THEN 'GOOD' WHEN n > 0 THEN 'LOW' ELSE 'NO_NEWS' END AS quality FROM {sums})"""
+
+
+define("sw0", _sums("sgrid", "sn"), "sgrid", "sn")
+define("sw", _readings("sw0"), "sw0")
 _SW = ["ticker", "ts", "score", "score_3d", "momentum", "count", "std", "positive_ratio", "negative_ratio", "news_spike", "quality", "signal"]
 
 
@@ -65,6 +70,39 @@ register(
     sql("SELECT ticker, t AS ts, n AS count FROM sw0", "sw0"),
 )
 
+# Every bar as of its close: daily bars at the end of their day, intraday bars at the end of their half hour.
+define("bnews", "SELECT r_name AS ticker, doc_id, TIMESTAMP '1995-01-01' + to_minutes(doc_id * 7919 % 3456000) AS created_at, n_chars % 21 - 10 AS tenths, CASE n_chars % 3 WHEN 0 THEN 'earnings' WHEN 1 THEN 'announcement' ELSE 'news' END AS kind FROM documents JOIN region ON doc_id % 5 = r_regionkey")
+define("bgrid", "SELECT ticker, ts AS day, ts + INTERVAL 1 DAY AS t FROM bars", "bars")
+define("sb0", _sums("bgrid", "bnews"), "bgrid", "bnews")
+define("sb", _readings("sb0"), "sb0")
+define("igrid", "SELECT ticker, ts + INTERVAL 30 MINUTES AS t FROM bars_intraday", "bars_intraday")
+define("inews", "SELECT ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS ticker, TIMESTAMP '2024-01-01' + to_minutes(doc_id) + to_seconds(doc_id % 60) AS created_at, n_chars % 21 - 10 AS tenths FROM documents")
+define("si0", _sums("igrid", "inews"), "igrid", "inews")
+
+
+def closes(spark, d):
+    """Daily bars with the moment their day ends."""
+    return src.bars(spark, d).select("ticker", "ts", (F.col("ts").cast("timestamp_ntz") + F.expr("interval 1 day")).alias("closed_at"))
+
+
+def windows_at_bars(spark, d):
+    x = tx.window_at(src.bar_news(spark, d), closes(spark, d), at="closed_at")
+    return x.withColumn("ts", F.date_sub(F.col("ts").cast("date"), 1))
+
+
+def intraday_news(spark, d):
+    names = F.array(*[F.lit(n) for n in ("click", "error", "purchase", "signup", "view")])
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60 + F.pmod("doc_id", F.lit(60)))
+    return src.table(spark, d, "documents").select(F.get(names, F.pmod("doc_id", F.lit(5)).cast("int")).alias("ticker"), at.cast("timestamp_ntz").alias("created_at"))
+
+
+register("sentiment_at_bars", lambda spark, d: windows_at_bars(spark, d).select(*_SW), sql(f"SELECT {', '.join('CAST(ts - INTERVAL 1 DAY AS DATE) AS ts' if c == 'ts' else c for c in _SW)} FROM sb", "sb"))
+register(
+    "window_range_join_bars",
+    lambda spark, d: tx.trailing_sums(intraday_news(spark, d), src.bars_intraday(spark, d).select("ticker", (F.col("ts").cast("timestamp_ntz") + F.expr("interval 30 minutes")).alias("ts")), {"n": F.lit(1)}, (24, 72, 168)),
+    sql("SELECT ticker, t AS ts, n AS n_24h, n3 AS n_72h, n7 AS n_168h FROM si0", "si0"),
+)
+
 define("po", f"SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS created_at, {_hits(tx.SOCIAL_BULLISH, 'text')} AS b, {_hits(tx.SOCIAL_BEARISH, 'text')} AS s FROM conversations")
 define("po1", "SELECT *, CASE WHEN sc > 0.2 THEN 'BULL' WHEN sc < -0.2 THEN 'BEAR' ELSE 'NEUTRAL' END AS label FROM (SELECT *, CASE WHEN b + s = 0 THEN 0.0 ELSE round((b - s) / (b + s), 3) END::DOUBLE AS sc FROM po)", "po")
 define("pgrid", "SELECT DISTINCT c + to_hours(k) AS t FROM (SELECT CASE WHEN date_trunc('hour', created_at) = created_at THEN created_at ELSE date_trunc('hour', created_at) + INTERVAL 1 HOUR END AS c FROM po), range(0, 168) r(k)", "po")
@@ -173,27 +211,47 @@ register("news_ingest", lambda spark, d: ingested(spark, d).select("doc_id", "ti
 
 
 
+KINDS = {"earnings_score": "earnings", "announcement_score": "announcement"}
+define("epo", "SELECT sc, label, created_at - INTERVAL 26 YEARS AS created_at FROM po1", "po1")
+define(
+    "esoc",
+    """SELECT t, coalesce(round(-(bu / n - 0.5) * 2, 4), 0) AS social FROM (SELECT g.t, count(*) FILTER (label = 'BULL') AS bu, nullif(count(p.label), 0) AS n FROM (SELECT DISTINCT t FROM bgrid) g
+    LEFT JOIN epo p ON p.created_at <= g.t AND p.created_at > g.t - INTERVAL 24 HOURS GROUP BY 1)""",
+    "bgrid", "epo",
+)
+_newest = lambda kind: f"(SELECT ticker, created_at, arg_max(tenths, doc_id) AS v FROM bnews WHERE kind = '{kind}' GROUP BY 1, 2)"
+define(
+    "eff",
+    f"""SELECT w.ticker, g.day AS ts, w.score, w.score_3d, w.momentum, w.news_spike, s.social, coalesce(g.day - r.result_date, 90) AS dse,
+    CASE WHEN e.created_at > g.t - INTERVAL 7 DAYS THEN e.v / 10 ELSE 0 END AS es, CASE WHEN a.created_at > g.t - INTERVAL 7 DAYS THEN a.v / 10 ELSE 0 END AS an
+  FROM sb w JOIN bgrid g ON g.ticker = w.ticker AND g.t = w.ts JOIN esoc s ON s.t = g.t ASOF LEFT JOIN er0 r ON r.ticker = g.ticker AND g.day >= r.result_date
+    ASOF LEFT JOIN {_newest('earnings')} e ON e.ticker = g.ticker AND g.t >= e.created_at ASOF LEFT JOIN {_newest('announcement')} a ON a.ticker = g.ticker AND g.t >= a.created_at""",
+    "sb", "bgrid", "esoc", "er0", "bnews",
+)
+
+
 def effect_inputs(spark, d):
-    """Sentiment windows with the document-derived earnings and announcement scores and social reading."""
-    w = windows(spark, d)
-    return w.withColumns(
-        {"days_since_earnings": F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600, F.lit(120)).cast("int"), "earnings_score": F.col("score_3d"), "announcement_score": F.col("momentum"), "social_ml_score": -F.col("score")}
-    )
+    """Each bar as of its close: news windows, the newest earnings and announcement scores of 7 days, days since the last result, the social reading."""
+    moments = closes(spark, d)
+    x = windows_at_bars(spark, d).join(tx.text_scores_at(src.bar_news(spark, d), moments, KINDS, at="closed_at"), ["ticker", "ts"])
+    social = tx.social_window_at(tx.social_label(src.earlier_posts(spark, d)), moments, "closed_at").select(F.col("ts").alias("closed_at"), F.coalesce("social_ml_score", F.lit(0.0)).alias("social_ml_score"))
+    x = x.join(social, "closed_at")
+    return fd.days_to_earnings(x, fd.surprise(src.earnings(spark, d)))
 
 
-define("eff", "SELECT *, CAST(epoch(ts) / 3600 % 120 AS INT) AS dse FROM sw", "sw")
 register(
     "earnings_decay",
     lambda spark, d: tx.earnings_decay(effect_inputs(spark, d)).select("ticker", "ts", "earnings_relevance", "combined_score", "earnings_effect"),
-    sql("SELECT ticker, ts, round(greatest(1 - dse / 90, 0), 4) AS earnings_relevance, round(score_3d * 0.7 + momentum * 0.3, 6) AS combined_score, round(score_3d * greatest(1 - dse / 90, 0), 6) AS earnings_effect FROM eff", "eff"),
+    sql("SELECT ticker, ts, round(greatest(1 - dse / 90, 0), 4) AS earnings_relevance, round(es * 0.7 + an * 0.3, 6) AS combined_score, round(es * greatest(1 - dse / 90, 0), 6) AS earnings_effect FROM eff", "eff"),
 )
 _c = lambda e, lo=-1, hi=1: f"round(greatest({lo}, least({hi}, {e})), 6)"
+SENTIMENT = {
+    "news_score_24h": _c("score"), "news_score_trend": _c("score - score_3d", -0.5, 0.5), "news_momentum": _c("momentum", -0.5, 0.5), "news_momentum_3d": _c("score - score_3d", -0.5, 0.5),
+    "news_spike_f": "round(least(news_spike, 3) / 3, 4)", "earnings_relevance_f": "round(greatest(1 - dse / 90, 0), 4)", "announcement_score_f": _c("an"), "combined_score_f": _c("es * 0.7 + an * 0.3"), "social_contrarian_score": _c("social"),
+}
 register(
     "sentiment_features",
     lambda spark, d: tx.features(tx.earnings_decay(effect_inputs(spark, d))).drop("earnings_effect_f"),
-    sql(
-        f"""SELECT ticker, ts, {_c('score')} AS news_score_24h, {_c('score - score_3d', -0.5, 0.5)} AS news_score_trend, {_c('momentum', -0.5, 0.5)} AS news_momentum, {_c('score - score_3d', -0.5, 0.5)} AS news_momentum_3d,
-    round(least(news_spike, 3) / 3, 4) AS news_spike_f, round(greatest(1 - dse / 90, 0), 4) AS earnings_relevance_f, {_c('momentum')} AS announcement_score_f, {_c('score_3d * 0.7 + momentum * 0.3')} AS combined_score_f, {_c('-score')} AS social_contrarian_score FROM eff""",
-        "eff",
-    ),
+    sql(f"SELECT ticker, ts, {', '.join(f'{e} AS {n}' for n, e in SENTIMENT.items())} FROM eff", "eff"),
 )
+wrap(src.once, "earnings_decay", "sentiment_features")

@@ -424,3 +424,22 @@ def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("ticker").orderBy("fetched_at")
     x = fundamentals(spark, sf_dir).select("ticker", F.date_add("fetched_at", 14).alias("result_date"), "fetched_at", F.col("eps").alias("actual_eps"), F.lag("eps").over(w).alias("estimated_eps"))
     return x.where(F.col("estimated_eps").isNotNull()).drop("fetched_at")
+
+
+NEWS_MINUTES = 2400 * 1440  # the days the bars cover
+
+
+def bar_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles about the names that have bars, spread over the bars' years; score in tenths, ``kind`` of what it is about."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("ticker"))
+    kind = F.when(F.col("n_chars") % 3 == 0, "earnings").when(F.col("n_chars") % 3 == 1, "announcement").otherwise("news")
+    return docs.join(checked(region), F.pmod("doc_id", F.lit(5)) == F.col("r_regionkey")).select(
+        "ticker", "doc_id", F.timestamp_seconds(F.lit(788918400) + F.pmod(F.col("doc_id") * 7919, F.lit(NEWS_MINUTES)) * 60).cast("timestamp_ntz").alias("created_at"),
+        (F.pmod(F.col("n_chars"), F.lit(21)) - 10).alias("tenths"), kind.alias("kind"),
+    )
+
+
+def earlier_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The social posts as if 26 years earlier, within the bars' years."""
+    return posts(spark, sf_dir).withColumn("created_at", F.expr("created_at - interval 26 years"))
