@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import local
 
 import numpy as np
 import pyarrow as pa
@@ -181,33 +183,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-_made: list[list[str]] = []
+_noted = local()
 
 
-class discard:
-    """Within it, the folders that ``written`` makes are noted; they are deleted when it ends, so nothing read from them may be left to compute."""
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
 
-    def __enter__(self) -> None:
-        _made.append([])
+@contextmanager
+def noted(docs: DataFrame) -> Iterator[None]:
+    """Notes the folders that ``written`` makes within it, and first deletes those noted by the one before it in this thread.
 
-    def __exit__(self, *_) -> None:
-        for path in _made.pop():
-            self.folder(self.spark, path)
-
-    @staticmethod
-    def folder(spark: SparkSession, path: str) -> None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    So what was computed from those has to be written by then; folders that ``docs`` itself is read from stay.
+    """
+    spark, files = docs.sparkSession, docs.inputFiles()
+    before = getattr(_noted, "paths", [])
+    kept = [p for p in before if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
+    for path in before:
+        if path not in kept:
+            delete(spark, path)
+    _noted.paths, _noted.on = kept, True
+    try:
+        yield
+    finally:
+        _noted.on = False
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and lost executors cost no recomputation."""
     path = shared_folder(df.sparkSession)
-    for made in _made[-1:]:
-        made.append(path)
+    if getattr(_noted, "on", False):
+        _noted.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

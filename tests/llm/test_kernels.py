@@ -74,3 +74,21 @@ def test_bit_filter_lets_all_members_pass(spark):
     assert common.passes(bitmap, np.array([5, -7, 1 << 62, -(1 << 63)], np.int64).view(np.uint64)).all()
     assert not common.passes(bitmap, np.array([6], np.uint64)).any()
     assert not common.bit_filter(df.limit(0), "h", 12).any()
+
+
+def test_noted_tables_go_when_the_next_stage_begins_unless_it_reads_them(spark):
+    import os
+
+    from barflow.llm.common import noted, written
+
+    df = spark.range(5)
+    with noted(df):
+        a = written(df)
+    files = [f.removeprefix("file://") for f in a.inputFiles()]
+    outside = written(df)
+    with noted(a):
+        b = written(a)
+    assert all(map(os.path.exists, files)) and b.count() == 5
+    with noted(b):
+        pass
+    assert not any(map(os.path.exists, files)) and b.count() == 5 and outside.count() == 5
