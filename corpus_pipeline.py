@@ -8,13 +8,14 @@ without one give way to others. The choice within a group is made on numbers alo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import U, bit_filter, discard, mix, passes, shared_folder, written
+from barflow.llm.common import U, bit_filter, delete, mix, noted, passes, shared_folder, written
 from barflow.llm.decontaminate import contaminated
 from barflow.llm.exact import exact_duplicates
 from barflow.llm.mixing import mixture
@@ -24,6 +25,17 @@ from barflow.llm.records import news_of, posts_of, table
 from barflow.llm.toxicity import fit, score
 
 
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose tables of its own are deleted when the next one in this thread begins; its result has to be written by then."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with noted(docs):
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number of their own, ``row_no``, written with it, so that it is the same wherever it is read."""
     return written(docs.withColumn("row_no", F.monotonically_increasing_id()))
@@ -69,29 +81,34 @@ def _all_but_one(rows: DataFrame, groups: DataFrame, pick, *order) -> DataFrame:
     return members.join(stays, "of").where("id <> stays").select("id")
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     chain = fit(posts_of(rows), toxicity_labels(table(spark, sf_dir, "labels")), CATEGORIES)
     return _without(rows, score(posts_of(_by_number(rows)), chain).where("rejected").select("id"))
 
 
+@stage
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     found = written(exact_duplicates(news_of(_by_number(rows))).where("group_size > 1").select("id", F.col("keep_id").alias("of")))
     return _without(rows, _all_but_one(rows, found, F.max_by, "doc_id"))
 
 
+@stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     found = written(near_duplicates(news_of(_by_number(rows)), shingle=5, percent=80).select("id", F.col("component_id").alias("of")))
     return _without(rows, _all_but_one(rows, found, F.min_by, F.col("doc_id").isNull().alias("none"), "doc_id"))
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     return _without(rows, contaminated(news_of(_by_number(rows)), table(spark, sf_dir, "benchmark")).select("id"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture(news_of(docs)).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
@@ -106,12 +123,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again; what a stage wrote for itself goes when it is done."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES:
-        with discard(spark):
-            path = shared_folder(spark)
-            stage(spark, docs, sf_dir).write.parquet(path)
+    for _, work in STAGES:
+        path = shared_folder(spark)
+        work(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            discard.folder(spark, before)
+            delete(spark, before)
         before = path
-    return docs
+    with noted(docs):
+        return docs
