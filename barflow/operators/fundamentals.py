@@ -208,11 +208,20 @@ def alt_score(slopes: DataFrame) -> DataFrame:
     )
 
 
-def alt_features(score: DataFrame) -> DataFrame:
-    return score.select(
+#: Keywords whose own trend is a column.
+LOANS = {"home_loan_trend": "home_loan", "personal_loan_trend": "personal_loan", "credit_card_trend": "credit_card"}
+
+
+def alt_features(score: DataFrame, slopes: DataFrame | None = None, loans: dict[str, str] = LOANS) -> DataFrame:
+    """Group trends per period; with ``slopes`` also the trend of each keyword of ``loans`` (0 where it has no row)."""
+    out = score.select(
         "period", clip(F.col("demand_trend_score") * 3).alias("demand_trend"), clip(F.col("hiring_trend_score") * 4).alias("hiring_trend_f"),
         clip("concern_trend_score").alias("concern_trend"), clip("alt_data_score").alias("alt_data_score_f"),
     )
+    if slopes is None:
+        return out
+    own = slopes.groupBy("period").agg(*[F.max(F.when(F.col("keyword") == k, F.col("slope"))).alias(n) for n, k in loans.items()])
+    return out.join(own, "period", "left").withColumns({n: clip(F.coalesce(n, F.lit(0.0)) * 5) for n in loans})
 
 
 def ownership_features(df: DataFrame) -> DataFrame:

@@ -306,3 +306,29 @@ def meta_features(ledger: DataFrame, by: str = "ticker", last: int = 20) -> Data
             "model_health_score": F.round(F.least(F.greatest(health * 2 - 1, F.lit(-1.0)), F.lit(1.0)), 6), "meta_size_mult": F.round(mult, 4),
         }
     )
+
+
+def day_state(ledger: DataFrame, last: int = 10) -> DataFrame:
+    """Recent form as of the end of each (ticker, close_date): accuracy and confidence of the newest ``last`` trades, losing streak.
+
+    Each day is summarised on its own (count, trades after its last win, its newest ``last``); days are then put together
+    in order, so what is ordered per name is bounded by the calendar.
+    """
+    newest = W.partitionBy("ticker", "close_date").orderBy(F.desc("trade_no"), F.desc("signal_uuid"))
+    x = ledger.withColumn("_r", F.row_number().over(newest))
+    trade = F.struct((-F.col("_r")).alias("at"), won().cast("int").alias("win"), F.round(F.col("confidence") * 100).cast("long").alias("conf"))
+    days = x.groupBy("ticker", "close_date").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(won(), F.col("_r"))).alias("_win"), F.sort_array(F.collect_list(F.when(F.col("_r") <= last, trade))).alias("_own"),
+    )
+    w = W.partitionBy("ticker").orderBy("close_date")
+    recent = F.slice(F.flatten(F.collect_list("_own").over(w.rowsBetween(1 - last, 0))), -last, last)
+    recent = F.when(F.size(F.flatten(F.collect_list("_own").over(w.rowsBetween(1 - last, 0)))) > last, recent).otherwise(F.flatten(F.collect_list("_own").over(w.rowsBetween(1 - last, 0))))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    days = days.withColumns({"_recent": recent, "_cum": F.sum("_n").over(upto)})
+    lost = F.col("_cum") - F.coalesce(F.last(F.when(F.col("_win").isNotNull(), F.col("_cum") - F.col("_win") + 1), ignorenulls=True).over(upto), F.lit(0))
+    total = lambda f: F.aggregate("_recent", F.lit(0).cast("long"), lambda s, t: s + t[f])
+    n = F.size("_recent")
+    state = days.select("ticker", "close_date", F.round(total("win") / n, 4).alias("rolling_accuracy_10"), F.round(total("conf") / n / 100, 6).alias("avg_model_confidence"), lost.cast("int").alias("losing_streak"))
+    low = F.least("losing_streak", F.lit(5)) / 5
+    health = F.col("rolling_accuracy_10") * 0.4 + F.col("avg_model_confidence") * 0.3 + (1 - low) * 0.3
+    return state.withColumns({"losing_streak_norm": F.round(low, 4), "model_health_score": F.round(F.least(F.greatest(health * 2 - 1, F.lit(-1.0)), F.lit(1.0)), 6)})

@@ -205,7 +205,7 @@ def features(df: DataFrame) -> DataFrame:
         "intermarket_score_f": clip("intermarket_score"),
         "rs_vs_banknifty": clip(F.col("rs_vs_banknifty_5d") / 3),
         "banks_outperforming_nifty": F.coalesce(F.col("banks_outperforming").cast("double"), F.lit(0.0)),
-        "banknifty_relative_momentum_5d": clip(clamp(F.col("banknifty_5d_pct") - F.col("nifty_5d_pct"), -10, 10) / 5.0),
+        "banknifty_relative_momentum_5d": clip(clamp(F.coalesce(F.col("banknifty_5d_pct") - F.col("nifty_5d_pct"), F.lit(0.0)), -10, 10) / 5.0),
         "peer_rank_norm": F.round(1 - (F.col("peer_rank") - 1) / 5, 3),
     }
     return df.select("ticker", "ts", *[c.alias(n) for n, c in out.items()])

@@ -139,7 +139,8 @@ def volatility(df: DataFrame) -> DataFrame:
         }
     )
     p10 = fw.roll(lambda x: F.percentile(x, F.lit(0.1)), "bb_width", w, 126)
-    return df.withColumn("bb_squeeze", flag(F.col("bb_width") < p10).cast("double")).drop("_ret")
+    # Beyond rounding noise: a width may itself be the percentile.
+    return df.withColumn("bb_squeeze", flag(F.col("bb_width") < p10 - 1e-12).cast("double")).drop("_ret")
 
 
 def volume(df: DataFrame) -> DataFrame:

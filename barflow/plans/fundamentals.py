@@ -168,8 +168,17 @@ _AS = "CASE WHEN a > 0.3 THEN 'BULLISH_FUNDAMENTAL' WHEN a > 0.1 THEN 'MILD_POSI
 q("alt_score", lambda spark, d: fd.alt_score(alt(spark, d)), ["period", "demand_trend_score", "hiring_trend_score", "concern_trend_score", "alt_data_score", "hiring_trend", "alt_data_signal"], "alt3",
   {"demand_trend_score": "d", "hiring_trend_score": "h", "concern_trend_score": "c", "alt_data_score": "a", "hiring_trend": _HT, "alt_data_signal": _AS})
 _c = lambda e: f"round(greatest(-1, least(1, {e})), 6)"
-q("alt_features", lambda spark, d: fd.alt_features(fd.alt_score(alt(spark, d))), ["period", "demand_trend", "hiring_trend_f", "concern_trend", "alt_data_score_f"], "alt3",
-  {"demand_trend": _c("d * 3"), "hiring_trend_f": _c("h * 4"), "concern_trend": _c("c"), "alt_data_score_f": _c("a")})
+_LOANS = {"home_loan_trend": "purchase", "personal_loan_trend": "view", "credit_card_trend": "click"}
+define("alt4", f"SELECT a.*, {', '.join(f'coalesce(s.{n}, 0) AS {n}' for n in _LOANS)} FROM alt3 a LEFT JOIN (SELECT period, " + ", ".join(f"max(slope) FILTER (keyword = '{k}') AS {n}" for n, k in _LOANS.items()) + " FROM alt2 GROUP BY 1) s USING (period)", "alt2", "alt3")
+
+
+def alt_frame(spark, d):
+    slopes = alt(spark, d)
+    return fd.alt_features(fd.alt_score(slopes), slopes, _LOANS)
+
+
+ALT = {"demand_trend": _c("d * 3"), "hiring_trend_f": _c("h * 4"), "concern_trend": _c("c"), "alt_data_score_f": _c("a"), **{n: _c(f"{n} * 5") for n in _LOANS}}
+q("alt_features", alt_frame, ["period", *ALT], "alt4", ALT)
 from .flow import insider  # noqa: E402
 
 q("ownership_features", lambda spark, d: fd.ownership_features(insider(spark, d)), ["ticker", "quarter", "insider_score_f", "promoter_trend_score", "pledge_risk", "dii_accumulation"], "ins1",

@@ -141,6 +141,6 @@ MF = {
     "india_vix_norm": f"-{_c('(coalesce(india_vix_level, 0) - 10) / 20 * 2 - 1')}", "india_vix_trend": _c("india_vix_1d_pct / 20"), "rbi_proximity_norm": "round(greatest(1 - least(days_to_rbi, 30) / 30, 0), 4)",
     "rbi_cutting_cycle": "CASE rbi_direction WHEN 'CUTTING' THEN 1 WHEN 'HIKING' THEN -1 ELSE 0 END", "dollar_stress_f": "coalesce(dollar_stress, 0)", "rupee_stress_f": _c("-usdinr_5d_pct / 2"),
     "yield_headwind_f": _c("-us_10y_bp_5d / 30"), "crude_risk_f": _c("-crude_5d_pct / 10"), "macro_score_f": _c("macro_score"), "intermarket_score_f": _c("intermarket_score"), "rs_vs_banknifty": _c("rs_vs_banknifty_5d / 3"),
-    "banks_outperforming_nifty": "coalesce(banks_outperforming, 0)", "banknifty_relative_momentum_5d": _c("greatest(-10, least(10, banknifty_5d_pct - nifty_5d_pct)) / 5"), "peer_rank_norm": "round(1 - (peer_rank - 1) / 5, 3)",
+    "banks_outperforming_nifty": "coalesce(banks_outperforming, 0)", "banknifty_relative_momentum_5d": _c("greatest(-10, least(10, coalesce(banknifty_5d_pct - nifty_5d_pct, 0))) / 5"), "peer_rank_norm": "round(1 - (peer_rank - 1) / 5, 3)",
 }
 q("macro_features", lambda spark, d: mc.features(names(spark, d)), ["ticker", "ts", *mc.FEATURES], "imk", {k: f"CAST({v} AS DOUBLE)" for k, v in MF.items()})

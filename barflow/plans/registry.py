@@ -28,6 +28,11 @@ def register(key: str, fn: Query, sql: Check | None = None) -> None:
         _ORACLES[key] = sql
 
 
+def check(key: str) -> Check:
+    """The SQL check of a key that is registered already."""
+    return _ORACLES[key]
+
+
 def wrap(decorator: Callable[[Query], Query], *keys: str) -> None:
     for key in keys:
         _QUERIES[key] = decorator(_QUERIES[key])

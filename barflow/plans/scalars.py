@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import technical as ta
 from ..sources import adapters as src
 from .oracle import sql
 from .registry import register
@@ -28,11 +27,6 @@ register(
     sql("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount > 0.08 THEN 'HIGH' WHEN l_discount > 0.05 THEN 'MID' WHEN l_discount > 0.02 THEN 'LOW' ELSE 'NONE' END AS label, CASE WHEN l_quantity < 10 THEN 'S' WHEN l_quantity < 30 THEN 'M' ELSE 'L' END AS size FROM lineitem"),
 )
 register("one_hot", lambda spark, d: T(spark, d, "events").withColumns(sc.one_hot("event_type", {"is_click": "click", "is_error": "error"})).select("event_id", "is_click", "is_error"), sql("SELECT event_id, (event_type = 'click')::INT AS is_click, (event_type = 'error')::INT AS is_error FROM events"))
-register(
-    "vectorise",
-    lambda spark, d: ta.zero_filled(ta.price_action(ta.momentum(src.bars(spark, d))), ["rsi_14", "stoch_rsi", "returns_1d"]).select("ticker", "ts", F.array(*[F.round(c, 6) for c in ("rsi_14", "stoch_rsi", "returns_1d")]).alias("vector")).select("ticker", "ts", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"), F.col("vector")[2].alias("v2")),
-    sql("SELECT ticker, ts, round(coalesce(rsi_14, 0), 6) AS v0, round(coalesce(stoch_rsi, 0), 6) AS v1, round(returns_1d, 6) AS v2 FROM tech_momentum JOIN tech_price USING (ticker, ts)", "tech_momentum", "tech_price"),
-)
 WORDS = ("the", "and", "les", "und", "con")
 register("keyword_any", lambda spark, d: T(spark, d, "documents").select("doc_id", sc.keyword_any("text", WORDS).alias("hit")), sql("SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in WORDS) + " AS hit FROM documents"))
 register("keyword_count", lambda spark, d: T(spark, d, "documents").select("doc_id", sc.keyword_count("text", WORDS).alias("n")), sql("SELECT doc_id, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in WORDS) + " AS n FROM documents"))

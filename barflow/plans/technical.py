@@ -93,7 +93,7 @@ define(
 )
 define(
     "tech_volatility",
-    f"""SELECT *, CASE WHEN bb_width < {guarded('quantile_cont(bb_width, 0.1)', 'bb_width', 126)} THEN 1.0 ELSE 0.0 END AS bb_squeeze FROM vo2""",
+    f"""SELECT *, CASE WHEN bb_width < {guarded('quantile_cont(bb_width, 0.1)', 'bb_width', 126)} - 1e-12 THEN 1.0 ELSE 0.0 END AS bb_squeeze FROM vo2""",
     "vo2",
 )
 define(

@@ -9,9 +9,12 @@ a hash aggregate over fixed-width buffers with a map-side combine.
 
 from __future__ import annotations
 
-from contextvars import ContextVar
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar, copy_context
 from decimal import Decimal
-from functools import wraps
+from functools import partial, wraps
+from threading import Lock, RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,34 @@ from pyspark.sql import functions as F
 from ..session import scratch
 
 _kept: ContextVar[dict | None] = ContextVar("kept", default=None)
+_stores: dict[tuple, dict] = {}
+_making = Lock()
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of each table of a folder: what is derived from them holds as long as these do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.listStatus(path):
+        total = fs.getContentSummary(s.getPath())
+        found.append((s.getPath().getName(), s.getModificationTime(), total.getLength(), total.getFileCount()))
+    return tuple(sorted(found))
+
+
+def kept(spark: SparkSession, sf_dir: str, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """Within :func:`once`: the rows written under ``key`` and read from there, made by whoever asks first."""
+    store = _kept.get()
+    if store is None:
+        return make()
+    with _making:
+        lock = store.setdefault(("lock", sf_dir, key), RLock())
+    with lock:
+        if (sf_dir, key) not in store:
+            rows, path = make(), f"{scratch(spark)}/{key[0]}"
+            rows.write.parquet(path)
+            store[sf_dir, key] = spark.read.schema(rows.schema).parquet(path)
+        return store[sf_dir, key]
 
 
 def derived(fn):
@@ -26,25 +57,30 @@ def derived(fn):
 
     @wraps(fn)
     def get(spark: SparkSession, sf_dir: str, *args, **kw) -> DataFrame:
-        kept = _kept.get()
-        if kept is None:
-            return fn(spark, sf_dir, *args, **kw)
-        key = (fn.__name__, sf_dir, args, tuple(sorted(kw.items())))
-        if key not in kept:
-            rows, path = fn(spark, sf_dir, *args, **kw), f"{scratch(spark)}/{fn.__name__}"
-            rows.write.parquet(path)
-            kept[key] = spark.read.schema(rows.schema).parquet(path)
-        return kept[key]
+        return kept(spark, sf_dir, (fn.__name__, args, tuple(sorted(kw.items()))), lambda: fn(spark, sf_dir, *args, **kw))
 
     return get
 
 
+def together(spark: SparkSession, sf_dir: str, parts: dict[str, Callable[[SparkSession, str], DataFrame]]) -> dict[str, DataFrame]:
+    """Frames bounded by the calendar, made side by side and, within :func:`once`, written: plans stay short, and Spark shares its cores between them."""
+    if _kept.get() is None:
+        return {n: make(spark, sf_dir) for n, make in parts.items()}
+    bars(spark, sf_dir)  # most parts need them
+    with ThreadPoolExecutor(min(8, len(parts))) as pool:
+        jobs = {n: pool.submit(copy_context().run, kept, spark, sf_dir, (n,), partial(make, spark, sf_dir)) for n, make in parts.items()}
+        return {n: j.result() for n, j in jobs.items()}
+
+
 def once(query):
-    """A query that uses derived tables again and again: each fact table behind them is scanned once, and the plan stays short."""
+    """A query that uses derived tables again and again: each fact table behind them is scanned once, and the plan stays short.
+
+    What is written serves later queries of the session too, until one of the folder's tables changes.
+    """
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _kept.set({})
+        token = _kept.set(_stores.setdefault((spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir)), {}))
         try:
             return query(spark, sf_dir)
         finally:
