@@ -3,19 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of documents.
 Filters decide on rows, which they number for that: rows with a null doc_id and rows that share one have each a decision of
 their own. Of copies the exact stage keeps the one with the largest doc_id, the near stage that with the smallest; rows
-without one give way to others. The choice within a group is made on numbers alone; texts of rows that stay are not shuffled for it.
+without one give way to others. The choice within a group is made on numbers alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import wraps
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import U, bit_filter, delete, mix, noted, passes, shared_folder, written
+from barflow.llm.common import delete, noted, shared_folder, written
 from barflow.llm.decontaminate import contaminated
 from barflow.llm.exact import exact_duplicates
 from barflow.llm.mixing import mixture
@@ -45,33 +44,9 @@ def _by_number(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("row_no"))
 
 
-def _cells(numbers: pa.Array):
-    return mix(numbers.to_numpy().view(U))
-
-
 def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose number is not among ``ids`` (one column, id).
-
-    A bitmap of fixed size tells which may be: only they are joined, so the texts of the others stay where they are.
-    """
-    ids = written(ids.distinct())
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column("id")).view("int64"))], ["cell"])
-
-    bitmap = rows.sparkSession.sparkContext.broadcast(bit_filter(ids.mapInArrow(cells, "cell long"), "cell"))
-
-    def those(wanted: bool):
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array(passes(bitmap.value, _cells(batch.column("row_no"))) == wanted))
-
-        return rows.mapInArrow(chosen, rows.schema)
-
-    rest = those(True)
-    return those(False).union(rest.join(ids, rest["row_no"] == ids["id"], "left_anti")).drop("row_no")
+    """The documents whose number is not among ``ids`` (one column, id)."""
+    return rows.join(ids, rows["row_no"] == ids["id"], "left_anti").drop("row_no")
 
 
 def _all_but_one(rows: DataFrame, groups: DataFrame, pick, *order) -> DataFrame:
