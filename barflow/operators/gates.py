@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as fw
+from ..functions.chains import path
 from ..functions.scalars import ladder, lookup
-from .joins import asof_day
+from .joins import asof, asof_day
 from .regime import BEAR, CHOPPY, HIGH_VOL
 
 GATES: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -373,16 +374,18 @@ def alert_dedup(df: DataFrame, key: str = "skey", direction: str = "committed",
 
 
 def cooldown(df: DataFrame, key: str = "skey", seconds: int = 1800, order: tuple[str, ...] = ("ts", "event_id"), rows: int = 4096) -> DataFrame:
-    """``emitted`` = 1 at least ``seconds`` after the last emitted row; a gap that long cuts the series."""
-    gap = seconds * 1_000_000
-    x = df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    x = _segments(x, key, order, lambda w: F.col("_us") - F.lag("_us").over(w) >= gap, rows)
+    """``emitted`` = 1 at least ``seconds`` after the last emitted row.
 
-    def step(last, i, t):
-        hit = last is None or t - last >= gap
-        return hit, t if hit else last
-
-    return _scan(x, key, "emitted", step, ["_us"]).drop("_us")
+    The row that follows an emitted one is the first one late enough, whatever came before: an as-of join finds it for every
+    row, and the emitted rows are those on the path from a key's first row.
+    """
+    stamp = F.col("ts").cast("timestamp_ntz")
+    x = fw.index_rows(df, key, order, F.to_date("ts"))
+    at = x.groupBy(key, stamp.alias("_at")).agg(F.min("i").alias("nxt"))
+    due = x.select(F.col(key).alias("_key"), "i", (stamp + F.make_dt_interval(secs=F.lit(seconds))).alias("_due"))
+    nodes = asof(due.withColumnRenamed("_key", key), at, ["nxt"], key, "_due", "_at", "day", forward=True)
+    on = path(nodes.select(F.col(key).alias("key"), "i", "nxt"), rows).select(F.col("key").alias(key), "i", F.lit(1).alias("emitted"))
+    return x.join(on, [key, "i"], "left").withColumn("emitted", F.coalesce("emitted", F.lit(0))).select(*df.columns, "emitted")
 
 
 def reversals(positions: DataFrame, models: DataFrame) -> DataFrame:

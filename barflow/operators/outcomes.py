@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as fw
-from .gates import _scan
-from .joins import barrier
+from ..functions.chains import path
+from .joins import asof, barrier
 
 SLIPPAGE, TOTAL_COST = 0.0005, 0.002
 TRAIL_TRIGGER, TRAIL_DISTANCE = 0.02, 0.015
@@ -100,22 +100,20 @@ def ladder(ents: DataFrame, bars: DataFrame) -> DataFrame:
     return x.where(z.isNotNull()).select("ticker", "i", F.col("_l.leg").alias("leg"), F.col("_l.share").alias("share"), z["bar_i"].alias("exit_i"), z["reason"].alias("exit_reason"), pnl.alias("leg_pnl_pct"))
 
 
-def non_overlapping(done: DataFrame, key: str = "ticker") -> DataFrame:
+def non_overlapping(done: DataFrame, key: str = "ticker", rows: int = 4096) -> DataFrame:
     """One trade at a time: an entry counts only after the previously taken trade has closed.
 
-    Where an entry lies past every earlier exit the outcome of what came before no longer matters;
-    series are cut there and the pieces scanned in order.
+    The first entry past a trade's exit is the one that may follow it; the trades taken are those on the path from a key's
+    first entry. An entry without an exit blocks all that come after it.
     """
-    w = fw.series(key, "i")
-    x = done.withColumn("_before", F.max("exit_i").over(w.rowsBetween(fw.W.unboundedPreceding, -1)))
-    x = x.withColumn("_seg", F.sum(F.when(F.coalesce(F.col("i") > F.col("_before"), F.lit(True)), 1).otherwise(0)).over(fw.running(w))).drop("_before")
-
-    def step(busy_until, i, exit_i):
-        take = busy_until is None or i > busy_until
-        return take, exit_i if take else busy_until
-
-    keep = x.withColumn("entry_i", F.col("i"))
-    return _scan(keep, key, "taken", step, ["exit_i"]).where(F.col("taken") == 1).withColumnRenamed("entry_i", "i").drop("taken")
+    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    x = fw.index_rows(done, key, ["i"], F.floor(F.col("i") / rows), "_n")
+    starts = x.groupBy(key, at(F.col("i")).alias("_at")).agg(F.min("_n").alias("nxt"))
+    due = x.where("exit_i is not null").select(key, "_n", at(F.col("exit_i") + 1).alias("_due"))
+    to = asof(due, starts, ["nxt"], key, "_due", "_at", "hour", forward=True).select(key, "_n", "nxt")
+    nodes = x.join(to, [key, "_n"], "left").select(F.col(key).alias("key"), F.col("_n").alias("i"), "nxt")
+    taken = path(nodes, rows).select(F.col("key").alias(key), F.col("i").alias("_n"))
+    return x.join(taken, [key, "_n"]).select(*done.columns)
 
 
 def walk_forward(bars: DataFrame, train: int = 504, test: int = 126, min_test: int = 20) -> DataFrame:
