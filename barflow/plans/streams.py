@@ -40,17 +40,22 @@ register(
 )
 
 
-def _scored(spark, d):
+def _scored(spark, d, apart: int = 1):
+    """Articles ``apart`` minutes from each other."""
     docs = jobs.source(spark, d, "documents", src.table(spark, d, "documents").schema)
-    return docs.select(F.col("source").alias("ticker"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("created_at"), (F.pmod(F.col("n_chars"), F.lit(21)) - 10).alias("tenths"))
+    return docs.select(F.col("source").alias("ticker"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60 * apart).alias("created_at"), (F.pmod(F.col("n_chars"), F.lit(21)) - 10).alias("tenths"))
 
 
-register(
-    "stream_sentiment",
-    lambda spark, d: ntz(jobs.drain(jobs.sentiment(_scored(spark, d), length="4 hours")), "ts"),
-    sql("""SELECT ticker, t AS ts, count(*) AS count, round(avg(tenths) / 10, 4) AS score, count(*) FILTER (tenths > 2) AS positive, count(*) FILTER (tenths < -2) AS negative FROM (SELECT source AS ticker, n_chars % 21 - 10 AS tenths,
-    date_trunc('hour', TIMESTAMP '2024-01-01' + to_minutes(doc_id)) + to_hours(k) AS t, (SELECT max(doc_id) FROM documents) AS mx FROM documents, range(1, 5) r(k)) WHERE t <= TIMESTAMP '2024-01-01' + to_minutes(mx) - INTERVAL 1 HOUR GROUP BY 1, 2"""),
-)
+def _window_sql(hours: int) -> str:
+    return f"""SELECT ticker, t AS ts, count(*) AS count, round(avg(tenths) / 10, 4) AS score, count(*) FILTER (tenths > 2) AS positive, count(*) FILTER (tenths < -2) AS negative FROM (SELECT source AS ticker, n_chars % 21 - 10 AS tenths,
+    date_trunc('hour', TIMESTAMP '2024-01-01' + to_minutes(doc_id * {hours // 4})) + to_hours(k) AS t, (SELECT max(doc_id) * {hours // 4} FROM documents) AS mx FROM documents, range(1, {hours + 1}) r(k)) WHERE t <= TIMESTAMP '2024-01-01' + to_minutes(mx) - INTERVAL 1 HOUR GROUP BY 1, 2"""
+
+
+for _key, _hours in (("stream_sentiment", 4), ("stream_sentiment_24h", 24), ("stream_sentiment_72h", 72)):
+    register(_key, lambda spark, d, h=_hours: ntz(jobs.drain(jobs.sentiment(_scored(spark, d, h // 4), length=f"{h} hours")), "ts"), sql(_window_sql(_hours)))
+YEAR = 366 * 86_400
+#: Stateful rules answer for a row once the watermark has passed it.
+define("passed", "SELECT event_id, ts AS event_ts FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
 KINDS = ("BULL_TRENDING", "BEAR_TRENDING", "HIGH_VOLATILITY", "CHOPPY_SIDEWAYS")
 
 
@@ -71,7 +76,7 @@ define(
 register(
     "stream_regime_state",
     lambda spark, d: jobs.drain(jobs.regime_state(_regimes(events(spark, d)), key="user_id", order=("ts", "event_id"))).select("event_id", "regime", "committed_regime", "held"),
-    sql("SELECT event_id, regime, c AS committed_regime, (c <> regime)::INT AS held FROM sre_rec", "sre_rec"),
+    sql("SELECT event_id, regime, c AS committed_regime, (c <> regime)::INT AS held FROM sre_rec JOIN passed USING (event_id)", "sre_rec", "passed"),
 )
 
 
@@ -86,9 +91,9 @@ def _cycles(spark, d):
     return sg.decisive(x).withColumn("confidence", F.round(F.greatest("prob_long", "prob_flat", "prob_short"), 6))
 
 
-register("stream_stabiliser", lambda spark, d: jobs.drain(jobs.stabiliser(_cycles(spark, d))).select("event_id", "decisive", "committed"), sql("SELECT event_id, dec AS decisive, com AS committed FROM st_rec", "st_rec"))
-register("stream_alert_dedup", lambda spark, d: jobs.drain(jobs.alert_dedup(_cycles(spark, d))).select("event_id", "sent"), sql("SELECT event_id, sent FROM sd_rec", "sd_rec"))
-register("stream_cooldown", lambda spark, d: jobs.drain(jobs.cooldown(events(spark, d).select(F.col("user_id").alias("skey"), "ts", "event_id"))).select("event_id", "emitted"), sql("SELECT event_id, emitted FROM cd_rec", "cd_rec"))
+register("stream_stabiliser", lambda spark, d: jobs.drain(jobs.stabiliser(_cycles(spark, d), idle=YEAR)).select("event_id", "decisive", "committed"), sql("SELECT event_id, dec AS decisive, com AS committed FROM st_rec JOIN passed USING (event_id)", "st_rec", "passed"))
+register("stream_alert_dedup", lambda spark, d: jobs.drain(jobs.alert_dedup(_cycles(spark, d), idle=YEAR)).select("event_id", "sent"), sql("SELECT event_id, sent FROM sd_rec JOIN passed USING (event_id)", "sd_rec", "passed"))
+register("stream_cooldown", lambda spark, d: jobs.drain(jobs.cooldown(events(spark, d).select(F.col("user_id").alias("skey"), "ts", "event_id"))).select("event_id", "emitted"), sql("SELECT event_id, emitted FROM cd_rec JOIN passed USING (event_id)", "cd_rec", "passed"))
 register(
     "stream_static_enrich",
     lambda spark, d: jobs.drain(jobs.static_enrich(events(spark, d).select("event_id", F.col("user_id").alias("c_custkey")), src.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")).select("event_id", "c_mktsegment"),
@@ -105,7 +110,7 @@ register(
     "stream_exit_monitor",
     lambda spark, d: jobs.drain(jobs.exit_monitor(_watch(spark, d), trail=0.05)).where(F.col("exit_reason") != "").select("position_id", "event_id", F.round("high_water", 4).alias("high_water"), "exit_reason"),
     sql("""SELECT position_id, event_id, round(hw, 4) AS high_water, r AS exit_reason FROM (SELECT *, CASE WHEN px <= 200.5 THEN 'STOP_LOSS' WHEN px >= 228 THEN 'TARGET' WHEN px <= hw * 0.95 THEN 'TRAILING_STOP' END AS r FROM (
-    SELECT user_id AS position_id, event_id, ts, 200 + value / 10 AS px, max(200 + value / 10) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hw FROM events)) WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY ts, event_id) = 1"""),
+    SELECT user_id AS position_id, event_id, ts, 200 + value / 10 AS px, max(200 + value / 10) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hw FROM events JOIN passed USING (event_id))) WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY ts, event_id) = 1""", "passed"),
 )
 register(
     "stream_latest_sink",

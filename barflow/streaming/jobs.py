@@ -6,6 +6,8 @@ resumes where the last committed batch ended.
 
 from __future__ import annotations
 
+import json
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,9 +30,9 @@ def source(spark: SparkSession, folder: str, name: str, schema, files_per_batch:
     return r.parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run everything available through a Parquet sink, then read the table back."""
-    spark, base = stream.sparkSession, scratch(stream.sparkSession)
+def drain(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run everything available through a Parquet sink, then read the table back. With the ``base`` of an earlier run it goes on where that one ended."""
+    spark, base = stream.sparkSession, base or scratch(stream.sparkSession)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -70,27 +72,68 @@ def static_enrich(stream: DataFrame, dimension: DataFrame, key: str) -> DataFram
     return stream.join(dimension, key, "left")
 
 
-def stateful(stream: DataFrame, key: str, order: list[str], fields: list[str], out: dict[str, str], state_ddl: str, step: Callable) -> DataFrame:
-    """Per-key rule with state: rows of a micro-batch in order, state carried between batches.
+DELAY, IDLE = "10 minutes", 7 * 86_400
+
+
+def stateful(
+    stream: DataFrame, key: str, order: list[str], fields: list[str], out: dict[str, str], state_ddl: str, step: Callable,
+    delay: str = DELAY, idle: int = IDLE, seed: tuple[DataFrame, Callable] | None = None,
+) -> DataFrame:
+    """Per-key rule with state, in event time; ``order`` begins with the time.
 
-    ``step(state, *fields) -> (outputs, state)``, ``state`` is None for a new key.
+    Rows wait in the state until the watermark (``delay`` behind the newest row) has passed them, so rows that come late by up to
+    ``delay``, in whatever batch, are taken in their order; later ones are dropped. An event-time timer wakes the key
+    for its oldest waiting row, and ``idle`` seconds after its last row to drop its state.
+
+    ``step(state, *fields) -> (outputs, state)``, ``state`` is None for a new key. ``seed`` is a table by key and a
+    function of its row (as a dict) that gives the state with which a key begins.
     """
-    base = stream.select(key, *order, *[f for f in fields if f not in order and f != key])
-    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields] + [f"{n} {t}" for n, t in out.items()])
+    ts = order[0]
+    x = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    base = x.select(key, *order, *[f for f in fields if f not in order and f != key])
+    start = None
+    if seed:
+        known, start = seed
+        base = base.join(known.select(key, F.to_json(F.struct(*[c for c in known.columns if c != key])).alias("_seed")), key, "left")
+    kept = [c for c in base.columns if c != "_seed"]
+    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields if f.name in kept] + [f"{n} {t}" for n, t in out.items()])
+    n_state = len([f for f in _parse(state_ddl)])
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(order, ignore_index=True)
+        known, waiting, last, *rule = state.get if state.exists else (False, pickle.dumps([]), 0, *[None] * n_state)
+        now, rows = tuple(rule) if known else None, pickle.loads(waiting)
+        wm = state.getCurrentWatermarkMs()
+        for pdf in pdfs:
+            if start is not None and now is None and not known and len(pdf) and isinstance(pdf["_seed"].iloc[0], str):
+                now, known = start(json.loads(pdf["_seed"].iloc[0])), True
+            times = pdf[ts].astype("datetime64[ns]").astype("int64") // 1_000_000
+            rows += zip(times.tolist(), *[pdf[c].tolist() for c in kept], strict=True)
+        at = [kept.index(c) + 1 for c in order]
+        due = sorted((r for r in rows if r[0] <= wm), key=lambda r: [r[i] for i in at])
+        rows = [r for r in rows if r[0] > wm]
+        at = [kept.index(f) + 1 for f in fields]
         results = []
-        for vals in zip(*[rows[f] for f in fields]):
-            res, now = step(now, *vals)
-            results.append(res)
-        state.update(now)
-        for i, n in enumerate(out):
-            rows[n] = [r[i] for r in results]
-        yield rows
+        for r in due:
+            if last and r[0] - last >= idle * 1000:  # whether or not the timer came first
+                now = None
+            res, now = step(now, *[r[i] for i in at])
+            results.append((*r[1:], *res))
+            last = r[0]
+        if not rows and (now is None or last + idle * 1000 <= wm):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((now is not None, pickle.dumps(rows), int(last), *(now if now is not None else [None] * n_state)))
+            state.setTimeoutTimestamp(int(max(wm + 1, min(r[0] for r in rows) - 1 if rows else last + idle * 1000)))
+        if results:
+            yield pd.DataFrame(results, columns=[*kept, *out])
+
+    grouped = base.groupBy(key)
+    return grouped.applyInPandasWithState(run, ddl, f"known boolean, waiting binary, last long, {state_ddl}", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return base.groupBy(key).applyInPandasWithState(run, ddl, state_ddl, "append", GroupStateTimeout.NoTimeout)
+def _parse(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(",")]
 
 
 def regime_step(state, raw):
@@ -101,8 +144,10 @@ def regime_step(state, raw):
     return (committed, int(committed != raw)), (committed, raw, p1)
 
 
-def regime_state(stream: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), raw: str = "regime") -> DataFrame:
-    return stateful(stream, key, list(order), [raw], {"committed_regime": "string", "held": "int"}, "committed string, p1 string, p2 string", regime_step)
+def regime_state(stream: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), raw: str = "regime", snapshot: DataFrame | None = None, **timing) -> DataFrame:
+    """Committed regime per reading; ``snapshot`` (key, regime) has the one with which a key begins, as after a restart without state."""
+    seed = (snapshot.select(key, F.col("regime").alias("_regime")), lambda r: (r["_regime"], None, None)) if snapshot is not None else None
+    return stateful(stream, key, list(order), [raw], {"committed_regime": "string", "held": "int"}, "committed string, p1 string, p2 string", regime_step, seed=seed, **timing)
 
 
 def stabilise_step(state, need, dec):
@@ -121,8 +166,8 @@ def stabilise_step(state, need, dec):
     return (committed,), (committed, pending, int(count))
 
 
-def stabiliser(stream: DataFrame, key: str = "skey", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    return stateful(stream, key, list(order), ["confirm", "decisive"], {"committed": "string"}, "committed string, pending string, n int", stabilise_step)
+def stabiliser(stream: DataFrame, key: str = "skey", order: tuple[str, ...] = ("ts", "event_id"), **timing) -> DataFrame:
+    return stateful(stream, key, list(order), ["confirm", "decisive"], {"committed": "string"}, "committed string, pending string, n int", stabilise_step, **timing)
 
 
 def dedup_step(state, direction, conf, delta: float = 0.05):
@@ -133,11 +178,11 @@ def dedup_step(state, direction, conf, delta: float = 0.05):
     return (int(hit),), (direction, float(conf)) if hit else (last, float(sent_conf))
 
 
-def alert_dedup(stream: DataFrame, key: str = "skey", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    return stateful(stream, key, list(order), ["decisive", "confidence"], {"sent": "int"}, "direction string, confidence double", dedup_step)
+def alert_dedup(stream: DataFrame, key: str = "skey", order: tuple[str, ...] = ("ts", "event_id"), **timing) -> DataFrame:
+    return stateful(stream, key, list(order), ["decisive", "confidence"], {"sent": "int"}, "direction string, confidence double", dedup_step, **timing)
 
 
-def cooldown(stream: DataFrame, key: str = "skey", seconds: int = 1800, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def cooldown(stream: DataFrame, key: str = "skey", seconds: int = 1800, order: tuple[str, ...] = ("ts", "event_id"), **timing) -> DataFrame:
     gap = seconds * 1_000_000
 
     def step(state, t):
@@ -145,10 +190,10 @@ def cooldown(stream: DataFrame, key: str = "skey", seconds: int = 1800, order: t
         return (int(hit),), (int(t),) if hit else state
 
     x = stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return stateful(x, key, list(order), ["us"], {"emitted": "int"}, "us long", step)
+    return stateful(x, key, list(order), ["us"], {"emitted": "int"}, "us long", step, **timing)
 
 
-def exit_monitor(stream: DataFrame, key: str = "position_id", order: tuple[str, ...] = ("ts", "event_id"), trail: float = 0.02) -> DataFrame:
+def exit_monitor(stream: DataFrame, key: str = "position_id", order: tuple[str, ...] = ("ts", "event_id"), trail: float = 0.02, **timing) -> DataFrame:
     """Ticks joined to open positions: stop, target, then a trail below the highest price seen."""
 
     def step(state, price, stop, target):
@@ -157,7 +202,7 @@ def exit_monitor(stream: DataFrame, key: str = "position_id", order: tuple[str,
         reason = "" if done else "STOP_LOSS" if price <= stop else "TARGET" if price >= target else "TRAILING_STOP" if price <= high * (1 - trail) else ""
         return (float(high), reason), (float(high), int(done or reason != ""))
 
-    return stateful(stream, key, list(order), ["price", "stop", "target"], {"high_water": "double", "exit_reason": "string"}, "high double, done int", step)
+    return stateful(stream, key, list(order), ["price", "stop", "target"], {"high_water": "double", "exit_reason": "string"}, "high double, done int", step, **timing)
 
 
 def latest_sink(stream: DataFrame, key: str, order: list[str], base: str | None = None) -> DataFrame:
