@@ -199,22 +199,30 @@ def _around(least: int):
 
 
 def _block_pairs(least: int, percent: int):
-    """Pairs of members of a key, of rows sorted by (key, i, j): one has ``least`` runs around the key of which the other has most.
+    """Links of members of a key, of rows sorted by (key, i, j, id): pairs of which one has ``least`` runs around the key that the other mostly has.
 
-    Of two sets with the similarity s, the smaller shares 2 s / (1 + s) of its items with the other at least.
+    Of two sets with the similarity s, the smaller shares 2 s / (1 + s) of its items with the other at least. Within a
+    block the first member without a link represents those with which it shares a passage around the key; they are linked with it and
+    met as seconds only. Where two blocks meet, a member is linked with the first one of the other block that it shares a passage with.
+    A later member that fits members of a group, but not the one that represents it, gets one link with the group. So there is
+    about one link a member, however large the group. Pairs that share no passage that near to the key, but may farther out, are all linked.
     """
     need = int(least * 2 * percent / (100 + percent))
 
     def of(rows: pa.RecordBatch) -> np.ndarray:
         ids, block, at = (rows.column(c).to_numpy() for c in ("id", "block", "at"))
         runs = [np.frombuffer(s, np.uint32) for s in rows.column("around").to_pylist()]
+        key = np.minimum(at >> 32, least - 1)
         _, column = np.unique(np.concatenate(runs), return_inverse=True)
         ends = np.cumsum([len(r) for r in runs])
         has = np.zeros((len(runs), column.max() + 1), np.uint8)
         has[np.repeat(np.arange(len(runs)), [len(r) for r in runs]), column] = 1
         split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        group = np.full(len(runs), -1)  # the member that a member is linked with
         found = []
         for x, end in enumerate(ends):
+            if not split and group[x] >= 0:
+                continue
             y = np.flatnonzero((ids != ids[x]) & ((block != block[x]) | (not split)))
             own = column[end - len(runs[x]) : end]
             if not len(y) or len(own) < least:
@@ -222,14 +230,25 @@ def _block_pairs(least: int, percent: int):
             upto = np.zeros((len(y), len(own) + 1), np.int16)
             np.cumsum(has[np.ix_(y, own)], axis=1, out=upto[:, 1:])
             y = y[(upto[:, least:] - upto[:, :-least]).max(axis=1) >= need]
-            a, b = np.where(ids[y] < ids[x], y, x), np.where(ids[y] < ids[x], x, y)
-            found.append(np.stack((ids[a], ids[b], at[a], at[b])))
-        if found:  # one place of a key is enough for two articles
-            whole = np.concatenate(found, axis=1)
-            order = np.lexsort((whole[3], whole[2], whole[1], whole[0]))
-            whole = whole[:, order]
-            return whole[:, np.concatenate(([True], (whole[:2, 1:] != whole[:2, :-1]).any(axis=0)))] if whole.shape[1] else whole
-        return np.zeros((4, 0), np.int64)
+            met: set[int] = set()
+            for z in y.tolist():
+                if group[z] >= 0 and group[z] in met:
+                    continue
+                if not shared_passages(runs[x], runs[z], key[[x]], key[[z]], least, percent):
+                    if group[z] < 0:
+                        found.append((x, z))
+                    continue
+                found.append((x, z))
+                if group[z] < 0:
+                    group[z] = x
+                met.add(int(group[z]))
+        if not found:
+            return np.zeros((4, 0), np.int64)
+        x, z = np.array(found).T
+        a, b = np.where(ids[x] < ids[z], x, z), np.where(ids[x] < ids[z], z, x)
+        whole = np.stack((ids[a], ids[b], at[a], at[b]))
+        whole = whole[:, np.lexsort((whole[3], whole[2], whole[1], whole[0]))]
+        return whole[:, np.concatenate(([True], (whole[:2, 1:] != whole[:2, :-1]).any(axis=0)))]  # one place of a key is enough for two articles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -267,7 +286,8 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     of common runs around the hits, with gaps of GAPS, similar enough as sets.
     Key members not linked so, those whose windows have too little in common with the representative's first place among them,
     are met in blocks with all others of their key that were not and with all places of the representative, compared by
-    the runs around the key, and verified in turn, so a representative that does not share the passage costs no link.
+    the runs around the key, and verified in turn, so a representative that does not share the passage costs no link. There the first
+    member without a link represents those that share its passage, so a group has about one link a member.
     A member that is linked with the representative is not met again under that key. Articles with the same text are
     one text; each has a row for its whole length with the smallest id among them. Keys are counted before they are shuffled;
     only those of several articles come back, in a second pass over the texts, through a bitmap of fixed size.
@@ -343,7 +363,7 @@ def _rest(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFr
     # Each text is split into runs once, whatever number of keys it has.
     places = left.join(several, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "at")).alias("places"))
     around = places.join(texts, "id").select("id", "places", "text").mapInArrow(_around(least), "key long, id long, at long, around binary").join(several, "key")
-    members = around.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    members = around.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "at", "around",
     )
