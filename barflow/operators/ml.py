@@ -35,8 +35,9 @@ def classifier(names: list[str], trees: int = 20, depth: int = 4, seed: int = 42
     )
 
 
-# Fixed values: (trees, depth) per model, shallow against over-fitting.
+# Fixed values: (trees, depth) per model, shallow against over-fitting; folds of its validation.
 PARAMETERS = {"swing": (20, 4), "positional": (15, 3), "intraday": (20, 4)}
+FOLDS = {"swing": 10, "positional": 5, "intraday": 5}
 
 
 def prepare(df: DataFrame, names: list[str]) -> DataFrame:
@@ -52,24 +53,48 @@ def accuracy(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fold_ids(df: DataFrame, folds: int, ts: str = "ts") -> DataFrame:
-    """Expanding folds in time: dates are cut into ``folds`` + 1 equal stretches."""
-    days = df.select(ts).distinct().withColumn("fold", F.ntile(folds + 1).over(W.partitionBy(F.lit(0)).orderBy(ts)) - 1)
-    return df.join(days, ts)
+def stretches(df: DataFrame, folds: int, ts: str = "ts") -> list:
+    """First day of each of the ``folds`` test stretches, then the day after the last: the days are cut into ``folds`` + 1 equal parts."""
+    days = df.select(F.col(ts).cast("date").alias("day")).distinct().withColumn("part", F.ntile(folds + 1).over(W.partitionBy(F.lit(0)).orderBy("day")) - 1)
+    rows = days.groupBy("part").agg(F.min("day").alias("a"), F.date_add(F.max("day"), 1).alias("b")).orderBy("part").collect()
+    return [r["a"] for r in rows if r["part"] > 0] + [rows[-1]["b"]] if len(rows) > 1 else []
 
 
-def time_series_cv(df: DataFrame, names: list[str], folds: int = 3, model: str = "swing") -> list[dict]:
-    """Train on all earlier stretches, test on the next; never shuffled.  ``folds`` is a handful of driver steps."""
-    x = fold_ids(prepare(df, names), folds).cache()
-    out = []
-    for k in range(1, folds + 1):
-        trees, depth = PARAMETERS[model]
-        fit = classifier(names, trees, depth).fit(x.where(F.col("fold") < k))
-        test = fit.transform(x.where(F.col("fold") == k))
-        row = test.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc")).head()
-        out.append({"fold": k, "n_test": row["n"], "accuracy": row["acc"]})
-    x.unpersist()
-    return out
+def split(df: DataFrame, start, end=None, ts: str = "ts", until: str = "label_until") -> tuple[DataFrame, DataFrame]:
+    """(training, test): test rows lie in [start, end); of the earlier rows those train whose label was known before ``start``."""
+    test = df.where(F.col(ts) >= F.lit(start))
+    return df.where((F.col(ts) < F.lit(start)) & (F.col(until) < F.lit(start))), test.where(F.col(ts) < F.lit(end)) if end is not None else test
+
+
+def hold_out(df: DataFrame, share: float = 0.15, ts: str = "ts"):
+    """The day from which on the last ``share`` of the days lie."""
+    days = stretches(df, round(1 / share) - 1, ts)
+    return days[-2] if len(days) > 1 else None
+
+
+def out_of_fold(df: DataFrame, names: list[str], model: str = "swing", folds: int | None = None, ts: str = "ts", until: str = "label_until") -> DataFrame:
+    """Predictions for every row of the test stretches, each by a model that has seen only labels known before its stretch began.
+
+    The training part grows from stretch to stretch and is never shuffled in time; a label looks ahead by its horizon, so rows whose
+    label reaches into the stretch are kept out (an embargo of the label's own length). Adds ``fold``, ``n_train``, ``prediction`` and ``probability``.
+    """
+    starts = stretches(df, folds or FOLDS[model], ts)
+    out = None
+    for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False), 1):  # a handful of fits
+        past, test = split(df, a, b, ts, until)
+        n = past.count()
+        if not n:
+            continue
+        fit = train(past, names, model)
+        rows = fit.transform(test.withColumns({c: finite_or(c) for c in names}).withColumn("label", F.col("label").cast("double")))
+        rows = rows.withColumns({"fold": F.lit(k), "n_train": F.lit(n).cast("long")}).drop("features", "rawPrediction")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else df.limit(0).withColumns({"fold": F.lit(0), "n_train": F.lit(0).cast("long"), "prediction": F.lit(0.0)})
+
+
+def fold_scores(predicted: DataFrame) -> DataFrame:
+    right = (F.col("label") == F.col("prediction")).cast("double")
+    return predicted.groupBy("fold").agg(F.max("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.round(F.avg(right), 6).alias("accuracy"))
 
 
 def calibrate(pred: DataFrame, classes: int = 3, method: str = "isotonic") -> DataFrame:
@@ -111,11 +136,55 @@ def replacements(scores: DataFrame, slack: float = 0.01) -> DataFrame:
     return scores.withColumn("replaced", F.col("old").isNull() | (F.col("new") >= F.col("old") - slack))
 
 
-def replace_if_not_worse(model, path: str, new: float, old: float | None) -> bool:
-    if not not_worse(new, old):
-        return False
-    model.write().overwrite().save(path)
-    return True
+class ModelStore:
+    """Versions of a model in the shared folder and which one counts.
+
+    A model is written under a number of its own first. Only if its score is not worse than that of the current one does a pointer file with that
+    number appear, which is one atomic step; until then, and after a write that broke off, the old model stays current.
+    """
+
+    def __init__(self, spark, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, kind: str) -> list[int]:
+        found = self.fs.globStatus(self.path(f"{self.base}/{kind}-*")) or []
+        return sorted(int(s.getPath().getName().split("-")[1]) for s in found)
+
+    def current(self) -> dict | None:
+        """version, score and path of the model that counts."""
+        pointers = self._numbers("current")
+        if not pointers:
+            return None
+        score = self.spark.read.text(f"{self.base}/current-{pointers[-1]}").first()["value"]
+        return {"version": pointers[-1], "score": float(score), "path": f"{self.base}/model-{pointers[-1]}"}
+
+    def load(self):
+        from pyspark.ml import PipelineModel
+
+        now = self.current()
+        return PipelineModel.load(now["path"]) if now else None
+
+    def offer(self, model, score: float, slack: float = 0.01) -> bool:
+        """Stores the model if none counts or its score is at most ``slack`` below; whether it now counts."""
+        now = self.current()
+        if not not_worse(score, now["score"] if now else None, slack):
+            return False
+        version = max([0, *self._numbers("model"), *self._numbers("current")]) + 1
+        model.write().save(f"{self.base}/model-{version}")
+        out = self.fs.create(self.path(f"{self.base}/.next-{version}"), True)
+        out.write(bytearray(repr(float(score)).encode()))
+        out.close()
+        return bool(self.fs.rename(self.path(f"{self.base}/.next-{version}"), self.path(f"{self.base}/current-{version}")))
+
+    def forget(self, keep: int = 2) -> None:
+        """Deletes all but the newest ``keep`` models that counted, and what never did."""
+        counted = self._numbers("current")[-keep:]
+        for kind in ("current", "model"):
+            for n in self._numbers(kind):
+                if n not in counted:
+                    self.fs.delete(self.path(f"{self.base}/{kind}-{n}"), True)
 
 
 def information_value(df: DataFrame, names: list[str], bins: int = 10, min_rows: int = 50) -> DataFrame:

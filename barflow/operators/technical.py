@@ -281,9 +281,9 @@ def breadth(bars: DataFrame, span: int = 50) -> DataFrame:
 
 
 def forward_label(bars: DataFrame, horizon: int, threshold: float, warmup: int = 60) -> DataFrame:
-    """2 up / 1 flat / 0 down by the return ``horizon`` bars ahead; warm-up and open-ended rows dropped."""
+    """2 up / 1 flat / 0 down by the return ``horizon`` bars ahead, known at ``label_until``; warm-up and open-ended rows dropped."""
     w = fw.series()
-    df = bars.withColumns({"_fwd": F.lead("close", horizon).over(w) / F.col("close") - 1, "_i": F.row_number().over(w) - 1})
+    df = bars.withColumns({"label_until": F.lead("ts", horizon).over(w), "_fwd": F.lead("close", horizon).over(w) / F.col("close") - 1, "_i": F.row_number().over(w) - 1})
     df = df.where((F.col("_i") >= warmup) & F.col("_fwd").isNotNull())
     label = F.when(F.col("_fwd") > threshold, 2).when(F.col("_fwd") < -threshold, 0).otherwise(1)
     return df.withColumns({"forward_return": F.col("_fwd"), "label": label}).drop("_fwd", "_i")

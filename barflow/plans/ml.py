@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as fw
+from ..operators import assembly as fa
 from ..operators import ml
 from ..operators import technical as ta
+from ..session import scratch
 from ..sources import adapters as src
+from .assembly import SETS, technical
 from .oracle import define, sql
 from .registry import register
 
@@ -24,8 +27,83 @@ def labelled(spark, d):
 define("mlx", f"SELECT p.ticker, p.ts, {', '.join(f'coalesce({c}, 0) AS {c}' for c in X)}, label, f FROM tech_price p JOIN tech_volume v USING (ticker, ts) JOIN lab_swing l USING (ticker, ts)", "tech_price", "tech_volume", "lab_swing")
 define("mlm", "SELECT label, f, x.feature, x.value FROM mlx, LATERAL (VALUES " + ", ".join(f"('{c}', {c})" for c in X) + ") x(feature, value)", "mlx")
 
-register("train_classifier", lambda spark, d: ml.accuracy(ml.train(labelled(spark, d), X).transform(ml.prepare(labelled(spark, d), X))))
-register("time_series_cv", lambda spark, d: spark.createDataFrame(ml.time_series_cv(labelled(spark, d), X), "fold int, n_test long, accuracy double"))
+def training_rows(spark, d, model):
+    """(rows, names): the history-long training set of a model, with the day on which each label is known; written once, as every fold reads it."""
+    names = list(SETS[model, "technical"].names)
+
+    def make():
+        horizon, threshold = fa.LABELS[model]
+        y = ta.forward_label(src.bars(spark, d), horizon, threshold).select("ticker", "ts", "label", "label_until")
+        x = technical(spark, d)
+        return x.select("ticker", "ts", *[c for c in names if c in x.columns]).join(y, ["ticker", "ts"])
+
+    rows = src.kept(spark, d, ("training_rows", model), make)
+    return rows, [c for c in names if c in rows.columns]
+
+
+def trained(spark, d):
+    """Each model fitted on the first 85 % of the days, with labels known by then, and its confusion on the rest."""
+    out = None
+    for model in fa.LABELS:
+        rows, names = training_rows(spark, d, model)
+        past, test = ml.split(rows, ml.hold_out(rows))
+        fit = ml.train(past, names, model)
+        seen = ml.accuracy(fit.transform(ml.prepare(test, names))).select(F.lit(model).alias("model"), "label", "prediction", "n")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+def validated(spark, d):
+    out = None
+    for model in fa.LABELS:
+        rows, names = training_rows(spark, d, model)
+        seen = ml.fold_scores(ml.out_of_fold(rows, names, model)).select(F.lit(model).alias("model"), "fold", "n_train", "n_test", "accuracy")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+def stored(spark, d):
+    """A first model of the swing rows, one on more history, and one fitted on shuffled labels, offered to a store in turn: what is stored and what counts."""
+    rows, names = training_rows(spark, d, "swing")
+    cut, last = ml.stretches(rows, 6)[3:5]
+    store, out = ml.ModelStore(spark, scratch(spark)), []
+    shuffled = rows.withColumn("label", F.pmod(F.xxhash64("ticker", "ts"), F.lit(3)))
+    for name, source, day in (("early", rows, cut), ("later", rows, last), ("shuffled", shuffled, last)):
+        fit = ml.train(ml.split(source, day)[0], names, "swing")
+        test = ml.split(rows, last)[1]
+        score = ml.fold_scores(fit.transform(ml.prepare(test, names)).withColumns({"fold": F.lit(0), "n_train": F.lit(0)})).first()["accuracy"]
+        accepted = store.offer(fit, score)
+        out.append((name, float(score), accepted, store.current()["version"]))
+    return spark.createDataFrame(out, "model string, score double, accepted boolean, current_version int")
+
+
+register("train_classifier", src.once(trained))
+register("time_series_cv", src.once(validated))
+register("model_store", src.once(stored))
+define("fs0", "SELECT b.ticker, b.ts, l.label, lead(b.ts, 5) OVER (PARTITION BY b.ticker ORDER BY b.ts) AS until FROM bars b LEFT JOIN lab_swing l USING (ticker, ts)", "bars", "lab_swing")
+define("fs1", "SELECT CAST(part AS INT) AS fold, min(ts) AS a, max(ts) AS b FROM (SELECT ts, ntile(11) OVER (ORDER BY ts) - 1 AS part FROM (SELECT DISTINCT ts FROM fs0 WHERE label IS NOT NULL)) WHERE part > 0 GROUP BY 1", "fs0")
+register(
+    "fold_sizes",
+    src.once(lambda spark, d: _sizes(spark, d)),
+    sql(
+        """SELECT fold, count(*) FILTER (t.ts < a AND until < a) AS n_train, count(*) FILTER (t.ts < a AND until >= a) AS kept_out, count(*) FILTER (t.ts BETWEEN a AND b) AS n_test
+  FROM fs1, (SELECT * FROM fs0 WHERE label IS NOT NULL) t GROUP BY 1""",
+        "fs0", "fs1",
+    ),
+)
+
+
+def _sizes(spark, d):
+    """Rows that train, are kept out and test in each fold of the swing model."""
+    rows, _ = training_rows(spark, d, "swing")
+    starts = ml.stretches(rows, ml.FOLDS["swing"])
+    folds = [{"fold": k, "a": a, "b": b} for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False), 1)]
+    early, known = F.col("ts") < F.col("a"), F.col("label_until") < F.col("a")
+    counts = [F.count_if(early & known).alias("n_train"), F.count_if(early & ~known).alias("kept_out"), F.count_if(~early & (F.col("ts") < F.col("b"))).alias("n_test")]
+    own = F.array(*[F.struct(F.lit(r["fold"]).alias("fold"), F.lit(r["a"]).alias("a"), F.lit(r["b"]).alias("b")) for r in folds])
+    return rows.withColumn("_f", F.explode(own)).select("ts", "label_until", "_f.*").groupBy("fold").agg(*counts)
+
+
 register(
     "balanced_weights",
     lambda spark, d: ml.balanced_weights(labelled(spark, d)).groupBy("label").agg(F.round(F.max("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n")),
