@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ BROADCAST_HOSTS, BROADCAST_CHARACTERS = 50_000, 32 << 20
 #: Partial wrappers of a host first meet in so many groups.
 SALTS = 64
 _LONGEST_GROUP = 4
+#: Cells of a table of all pairs of labels, beyond which the alignment works on bits; and the levels that merging two patterns may go down.
+MOST_CELLS, DEEPEST = 250_000, 1_000_000
 #: Least part of a weaker region's text that a page's one region, its several regions (teasers of a listing), or any against unmarked text must have.
 SHARES = {"one": 0.25, "several": 0.5, "unmarked": 0.1}
 # Fixed values of HTML.
@@ -157,25 +160,79 @@ def merge(a: list, b: list) -> list:
 
 def align(a: list, b: list) -> list:
     """Children of two nodes in one sequence along a longest common subsequence of labels; what only one has becomes optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
+    x, y = [n[0] for n in a], [n[0] for n in b]
+    if x == y:
+        return [merge(p, q) for p, q in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    for p, q in [*(_pairs if len(x) * len(y) <= MOST_CELLS else _pairs_by_bits)(x, y), (len(a), len(b))]:
+        out += [[n[0], n[1] | 1, *n[2:]] for n in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(merge(a[p], b[q]))
+        i, j = p + 1, q + 1
+    return fold(out)
+
+
+def _pairs(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by a table of all cells."""
+    n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1] | 1, *a[i][2:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], b[j][1] | 1, *b[j][2:]])
             j += 1
-    return fold(out)
+    return out
+
+
+def _pairs_by_bits(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The same for long lists: a row of the table is one number, in which a bit is 0 where the subsequence grows."""
+    at: dict[str, int] = {}
+    for j, label in enumerate(y):
+        at[label] = at.get(label, 0) | 1 << j
+    whole = (1 << len(y)) - 1
+    row, rows = whole, []
+    for label in x:
+        hit = row & at.get(label, 0)
+        row = (row + hit | row - hit) & whole
+        rows.append(row)
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> j - 1 & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def stored(node: list) -> str:
+    """A pattern as JSON: its nodes in order with their depth, so that no depth is too much."""
+    out, open_ = [], [(0, node)]
+    while open_:
+        depth, n = open_.pop()
+        out.append([depth, n[0], n[1], n[3], n[4]])
+        open_ += [(depth + 1, c) for c in reversed(n[2])]
+    return json.dumps(out, separators=(",", ":"))
+
+
+def restored(text: str) -> list:
+    path: list[list] = []
+    for depth, label, flags, size, links in json.loads(text):
+        node = [label, flags, [], size, links]
+        del path[depth:]
+        if path:
+            path[-1][2].append(node)
+        path.append(node)
+    return path[0]
 
 
 def expression(node: list) -> str:
@@ -206,20 +263,24 @@ def kept_paths(wrapper: list) -> dict[str, int]:
     """
     out: dict[str, int] = {}
 
-    def walk(node: list, path: str, inside: int, block: bool, listed: bool) -> None:
-        """``block``: whether the block that the node's text belongs to is kept without a region; ``listed``: whether it lies in a list of links or a header."""
+    # inside: kinds of the regions around; block: whether the block of the node's text is kept without a region; listed: whether it lies in a list of links or a header
+    open_ = [(wrapper, "", 0, True, False)]
+    while open_:
+        node, path, inside, block, listed = open_.pop()
         if _tag(node[0]) not in _INLINE:
-            block = _links(node, True) * 2 <= _size(node, True)
+            size, links = _sizes(node, True)
+            block = links * 2 <= size
         bits = inside | (block and not listed)
         if bits and any(c[0] == TEXT for c in node[2]):
             out[path] = out.get(path, 0) | bits
         for c in node[2]:
             header = _tag(c[0]) == "header"
             if c[0] != TEXT and not _dropped(c[0]) and (inside or not header):
-                kind = _main(c[0])
-                walk(c, f"{path}/{c[0]}", inside | (1 << kind if kind else 0), block, listed or header or _tag(c[0]) in _LISTS and _links(c) * 2 > _size(c))
-
-    walk(wrapper, "", 0, True, False)
+                kind, many = _main(c[0]), False
+                if _tag(c[0]) in _LISTS:
+                    size, links = _sizes(c)
+                    many = links * 2 > size
+                open_.append((c, f"{path}/{c[0]}", inside | (1 << kind if kind else 0), block, listed or header or many))
     return out
 
 
@@ -227,13 +288,17 @@ def _tag(label: str) -> str:
     return re.match(r"[^.!]*", label)[0]
 
 
-def _size(node: list, inline: bool = False) -> int:
-    """Characters below a node; ``inline``: of its own block only."""
-    return node[3] if node[0] == TEXT else sum(_size(c, inline) for c in node[2] if not inline or c[0] == TEXT or _tag(c[0]) in _INLINE)
-
-
-def _links(node: list, inline: bool = False) -> int:
-    return node[4] if node[0] == TEXT else sum(_links(c, inline) for c in node[2] if not inline or c[0] == TEXT or _tag(c[0]) in _INLINE)
+def _sizes(node: list, inline: bool = False) -> tuple[int, int]:
+    """Characters below a node, and those in links; ``inline``: of its own block only."""
+    size = links = 0
+    open_ = [node]
+    while open_:
+        n = open_.pop()
+        if n[0] == TEXT:
+            size, links = size + n[3], links + n[4]
+        else:
+            open_ += [c for c in n[2] if not inline or c[0] == TEXT or _tag(c[0]) in _INLINE]
+    return size, links
 
 
 def main_text(page: str, kept: dict[str, int]) -> str:
@@ -282,6 +347,7 @@ def host_of(link: Column) -> Column:
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partial wrapper of each host from the pages of a partition."""
     known: dict[str, list] = {}
+    sys.setrecursionlimit(DEEPEST)
     for batch in (x for b in batches for x in slices(b, "summary")):
         for host, page in zip(batch.column("host").to_pylist(), batch.column("summary").to_pylist(), strict=True):
             own = pattern(page or "")
@@ -293,17 +359,18 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wrapper_batch(known: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w, separators=(",", ":")) for w in known.values()], pa.string())], ["host", "wrapper"])
+    return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([stored(w) for w in known.values()], pa.string())], ["host", "wrapper"])
 
 
 def _merge_groups(frame):
     import pandas as pd
 
     whole = None
+    sys.setrecursionlimit(DEEPEST)
     for text in frame["wrapper"].sort_values():
-        one = json.loads(text)
+        one = restored(text)
         whole = one if whole is None else merge(whole, one)
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [stored(whole)]})
 
 
 def wrappers(entries: DataFrame) -> DataFrame:
@@ -327,7 +394,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if wrapper not in paths:
                 if len(paths) > 20_000:
                     paths.clear()
-                paths[wrapper] = kept_paths(json.loads(wrapper))
+                paths[wrapper] = kept_paths(restored(wrapper))
             out.append(main_text(page or "", paths[wrapper]))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("link"), pa.array(out, pa.string())], ["id", "link", "text"])
 
