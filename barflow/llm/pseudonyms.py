@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import math
 import re
+import string
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,18 +20,22 @@ from .records import article_text
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "secret", "card")
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Longer names are permuted as strings instead of as one number.
+LONG_NAME = 128
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
-_FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,})"
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?<![\w.\-/])(?P<date>\d{4}([-/.])\d{1,2}\4\d{1,2}|\d{1,2}([-/.])\d{1,2}\5\d{4})(?![\w\-/]|\.\d)"
+_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")
+_NAME = frozenset(string.ascii_letters + string.digits + "._+-")
+#: All kinds but e-mail addresses, whose names may be of any length and are found from their @.
+_OTHERS = re.compile(
+    r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+    r"|(?<![\w.\-/])(?P<date>\d{4}([-/.])\d{1,2}\3\d{1,2}|\d{1,2}([-/.])\d{1,2}\4\d{4})(?![\w\-/]|\.\d)"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
     r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
     r"|(?<![\w])(?P<phone>\+\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w]|-\d)"
     r"|(?i:token|secret|password|api_?key|key)\s*[=:]\s*[\"']?(?P<secret>[0-9a-fA-F]{16,128})(?![\w])"
     r"|(?<![\w.\-])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w]|-\d)"
 )
-#: What each value that ``_FOUND`` matches has.
+#: What each value has.
 _MAYBE = re.compile(r"\d|@|(?i:token|secret|password|key)")
 #: The same for one kind each, to try others where a value of one kind failed its check.
 _ONE = {
@@ -78,6 +83,24 @@ def luhn_digit(body: str) -> int:
     return -total % 10
 
 
+def _stream(symbols: list[int], n: int, key: bytes, kind: str, r: int) -> Iterator[int]:
+    """n numbers that depend on all of the symbols."""
+    seed = hashlib.blake2b(f"{kind}|{r}|".encode() + bytes(symbols), key=key, digest_size=64).digest()
+    for k in range(0, n, 16):
+        block = hashlib.blake2b(k.to_bytes(8, "big") + seed, key=key, digest_size=64).digest()
+        yield from (int.from_bytes(block[i : i + 4], "big") for i in range(0, 4 * min(16, n - k), 4))
+
+
+def permute_symbols(symbols: list[int], radix: int, key: bytes, kind: str, back: bool = False) -> list[int]:
+    """A keyed permutation of long strings: one half is added to by numbers that all of the other half makes, in turns. Linear in the length."""
+    half = len(symbols) // 2
+    sides = [symbols[:half], symbols[half:]]
+    for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        own, other = sides[r % 2], sides[1 - r % 2]
+        sides[r % 2] = [(x + (-y if back else y)) % radix for x, y in zip(own, _stream(other, len(own), key, kind, r), strict=True)]
+    return sides[0] + sides[1]
+
+
 def _put(shape: str, symbols: str, holds: Callable[[str], bool] = str.isdigit) -> str:
     """The symbols at the places of the shape that ``holds`` accepts; separators stay."""
     fresh = iter(symbols)
@@ -169,10 +192,14 @@ def _phone(text: str, key: bytes, move) -> str | None:
 def _symbols(text: str, key: bytes, kind: str, move, radix: int) -> str:
     """Letters and digits as one number of the radix; the case of each place stays."""
     s = "".join(c for c in text if c.isalnum()).lower()
-    value, out = move(int(s, radix), radix ** len(s), key, f"{kind}{len(s)}"), []
-    for _ in s:
-        value, r = divmod(value, radix)
-        out.append(_ALPHABET[r])
+    if len(s) > LONG_NAME:
+        moved = permute_symbols([_ALPHABET.index(c) for c in s], radix, key, f"{kind}{len(s)}", back=move is restore)
+        out = [_ALPHABET[x] for x in reversed(moved)]
+    else:
+        value, out = move(int(s, radix), radix ** len(s), key, f"{kind}{len(s)}"), []
+        for _ in s:
+            value, r = divmod(value, radix)
+            out.append(_ALPHABET[r])
     new = _put(text, "".join(reversed(out)), str.isalnum)
     return "".join(b.upper() if a.isupper() else b for a, b in zip(text, new, strict=True))
 
@@ -189,6 +216,38 @@ def _secret(text: str, key: bytes, move) -> str | None:
 _MOVE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "secret": _secret, "card": _card}
 
 
+class _Search:
+    """The next candidate at or after a place: of those that begin first an address, else what ``_OTHERS`` finds. Linear in the text, as either side is looked for again only when the search has passed it."""
+
+    def __init__(self, text: str):
+        self.text, self.mail, self.other = text, (-1, -1), None
+        self.looked = -1
+
+    def _email(self, at: int) -> tuple[int, int]:
+        text, p = self.text, self.text.find("@", at)
+        while p >= 0:
+            i = p
+            while i > at and text[i - 1] in _NAME:
+                i -= 1
+            while i < p and text[i] in "._+-":
+                i += 1
+            if i < p and (m := _EMAIL.match(text, i)):
+                return i, m.end()
+            p = text.find("@", p + 1)
+        return len(text) + 1, 0
+
+    def __call__(self, at: int) -> tuple[str, int, int, int, int] | None:
+        """kind, begin and end of the value, begin and end of what was matched."""
+        if self.mail[0] < at:
+            self.mail = self._email(at)
+        if self.looked < 0 or self.other is not None and self.other.start() < at:
+            self.other, self.looked = _OTHERS.search(self.text, at), at
+        m, (a, b) = self.other, self.mail
+        if a <= len(self.text) and (m is None or a <= m.start()):
+            return "email", a, b, a, b
+        return (m.lastgroup, m.start(m.lastgroup), m.end(m.lastgroup), m.start(), m.end()) if m else None
+
+
 def pseudonymise_text(text: str, key: bytes, move=permute) -> tuple[str, dict[str, int]]:
     """The text with every validated value moved within its format, and how many of each kind. ``move=restore`` undoes it."""
     if not _MAYBE.search(text):
@@ -197,10 +256,11 @@ def pseudonymise_text(text: str, key: bytes, move=permute) -> tuple[str, dict[st
     out: list[str] = []
     done = at = inner = 0
     failed: list[tuple[int, int, str]] = []
-    while m := _FOUND.search(text, at):
-        kind, start = m.lastgroup, m.start(m.lastgroup)
-        others = [(k, o) for k, p in _ONE.items() if k != kind and start == m.start() and (o := p.match(text, start))]
-        for k, begin, end in (r for k, e in [(kind, m.end(kind)), *((k, o.end()) for k, o in others)] for r in _readings(text, k, start, e, start < inner)):
+    search = _Search(text)
+    while found := search(at):
+        kind, start, stop, first, last = found
+        others = [(k, o) for k, p in _ONE.items() if k != kind and start == first and (o := p.match(text, start))]
+        for k, begin, end in (r for k, e in [(kind, stop), *((k, o.end()) for k, o in others)] for r in _readings(text, k, start, e, start < inner)):
             moved = _MOVE[k](text[begin:end], key, move)
             # A reading that failed must fail beside the new value too, or the value would not be found again.
             while moved is not None and any(_MOVE[f](text[x:begin] + moved[max(0, x - begin) : max(0, y - begin)] + text[end:y], key, move) is not None for x, y, f in failed if x <= begin < y or begin <= x < end):
@@ -212,7 +272,7 @@ def pseudonymise_text(text: str, key: bytes, move=permute) -> tuple[str, dict[st
                 break
             failed.append((begin, end, k))
         else:  # the next value may begin within it
-            at, inner = m.start() + 1, max(inner, m.end())
+            at, inner = first + 1, max(inner, last)
         failed = [f for f in failed if f[1] > at]
     return "".join((*out, text[done:])), seen
 
