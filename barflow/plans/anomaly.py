@@ -36,7 +36,7 @@ register(
     "anomaly_features",
     lambda spark, d: an.features(src.bars(spark, d)).select("ticker", "ts", *[F.round(c, 6).alias(c) for c in an.FEATURES]),
     sql(
-        """SELECT ticker, ts, round(ret, 6) AS ret_1d, round(abs(ret), 6) AS ret_abs, round(vr2, 6) AS vol_ratio, round(rr, 6) AS range_ratio, round(abs(ret), 6) AS gap, round(vr2 * abs(ret), 6) AS vol_x_ret FROM an1""",
+        """SELECT ticker, ts, round(ret, 6) AS ret_1d, round(abs(ret), 6) AS ret_abs, round(vr2, 6) AS vol_ratio, round(rr, 6) AS range_ratio, round(abs(close - lag(close) OVER (PARTITION BY ticker ORDER BY ts)) / lag(close) OVER (PARTITION BY ticker ORDER BY ts), 6) AS gap, round(vr2 * abs(ret), 6) AS vol_x_ret FROM an1""",
         "an1",
     ),
 )
