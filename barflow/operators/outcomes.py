@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as fw
 from ..functions.chains import path
+from ..functions.scalars import lookup
 from .joins import asof, barrier
+from .regime import RULES
 
 SLIPPAGE, TOTAL_COST = 0.0005, 0.002
 TRAIL_TRIGGER, TRAIL_DISTANCE = 0.02, 0.015
@@ -29,6 +31,25 @@ def entries(bars: DataFrame, signal, max_hold: int = 8, stop_atr: float = 2.0, t
     )
 
 
+def hold_by_regime(ents: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Entries with the hold that the rules of the regime at their bar give; a regime without one leaves the entry's own."""
+    hold = lookup("regime", {r: v[3] for r, v in RULES.items()}, 0)
+    x = ents.join(regimes.select("ticker", "ts", "regime"), ["ticker", "ts"], "left")
+    return x.withColumn("max_hold", F.when(hold > 0, hold).otherwise(F.col("max_hold"))).select(*ents.columns, "regime")
+
+
+def session_entries(bars: DataFrame, every: int = 4, stop: float = 0.01, target: float = 0.03) -> DataFrame:
+    """Intraday candidates at every ``every``-th indexed bar of a session, in the bar's own direction; they may be held to the session's last bar, which closes them."""
+    day = F.col("ts").cast("date")
+    w = fw.W.partitionBy("ticker", day).orderBy("ts")
+    nth, size = F.row_number().over(w), F.count(F.lit(1)).over(fw.W.partitionBy("ticker", day))
+    x = bars.withColumns({"_n": nth, "max_hold": (size - nth).cast("int")}).where((F.col("_n") % every == 1) & (F.col("max_hold") > 0))
+    sign = F.when(F.col("close") >= F.col("open"), 1.0).otherwise(-1.0)
+    x = x.withColumns({"sign": sign, "signal": F.when(sign > 0, "LONG").otherwise("SHORT"), "entry_price": F.round(F.col("close") * (1 + sign * SLIPPAGE), 4)})
+    away = lambda share: F.col("entry_price") * (1 + F.col("sign") * share)
+    return x.withColumns({"stop_price": away(-stop), "target_price": away(target)}).select(*ENTRY)
+
+
 ENTRY = ["ticker", "i", "ts", "signal", "sign", "entry_price", "stop_price", "target_price", "max_hold"]
 
 
@@ -68,8 +89,8 @@ def excursions(done: DataFrame, bars: DataFrame) -> DataFrame:
 LADDER = (("TARGET_1R", 0.5, 1.0), ("TARGET_2R", 0.3, 2.0))
 
 
-def ladder(ents: DataFrame, bars: DataFrame) -> DataFrame:
-    """Half out at 1R, three tenths at 2R, the rest trails; a stop or the time limit closes what is left.
+def ladder(ents: DataFrame, bars: DataFrame, limit: str = "TIME_EXIT") -> DataFrame:
+    """Half out at 1R, three tenths at 2R, the rest trails; a stop or the time limit, named ``limit``, closes what is left.
 
     Each leg is a barrier of its own, so it books once.  The trailing high is a running maximum
     over at most ``max_hold`` path rows of one entry.
@@ -86,10 +107,10 @@ def ladder(ents: DataFrame, bars: DataFrame) -> DataFrame:
     done = s * (c - F.col("target_price")) >= 0
     legs, shares = [], {}
     for name, share, mult in LADDER:
-        kind = F.when(stop, "STOP_LOSS").when(s * (c - e) >= risk * mult, name).when(timed, "TIME_EXIT")
+        kind = F.when(stop, "STOP_LOSS").when(s * (c - e) >= risk * mult, name).when(timed, limit)
         legs.append(F.min(F.when(kind.isNotNull(), F.struct("bar_i", kind.alias("reason"), c.alias("price")))).alias(name))
         shares[name] = share
-    rest = F.when(stop, "STOP_LOSS").when(done, "TARGET").when(trail, "TRAILING_STOP").when(timed, "TIME_EXIT")
+    rest = F.when(stop, "STOP_LOSS").when(done, "TARGET").when(trail, "TRAILING_STOP").when(timed, limit)
     legs.append(F.min(F.when(rest.isNotNull(), F.struct("bar_i", rest.alias("reason"), c.alias("price")))).alias("REST"))
     shares["REST"] = 1 - sum(shares.values())
     agg = p.groupBy("ticker", "i", "signal", "sign", "entry_price").agg(*legs)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import gates as sg
 from ..operators import ledger as lq
 from ..operators import outcomes as bt
+from ..operators import regime as rg
 from ..sources import adapters as src
 from .gates import model_probs
 from .oracle import define, sql
+from .regime import frame as regime_frame
 from .registry import register
 from .technical import W, guarded
 
@@ -59,33 +61,54 @@ register(
         "bo", "be0",
     ),
 )
-define(
-    "bl0",
-    """SELECT n.ticker, n.i, sg, e, st, tg, p.i AS bi, p.close AS c, greatest(sg * e, max(sg * p.close) OVER (PARTITION BY n.ticker, n.i ORDER BY p.i)) AS pk FROM be1 n JOIN be0 p ON p.ticker = n.ticker AND p.i > n.i AND p.i <= n.i + 8""",
-    "be0", "be1",
-)
+def _path(entries: str, bars: str) -> str:
+    return f"""SELECT n.ticker, n.i, n.hold, n.sg, e, st, tg, p.i AS bi, p.close AS c, greatest(n.sg * e, max(n.sg * p.close) OVER (PARTITION BY n.ticker, n.i ORDER BY p.i)) AS pk
+  FROM {entries} n JOIN {bars} p ON p.ticker = n.ticker AND p.i > n.i AND p.i <= n.i + n.hold"""
 
 
-def _leg(name: str, share: float, hit: str) -> str:
-    return f"""SELECT ticker, i, '{name}' AS leg, {share}::DOUBLE AS share, bi AS exit_i, r AS exit_reason, {share} * sg * (c - e) / e AS p FROM (SELECT *, CASE WHEN sg * (c - st) <= 0 THEN 'STOP_LOSS' {hit} WHEN bi - i >= 8 THEN 'TIME_EXIT' END AS r FROM bl0)
+def _legs(path: str, limit: str) -> str:
+    hits = (
+        ("TARGET_1R", 0.5, "WHEN sg * (c - e) >= abs(e - st) THEN 'TARGET_1R'"), ("TARGET_2R", 0.3, "WHEN sg * (c - e) >= 2 * abs(e - st) THEN 'TARGET_2R'"),
+        ("REST", 0.2, "WHEN sg * (c - tg) >= 0 THEN 'TARGET' WHEN sg * (c / e - 1) >= 0.02 AND sg * c <= pk - abs(pk) * 0.015 THEN 'TRAILING_STOP'"),
+    )
+    return " UNION ALL ".join(
+        f"""SELECT ticker, i, '{name}' AS leg, {share}::DOUBLE AS share, bi AS exit_i, r AS exit_reason, {share} * sg * (c - e) / e AS p FROM (SELECT *, CASE WHEN sg * (c - st) <= 0 THEN 'STOP_LOSS' {hit} WHEN bi - i >= hold THEN '{limit}' END AS r FROM {path})
       WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, i ORDER BY bi) = 1"""
+        for name, share, hit in hits
+    )
 
 
+# Swing entries held as long as the regime of their bar allows; intraday ones to the end of their session.
+define("be2", f"SELECT b.*, CASE r.regime {' '.join(f"WHEN '{k}' THEN {v[3]}" for k, v in rg.RULES.items() if v[3])} ELSE 8 END AS hold FROM be1 b LEFT JOIN (SELECT ticker, ts, regime FROM regimes) r USING (ticker, ts)", "be1", "regimes")
+define("bl0", _path("be2", "be0"), "be0", "be2")
+define("bl1", _legs("bl0", "TIME_EXIT"), "bl0")
 define(
-    "bl1",
-    " UNION ALL ".join(
-        [
-            _leg("TARGET_1R", 0.5, "WHEN sg * (c - e) >= abs(e - st) THEN 'TARGET_1R'"), _leg("TARGET_2R", 0.3, "WHEN sg * (c - e) >= 2 * abs(e - st) THEN 'TARGET_2R'"),
-            _leg("REST", 0.2, "WHEN sg * (c - tg) >= 0 THEN 'TARGET' WHEN sg * (c / e - 1) >= 0.02 AND sg * c <= pk - abs(pk) * 0.015 THEN 'TRAILING_STOP'"),
-        ]
-    ),
-    "bl0",
-)
-register(
-    "exit_ladder",
-    lambda spark, d: bt.ladder(*ents(spark, d)).select("ticker", "i", "leg", "share", "exit_i", "exit_reason", F.round("leg_pnl_pct", 6).alias("leg_pnl_pct")),
-    sql("SELECT ticker, CAST(i AS INT) AS i, leg, share, CAST(exit_i AS INT) AS exit_i, exit_reason, round(p, 6) AS leg_pnl_pct FROM bl1", "bl1"),
+    "ie0",
+    """SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i, row_number() OVER d AS nth, count(*) OVER (PARTITION BY ticker, CAST(ts AS DATE)) AS n, CASE WHEN close >= open THEN 1 ELSE -1 END AS sg
+  FROM bars_intraday WINDOW d AS (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts)""",
+    "bars_intraday",
 )
+define("ie1", "SELECT *, e * (1 - sg * 0.01::DOUBLE) AS st, e * (1 + sg * 0.03::DOUBLE) AS tg FROM (SELECT ticker, i, n - nth AS hold, sg, round(close * (1 + sg * 0.0005::DOUBLE), 4) AS e FROM ie0 WHERE nth % 4 = 1 AND n > nth)", "ie0")
+define("il0", _path("ie1", "ie0"), "ie0", "ie1")
+define("il1", _legs("il0", "SESSION_CLOSE"), "il0")
+
+
+def _ladder(spark, d):
+    e, b = ents(spark, d)
+    return bt.ladder(bt.hold_by_regime(e, regime_frame(spark, d)), b)
+
+
+def _session_ladder(spark, d):
+    b = bt.indexed(src.bars_intraday(spark, d))
+    return bt.ladder(bt.session_entries(b), b, "SESSION_CLOSE")
+
+
+for _key, _fn, _cte in (("exit_ladder", _ladder, "bl1"), ("exit_ladder_intraday", _session_ladder, "il1")):
+    register(
+        _key,
+        lambda spark, d, fn=_fn: fn(spark, d).select("ticker", "i", "leg", "share", "exit_i", "exit_reason", F.round("leg_pnl_pct", 6).alias("leg_pnl_pct")),
+        sql(f"SELECT ticker, CAST(i AS INT) AS i, leg, share, CAST(exit_i AS INT) AS exit_i, exit_reason, round(p, 6) AS leg_pnl_pct FROM {_cte}", _cte),
+    )
 define("no0", "SELECT ticker, i, xi, net, row_number() OVER (PARTITION BY ticker ORDER BY i) AS n FROM bo", "bo")
 define(
     "no_rec",
