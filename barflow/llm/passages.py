@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, bit_filter, distinct, mix, passes, shingles, slices, texts_of, words, written
@@ -218,6 +218,10 @@ def _block_pairs(least: int, percent: int):
         has = np.zeros((len(runs), column.max() + 1), np.uint8)
         has[np.repeat(np.arange(len(runs)), [len(r) for r in runs]), column] = 1
         split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        beside = np.zeros((len(runs), 2 * least - 1), np.int64)  # the runs with the key's in the middle; nothing is 0, and never like another nothing
+        beside[:] = -1 - np.arange(len(runs))[:, None]
+        for k, r in enumerate(runs):
+            beside[k, least - 1 - key[k] : least - 1 - key[k] + len(r)] = r
         group = np.full(len(runs), -1)  # the member that a member is linked with
         found = []
         for x, end in enumerate(ends):
@@ -230,25 +234,29 @@ def _block_pairs(least: int, percent: int):
             upto = np.zeros((len(y), len(own) + 1), np.int16)
             np.cumsum(has[np.ix_(y, own)], axis=1, out=upto[:, 1:])
             y = y[(upto[:, least:] - upto[:, :-least]).max(axis=1) >= need]
+            like = beside[y] == beside[x]
+            before = np.cumprod(like[:, least - 1 :: -1], axis=1).sum(axis=1)
+            after = np.cumprod(like[:, least - 1 :], axis=1).sum(axis=1)
             met: set[int] = set()
-            for z in y.tolist():
+            for z, u, v in zip(y.tolist(), before.tolist(), after.tolist(), strict=True):
                 if group[z] >= 0 and group[z] in met:
                     continue
-                if not shared_passages(runs[x], runs[z], key[[x]], key[[z]], least, percent):
+                whole = u + v - 1 >= least  # word for word
+                if not whole and not shared_passages(runs[x], runs[z], key[[x]], key[[z]], least, percent):
                     if group[z] < 0:
-                        found.append((x, z))
+                        found.append((x, z, 0, 0))
                     continue
-                found.append((x, z))
+                found.append((x, z, u - 1, u + v - 1) if whole else (x, z, 0, 0))
                 if group[z] < 0:
                     group[z] = x
                 met.add(int(group[z]))
         if not found:
-            return np.zeros((4, 0), np.int64)
-        x, z = np.array(found).T
+            return np.zeros((6, 0), np.int64)
+        x, z, u, n = np.array(found).T
         a, b = np.where(ids[x] < ids[z], x, z), np.where(ids[x] < ids[z], z, x)
-        whole = np.stack((ids[a], ids[b], at[a], at[b]))
-        whole = whole[:, np.lexsort((whole[3], whole[2], whole[1], whole[0]))]
-        return whole[:, np.concatenate(([True], (whole[:2, 1:] != whole[:2, :-1]).any(axis=0)))]  # one place of a key is enough for two articles
+        pairs = np.stack((ids[a], ids[b], at[a], at[b], u, n))
+        pairs = pairs[:, np.lexsort((pairs[3], pairs[2], -pairs[5], pairs[1], pairs[0]))]
+        return pairs[:, np.concatenate(([True], (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)))]  # one place of a key is enough for two articles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -261,8 +269,8 @@ def _block_pairs(least: int, percent: int):
         yield _batch([of(held)] if held is not None and held.num_rows > 1 else [])
 
     def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        all_of = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in all_of], ["first_id", "id", "first_at", "at"])
+        all_of = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in all_of], ["first_id", "id", "first_at", "at", "back", "alike"])
 
     return run
 
@@ -287,7 +295,8 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     Key members not linked so, those whose windows have too little in common with the representative's first place among them,
     are met in blocks with all others of their key that were not and with all places of the representative, compared by
     the runs around the key, and verified in turn, so a representative that does not share the passage costs no link. There the first
-    member without a link represents those that share its passage, so a group has about one link a member.
+    member without a link represents those that share its passage, so a group has about one link a member; what is equal
+    word for word is known there already, and only other pairs go on to the whole texts.
     A member that is linked with the representative is not met again under that key. Articles with the same text are
     one text; each has a row for its whole length with the smallest id among them. Keys are counted before they are shuffled;
     only those of several articles come back, in a second pass over the texts, through a bitmap of fixed size.
@@ -328,12 +337,31 @@ def repeated_passages(news: DataFrame, least_words: int = 50, percent: int = 80,
     # The representative of such a key is among them with all its places: too few keys may have led to it, or another place.
     of_key = members.where("id = first_id").join(left.select("key").distinct(), "key", "left_semi").select("key", "id", "at").distinct()
     rest = written(_rest(left.union(of_key), kept, least, percent))
-    if not rest.isEmpty():
-        more = rest.groupBy("first_id", "id").agg(F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"))
+    exact = written(_joined(rest.where("alike > 0")))
+    found = found.unionByName(exact)
+    # The rest is verified on whole texts, but for places that lie in a passage which is known by now.
+    spans = exact.select(F.col("first_id").alias("_f"), F.col("id").alias("_i"), "start_word", "end_word")
+    inside = (F.col("first_id") == F.col("_f")) & (F.col("id") == F.col("_i")) & (place >= F.col("start_word")) & (place < F.col("end_word"))
+    open_ = written(rest.where("alike = 0").join(spans, inside, "left_anti"))
+    if not open_.isEmpty():
+        more = open_.groupBy("first_id", "id").agg(F.collect_set(F.struct(F.col("first_at").alias("f"), F.col("at").alias("a"))).alias("hits"))
         found = found.union(_with_texts(more, kept, least, percent))
     return found.select(*copies.columns).distinct().union(copies)
 
 
+def _joined(alike: DataFrame) -> DataFrame:
+    """Passages that are equal word for word, from the stretches found around several keys: those of one pair that overlap at one distance are one."""
+    start = F.shiftright("at", 32) - F.col("back")
+    first = F.shiftright("first_at", 32) - F.col("back")
+    x = alike.select("first_id", "id", first.alias("s"), (first + F.col("alike")).alias("e"), (start - first).alias("by"))
+    w = Window.partitionBy("first_id", "id", "by").orderBy("s", "e")
+    x = x.withColumn("_until", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("part", F.sum(F.when(F.col("s") <= F.col("_until"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.groupBy("first_id", "id", "by", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    end = F.col("e") + RUN - 1
+    return runs.select("first_id", "id", F.col("s").alias("first_start"), end.alias("first_end"), (F.col("s") + F.col("by")).alias("start_word"), (end + F.col("by")).alias("end_word"), F.lit(1.0).alias("similarity"))
+
+
 def _copies(texts: DataFrame, least_words: int) -> DataFrame:
     """Whole articles of ``least_words`` words or more whose text another article with a smaller id has."""
     signed = texts.select("id", F.sha2("text", 256).alias("same"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n")).where(F.col("n") >= least_words)
@@ -368,4 +396,4 @@ def _rest(left: DataFrame, texts: DataFrame, least: int, percent: int) -> DataFr
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "at", "around",
     )
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(_block_pairs(least, percent), "first_id long, id long, first_at long, at long").distinct()
+    return dealt.mapInArrow(_block_pairs(least, percent), "first_id long, id long, first_at long, at long, back long, alike long").distinct()

@@ -212,3 +212,20 @@ def test_passages_of_odd_rows(make_news):
     assert {(r.first_id, r.id) for r in repeated_passages(make_news(ODD + [(9, " ".join(prose(1, 60))), (9, " ".join(prose(1, 60)))])).collect()} == set()
     with pytest.raises(ValueError):
         repeated_passages(make_news([]), least_words=20)
+
+
+def test_a_large_group_of_one_passage_has_about_one_link_a_member(make_news, monkeypatch):
+    """All members lack the passage of their smallest id's first place; links grow with the members, and all of them are linked."""
+    monkeypatch.setattr(passages, "BLOCK", 64)
+    passage = prose(1, 90)
+    rows = [(0, " ".join(prose(2, 60) + passage[20:60] + prose(3, 60)))] + [(i, " ".join(prose(10 + i, 70) + passage + prose(2_000 + i, 70))) for i in range(1, 160)]
+    edited = [(1_000 + i, " ".join(prose(5_000 + i, 40) + [("edit" if k == 7 * i % 50 + 20 else w) for k, w in enumerate(passage)])) for i in range(20)]
+    got = repeated_passages(make_news(rows + edited)).collect()
+    linked = {r.id for r in got} | {r.first_id for r in got}
+    assert linked >= {i for i, _ in rows[1:]} | {i for i, _ in edited}
+    assert len(got) < 12 * (len(rows) + len(edited))
+    text = dict(rows + edited)
+    for r in got:
+        a, b = text[r.first_id].split()[r.first_start : r.first_end], text[r.id].split()[r.start_word : r.end_word]
+        assert len(a) >= 50 and (a == b if r.similarity == 1 else r.similarity >= 0.8)
+    assert max(r.end_word - r.start_word for r in got) >= 88
